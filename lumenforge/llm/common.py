@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: Rows that may be broadcast, after they have been counted. 16 bytes a row: 8 MB at most.
 BROADCAST_ROWS = 500_000
 #: Bytes of text that a worker hashes at a time.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -109,10 +109,17 @@ def word_hashes(buf: np.ndarray, spaces: np.ndarray = SPACES, codes: np.ndarray
     return mix((total[ends] - total[starts]) * inverse[starts]), starts, ends
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 128) -> Iterator[pa.RecordBatch]:
+    """Views of some rows at a time, so that only those become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """(ids, texts as UTF-8; null: empty) of some rows at a time. Column 0 is the id, column 1 the text."""
     ids, texts, held = [], [], 0
-    for batch in batches:
+    for batch in slices(batches):
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             ids.append(i)
             texts.append(t or b"")

@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import BROADCAST_ROWS, by_id, chunks, materialise, mix, plan_bytes, shingles, small, table
+from lumenforge.llm.common import BROADCAST_ROWS, by_id, chunks, materialise, mix, plan_bytes, shingles, slices, small, table
 
 #: Shingles that a worker packs at once, and distinct shingles that a bucket should hold.
-PACK, BUCKET = 1_000_000, 1_500_000
+PACK, BUCKET = 400_000, 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 PACKED = "bucket int, kind int, docs binary, lens binary, toks binary, counts binary"
 REPLY = "doc_id long, n long, sig binary, bucket int, toks binary, classes binary"
@@ -68,7 +68,7 @@ def _pack(docs: DataFrame, k: int, bits: int) -> DataFrame:
     down = np.uint64(32 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (ids, row, tok) in enumerate(doc_shingles((b for b in batches), k, PACK)):
+        for turn, (ids, row, tok) in enumerate(doc_shingles(batches, k, PACK)):
             n = np.bincount(row, minlength=len(ids)).astype("<i8")
             sig = np.zeros((len(ids), 2), "<u8")
             if len(row):
@@ -103,7 +103,7 @@ def _reply(packed: DataFrame, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, counts, toks, classes, held = -1, [], None, None, 0
-        for batch in batches:
+        for batch in slices(batches, 64):
             out: list[tuple] = []
             for r in batch.to_pylist():
                 if r["bucket"] != at:
@@ -144,7 +144,7 @@ def _prefixes(replies: DataFrame, threshold: tuple[int, int], orders: int) -> Da
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1024):
             out: list[tuple] = []
             for d, n, sig, parts in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["sig"].to_pylist(), batch["parts"], strict=True):
                 parts = parts.as_py() if len(parts) else []
@@ -173,13 +173,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, i
     sets_of = by_id(docs.select("doc_id", "text"), roles.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, row, tok in doc_shingles(batches, k, PACK // 4):
+        for ids, row, tok in doc_shingles(batches, k, PACK // 2):
             s, e = _groups(row)
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[s]]), pa.array([tok[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())], names=["doc_id", "toks"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, mine = None, None
-        for batch in batches:
+        for batch in slices(batches):
             a_out, b_out = [], []
             for a, salt, role, doc, toks in zip(*(batch[c].to_pylist() for c in ("a", "salt", "role", "doc_id", "toks")), strict=True):
                 theirs = np.frombuffer(toks, np.uint64)
