@@ -159,7 +159,7 @@ def _prefixes(replies: DataFrame, threshold: tuple[int, int], orders: int) -> Da
                 c = c[i]
                 take = max(1, n - least + 1 - max(0, n - len(tok)))
                 keep = [tok[np.lexsort((mix(tok + np.uint64(s * 0x51ED270B)), c))[:take]].astype(np.int64).tolist() for s in range(orders)]
-                out.append((d, n, sig, shared, float(c.sum()) / n, keep))
+                out.append((d, n, sig, len(tok), float(c.sum()) / n, keep))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.int64()))), strict=True)], names=["doc_id", "n", "sig", "shared", "central", "prefixes"])
 
     return grouped.mapInArrow(run, "doc_id long, n long, sig binary, shared long, central double, prefixes array<array<long>>")
@@ -232,14 +232,18 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
     post = (
         info.where("prefixes is not null").join(reps.select("doc_id"), "doc_id", "left_semi")
         .select("doc_id", "n", "shared", "central", F.posexplode("prefixes").alias("s", "toks"))
-        .select("doc_id", "n", "shared", "central", "s", F.explode("toks").alias("tok"))
+        .select("doc_id", "n", "shared", "central", "s", F.posexplode("toks").alias("i", "tok"))
+        .withColumn("place", F.expr("n - shared + 1 + i")).drop("i")
     )
-    lists = post.groupBy("s", "tok").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("other"), "n", "shared")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    lists = post.groupBy("s", "tok").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("other"), "n", "shared", "place")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
     post = materialise(post.join(lists.drop("m"), ["s", "tok"]))
 
     def may(a: str, b: str) -> str:
-        """Sizes and shared counts that a linked pair must have (whole numbers: overlap >= p / (p + q) of the sum)."""
-        return f"{q} * least({a}n, {b}n) >= {p} * greatest({a}n, {b}n) and {p + q} * least({a}shared, {b}shared) >= {p} * ({a}n + {b}n)"
+        """What a linked pair must have: sizes, shared counts, and enough left behind its first common shingle's places
+        under the order (whole numbers: overlap >= p / (p + q) of the sizes' sum)."""
+        least = f"{p} * ({a}n + {b}n)"
+        return (f"{q} * least({a}n, {b}n) >= {p} * greatest({a}n, {b}n) and {p + q} * least({a}shared, {b}shared) >= {least} "
+                f"and {p + q} * (1 + least({a}n - {a}place, {b}n - {b}place)) >= {least}")
 
     star = post.where("doc_id != -head.other").where(may("", "head.")).select((-F.col("head.other")).alias("a"), F.col("doc_id").alias("b")).distinct()
     links = materialise(_verified(docs, materialise(star), k, (p, q)))
@@ -248,8 +252,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
     sizes = tagged.groupBy("s", "tok", "component").agg(F.count(F.lit(1)).alias("m"))
     most = sizes.groupBy("s", "tok").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s", "tok", F.col("main.component").alias("main"))
     mixed = tagged.join(most, ["s", "tok"])
-    y = mixed.drop("main").select("s", "tok", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "shared", "component")))
-    x = mixed.where("component != main").select("s", "tok", "main", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "shared", "component")))
+    y = mixed.drop("main").select("s", "tok", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
+    x = mixed.where("component != main").select("s", "tok", "main", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
     rest = (
         x.join(y, (x.s == y.s) & (x.tok == y.tok) & (x.x_component != y.y_component) & ((y.y_component == x.main) | (x.x_doc_id < y.y_doc_id)) & F.expr(may("x_", "y_")))
         .groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
