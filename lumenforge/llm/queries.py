@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenforge.llm.decontamination import op10_template_decontamination
 from lumenforge.llm.ngram_join import op1_ngram_jaccard
 from lumenforge.llm.packing import op9_best_fit_packing
+from lumenforge.llm.secret_scan import op6_randomness_secrets
 from lumenforge.llm.sharding import op2_interleaved_shards
+from lumenforge.llm.suffix_dedup import op8_maximal_repeats
 from lumenforge.llm.toxicity import op4_lexicon_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard, op2_interleaved_shards, op4_lexicon_toxicity, op9_best_fit_packing, op10_template_decontamination)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_ngram_jaccard, op2_interleaved_shards, op4_lexicon_toxicity, op6_randomness_secrets,
+            op8_maximal_repeats, op9_best_fit_packing, op10_template_decontamination,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
