@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -14,29 +16,36 @@ from pyspark.sql import functions as F
 from lumenforge.llm.common import materialise, ranked, table
 
 SPLIT = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
-#: Words whose ids a worker remembers; beyond it the memory is cleared.
-REMEMBERED = 200_000
+#: A full stop or comma between a letter or digit and white space is a token of its own; apart, words have fewer forms.
+STOPS = re.compile(rb"([a-z0-9])([.,])(?= |$)")
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 400_000
 
 
-class WordIds:
-    """Token ids of whole texts, by the ids of their space-separated parts (the tokenizer drops white space)."""
+class WordIds(dict):
+    """Token ids (little-endian bytes) of space-separated parts of texts: the tokenizer drops white space and case.
+
+    When the memory is full, it becomes the older generation, from which words in use come back.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ids = Tokenizer.from_file(path), {b"": b""}
+        super().__init__({b"": b""})
+        self.tokenizer, self.older = Tokenizer.from_file(path), {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+        found = self.older.get(word)
+        if found is None:
+            found = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        self[word] = found
+        return found
 
     def of(self, text: bytes) -> bytes:
-        words = text.translate(SPLIT).split(b" ")
-        ids = self.ids
-        if new := [w for w in set(words) if w not in ids]:
-            if len(ids) > REMEMBERED:
-                ids.clear()
-                ids[b""] = b""
-                new = list(set(words) - {b""})
-            for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                ids[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([ids[w] for w in words])
+        return b"".join(map(self.__getitem__, STOPS.sub(rb"\1 \2", text.lower().translate(SPLIT)).split(b" ")))
 
 
 def piece_lengths(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
