@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from lumenforge.llm.common import BROADCAST_ROWS, by_id, chunks, materialise, mix, plan_bytes, shingles, slices, small, table
 
 #: Shingles that a worker packs at once, and distinct shingles that a bucket should hold.
-PACK, BUCKET = 400_000, 1_000_000
+PACK, BUCKET = 400_000, 500_000
 LOW = np.uint64(0xFFFFFFFF)
-PACKED = "bucket int, kind int, docs binary, lens binary, toks binary, counts binary"
-REPLY = "doc_id long, n long, sig binary, bucket int, toks binary, classes binary"
+PACKED = "bucket int, kind int, chunk long, docs binary, lens binary, toks binary, counts binary"
+REPLY = "chunk long, bucket int, docs binary, lens binary, toks binary, classes binary"
 
 
 def doc_shingles(batches: Iterator[pa.RecordBatch], k: int, at_least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -75,17 +76,18 @@ def _pack(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 first, _ = _groups(row)
                 sig[row[first], 0] = np.add.reduceat(mix(tok), first)
                 sig[row[first], 1] = np.add.reduceat(mix(tok ^ LOW), first)
-            out: list[tuple] = [(turn % (1 << bits), 2, ids.tobytes(), n.tobytes(), sig.tobytes(), None)]
+            chunk = int.from_bytes(hashlib.md5(ids.tobytes()).digest()[:7])
+            out: list[tuple] = [(turn % (1 << bits), 2, chunk, ids.tobytes(), n.tobytes(), sig.tobytes(), None)]
             short = ((tok >> down) & LOW).astype("<u4") if bits else (tok >> np.uint64(32)).astype("<u4")
             bucket = (tok >> shift).astype(np.int32) if bits else np.zeros(len(tok), np.int32)
             order = np.argsort(bucket.astype(np.uint16) if bits <= 16 else bucket, kind="stable")
             bucket, short, row = bucket[order], short[order], row[order]
             for a, b in zip(*_groups(bucket), strict=True):
                 uniq, times = np.unique(short[a:b], return_counts=True)
-                out.append((int(bucket[a]), 0, None, None, uniq.tobytes(), times.astype("<u4").tobytes()))
+                out.append((int(bucket[a]), 0, None, None, None, uniq.tobytes(), times.astype("<u4").tobytes()))
                 s, e = _groups(row[a:b])
-                out.append((int(bucket[a]), 1, ids[row[a:b][s]].tobytes(), (e - s).astype("<u4").tobytes(), short[a:b].tobytes(), None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "kind", "docs", "lens", "toks", "counts"])
+                out.append((int(bucket[a]), 1, chunk, ids[row[a:b][s]].tobytes(), (e - s).astype("<u4").tobytes(), short[a:b].tobytes(), None))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "kind", "chunk", "docs", "lens", "toks", "counts"])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, PACKED)
 
@@ -114,55 +116,78 @@ def _reply(packed: DataFrame, parts: int) -> DataFrame:
                     if held > 2 * BUCKET and len(counts) > 1:
                         counts, held = [_merge(counts)], 0
                     continue
-                docs = np.frombuffer(r["docs"], "<i8")
                 if r["kind"] == 2:
-                    n, sig = np.frombuffer(r["lens"], "<i8"), r["toks"]
-                    out += [(int(d), int(m), sig[16 * i : 16 * i + 16], None, None, None) for i, (d, m) in enumerate(zip(docs, n, strict=True))]
+                    out.append((r["chunk"], -1, r["docs"], r["lens"], r["toks"], None))
                     continue
                 if toks is None:
                     toks, n = _merge(counts)
                     classes, counts = np.minimum(np.log2(n), 40).astype(np.uint8) * (n > 1), []
-                mine, lens = np.frombuffer(r["toks"], "<u4"), np.frombuffer(r["lens"], "<u4").astype(np.int64)
+                docs, mine, lens = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["toks"], "<u4"), np.frombuffer(r["lens"], "<u4").astype(np.int64)
                 c = classes[np.searchsorted(toks, mine)]
                 common = c > 0
-                each = np.add.reduceat(common.astype(np.int64), np.concatenate(([0], np.cumsum(lens)[:-1])))
-                mine, c, end = mine[common], c[common], np.cumsum(each)
-                tb, cb = mine.tobytes(), c.tobytes()
-                out += [(int(docs[i]), None, None, at, tb[4 * (end[i] - each[i]) : 4 * end[i]], cb[end[i] - each[i] : end[i]]) for i in np.flatnonzero(each)]
-            for i in range(0, len(out), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 20_000], strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "n", "sig", "bucket", "toks", "classes"])
+                each = np.add.reduceat(common.astype(np.int64), np.cumsum(lens) - lens)
+                some = each > 0
+                out.append((r["chunk"], at, docs[some].tobytes(), each[some].astype("<u4").tobytes(), mine[common].tobytes(), c[common].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["chunk", "bucket", "docs", "lens", "toks", "classes"])
 
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, REPLY)
 
 
-def _prefixes(replies: DataFrame, threshold: tuple[int, int], orders: int) -> DataFrame:
-    """One row a document: its set's size and signature and, if it may have links, its prefix under every order."""
+def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders: int) -> DataFrame:
+    """One row a document: its set's size and signature and, if it may have links, its prefix under every order.
+
+    The replies of a chunk, which hold no more shingles than the chunk had, meet again.
+    """
     p, q = threshold
-    grouped = replies.groupBy("doc_id").agg(
-        F.max("n").alias("n"), F.max("sig").alias("sig"),
-        F.collect_list(F.when(F.col("toks").isNotNull(), F.struct("bucket", "toks", "classes"))).alias("parts"),
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1024):
-            out: list[tuple] = []
-            for d, n, sig, parts in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["sig"].to_pylist(), batch["parts"], strict=True):
-                parts = parts.as_py() if len(parts) else []
-                shared = sum(len(x["classes"]) for x in parts)
+    def of(rows: list[dict]) -> list[tuple]:
+        out: list[tuple] = []
+        doc, tok, c = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        for r in rows:
+            if r["bucket"] >= 0:
+                doc.append(np.repeat(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["lens"], "<u4").astype(np.int64)))
+                tok.append(np.frombuffer(r["toks"], "<u4").astype(np.uint64) | np.uint64(r["bucket"] << 32))
+                c.append(np.frombuffer(r["classes"], np.uint8))
+        doc, tok, c = np.concatenate(doc), np.concatenate(tok), np.concatenate(c)
+        order = np.lexsort((tok, doc))
+        doc, tok, c = doc[order], tok[order], c[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (tok[1:] != tok[:-1])
+        doc, tok, c = doc[new], tok[new], c[new]
+        for r in rows:
+            if r["bucket"] >= 0:
+                continue
+            ids, sizes, sig = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["lens"], "<i8"), r["toks"]
+            first, last = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
+            for i, (d, n, a, b) in enumerate(zip(ids.tolist(), sizes.tolist(), first.tolist(), last.tolist(), strict=True)):
                 least = -(-p * n // q)  # the overlap that any partner needs at least
-                if not n or shared < least:
-                    out.append((d, n, sig, shared, 0.0, None))
+                if not n or b - a < least:
+                    out.append((d, n, sig[16 * i : 16 * i + 16], b - a, 0.0, None))
                     continue
-                tok = np.concatenate([np.frombuffer(x["toks"], "<u4").astype(np.uint64) | np.uint64(x["bucket"] << 32) for x in parts])
-                c = np.concatenate([np.frombuffer(x["classes"], np.uint8) for x in parts])
-                tok, i = np.unique(tok, return_index=True)
-                c = c[i]
-                take = max(1, n - least + 1 - max(0, n - len(tok)))
-                keep = [tok[np.lexsort((mix(tok + np.uint64(s * 0x51ED270B)), c))[:take]].astype(np.int64).tolist() for s in range(orders)]
-                out.append((d, n, sig, len(tok), float(c.sum()) / n, keep))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.int64()))), strict=True)], names=["doc_id", "n", "sig", "shared", "central", "prefixes"])
+                take = max(1, b - a - least + 1)  # of n - least + 1, what no one else has stands first
+                keep = [tok[a:b][np.lexsort((mix(tok[a:b] + np.uint64(s * 0x51ED270B)), c[a:b]))[:take]].astype(np.int64).tolist() for s in range(orders)]
+                out.append((d, n, sig[16 * i : 16 * i + 16], b - a, float(c[a:b].sum()) / n, keep))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.list_(pa.list_(pa.int64()))), strict=True)], names=["doc_id", "n", "sig", "shared", "central", "prefixes"])
+
+        for batch in slices(batches, 32):
+            for r in batch.to_pylist():
+                if r["chunk"] != at:
+                    if held:
+                        yield batch_of(of(held))
+                    at, held = r["chunk"], []
+                held.append(r)
+        if held:
+            yield batch_of(of(held))
 
-    return grouped.mapInArrow(run, "doc_id long, n long, sig binary, shared long, central double, prefixes array<array<long>>")
+    rows = replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "doc_id long, n long, sig binary, shared long, central double, prefixes array<array<long>>")
+    one = F.max(F.struct("n", "sig", "shared", "central", "prefixes")).alias("r")  # ids that come twice: the larger set
+    return rows.groupBy("doc_id").agg(one).select("doc_id", "r.*")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -226,7 +251,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
         p, q = p // math.gcd(p, q), q // math.gcd(p, q)
     bits = max(0, min(24, round(math.log2(max(1, plan_bytes(docs) / 4 / BUCKET)))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    info = materialise(_prefixes(_reply(_pack(docs, k, bits), parts), (p, q), orders))
+    info = materialise(_prefixes(_reply(_pack(docs, k, bits), parts), parts, (p, q), orders))
     # One document stands for each set; wordless ones stand for themselves.
     reps = info.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     post = (
