@@ -26,7 +26,7 @@ from lumenforge.llm.common import CHUNK_BYTES, by_id, chunks, materialise, mix,
 
 LENGTH, GRAM = 100, 32
 #: Anchors that a worker packs at once, distinct anchors that a bucket should hold, contexts that are sorted together.
-PACK, BUCKET, TOGETHER = 200_000, 1_000_000, 20_000
+PACK, BUCKET, TOGETHER = 200_000, 300_000, 10_000
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8BB84B93962EACC9))
 _POSITION = np.uint64((1 << 24) - 1)
 _SECTION = 1 << 22
@@ -106,12 +106,13 @@ def _pack(docs: DataFrame, length: int, bits: int) -> DataFrame:
         order = np.argsort(bucket, kind="stable")
         doc, place, h, bucket = doc[order], place[order], h[order], bucket[order]
         out: list[tuple] = []
+        chunk = int.from_bytes(hashlib.md5(doc.tobytes()).digest()[:7])
         for a, b in zip(*_cuts(bucket), strict=True):
             uniq, n = np.unique(h[a:b], return_counts=True)
-            out.append((int(bucket[a]), 0, None, None, None, uniq.tobytes(), n.astype("<u4").tobytes()))
+            out.append((int(bucket[a]), 0, None, None, None, None, uniq.tobytes(), n.astype("<u4").tobytes()))
             s, e = _cuts(doc[a:b])
-            out.append((int(bucket[a]), 1, doc[a:b][s].tobytes(), (e - s).astype("<u4").tobytes(), place[a:b].astype("<u4").tobytes(), h[a:b].tobytes(), None))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, (pa.int32(), pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "kind", "docs", "lens", "places", "hashes", "counts"])
+            out.append((int(bucket[a]), 1, chunk, doc[a:b][s].tobytes(), (e - s).astype("<u4").tobytes(), place[a:b].astype("<u4").tobytes(), h[a:b].tobytes(), None))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5), strict=True)], names=["bucket", "kind", "chunk", "docs", "lens", "places", "hashes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -125,11 +126,14 @@ def _pack(docs: DataFrame, length: int, bits: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, kind int, docs binary, lens binary, places binary, hashes binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, kind int, chunk long, docs binary, lens binary, places binary, hashes binary, counts binary")
 
 
 def _repeated(packed: DataFrame, parts: int) -> DataFrame:
-    """(doc_id, places, hashes) of the anchors that stand in several places; a bucket holds its distinct hashes only."""
+    """(doc_id, places, hashes) of the anchors that stand in several places; a bucket holds its distinct hashes only.
+
+    Buckets answer a chunk in one row each, and a chunk's answers meet again by document.
+    """
 
     def merge(counts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         h = np.concatenate([c[0] for c in counts])
@@ -159,11 +163,31 @@ def _repeated(packed: DataFrame, parts: int) -> DataFrame:
                     continue
                 hit = often[np.minimum(np.searchsorted(often, h), len(often) - 1)] == h
                 docs = np.repeat(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["lens"], "<u4").astype(np.int64))[hit]
-                places, h = np.frombuffer(r["places"], "<u4")[hit], h[hit]
-                out += [(int(docs[a]), places[a:b].tobytes(), h[a:b].tobytes()) for a, b in zip(*_cuts(docs), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "places", "hashes"])
+                out.append((r["chunk"], docs.tobytes(), np.frombuffer(r["places"], "<u4")[hit].tobytes(), h[hit].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), *[pa.binary()] * 3), strict=True)], names=["chunk", "docs", "places", "hashes"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def by_doc() -> pa.RecordBatch:
+            doc, place, h = (np.frombuffer(b"".join(r[c] for r in held), t) for c, t in (("docs", "<i8"), ("places", "<u4"), ("hashes", "<u8")))
+            order = np.argsort(doc, kind="stable")
+            doc, place, h = doc[order], place[order], h[order]
+            out = [(int(doc[a]), place[a:b].tobytes(), h[a:b].tobytes()) for a, b in zip(*_cuts(doc), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 3, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "places", "hashes"])
+
+        for batch in slices(batches, 64):
+            for r in batch.to_pylist():
+                if r["chunk"] != at:
+                    if held:
+                        yield by_doc()
+                    at, held = r["chunk"], []
+                held.append(r)
+        if held:
+            yield by_doc()
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "doc_id long, places binary, hashes binary")
+    replies = packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "chunk long, docs binary, places binary, hashes binary")
+    return replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(meet, "doc_id long, places binary, hashes binary")
 
 
 def _contexts(docs: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
