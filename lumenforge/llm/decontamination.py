@@ -182,25 +182,28 @@ def is_contaminated(benchmark: DataFrame, text: str = "text", window: int = WIND
     """The same verdict as a boolean column, for filters that keep every other column."""
     verdict = F.lit(False)
     for templates in blocks(benchmark, window, literals, run):
+        verdict = verdict | _holds(templates)(text)
+    return verdict
+
 
-        @F.pandas_udf("boolean")
-        def holds(parts: Iterator[pd.Series], templates: Templates = templates) -> Iterator[pd.Series]:
-            for part in parts:
-                got: list[bool] = []
-                held: list[bytes] = []
-                size = 0
-                for t in part:
-                    held.append((t or "").encode())
-                    size += len(held[-1])
-                    if size >= CHUNK_BYTES // 2:
-                        got += [bool(m) for m in templates.matches(held)]
-                        held, size = [], 0
-                if held:
+def _holds(templates: Templates):
+    @F.pandas_udf("boolean")
+    def holds(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            got: list[bool] = []
+            held: list[bytes] = []
+            size = 0
+            for t in part:
+                held.append((t or "").encode())
+                size += len(held[-1])
+                if size >= CHUNK_BYTES // 2:
                     got += [bool(m) for m in templates.matches(held)]
-                yield pd.Series(got, dtype=bool)
+                    held, size = [], 0
+            if held:
+                got += [bool(m) for m in templates.matches(held)]
+            yield pd.Series(got, dtype=bool)
 
-        verdict = verdict | holds(text)
-    return verdict
+    return holds
 
 
 def op10_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,17 +15,18 @@ from lumenforge.llm.secret_scan import op6_randomness_secrets
 from lumenforge.llm.sharding import op2_interleaved_shards
 from lumenforge.llm.suffix_dedup import op8_maximal_repeats
 from lumenforge.llm.toxicity import op4_lexicon_toxicity
+from lumenforge.llm.warc_fixity import OP3_SQL, op3_merkle_fixity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_ngram_jaccard, op2_interleaved_shards, op4_lexicon_toxicity, op5_mcd_outliers,
+            op1_ngram_jaccard, op2_interleaved_shards, op3_merkle_fixity, op4_lexicon_toxicity, op5_mcd_outliers,
             op6_randomness_secrets, op7_kneser_ney, op8_maximal_repeats, op9_best_fit_packing, op10_template_decontamination,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mcd_outliers": op5_sql()}
+    return {"op3_merkle_fixity": OP3_SQL, "op5_mcd_outliers": op5_sql()}
