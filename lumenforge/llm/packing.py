@@ -15,15 +15,14 @@ from pyspark.sql import functions as F
 
 from lumenforge.llm.common import materialise, ranked, table
 
-SPLIT = bytes.maketrans(b"\t\n\r\x0b\x0c", b"     ")
-#: A full stop or comma between a letter or digit and white space is a token of its own; apart, words have fewer forms.
-STOPS = re.compile(rb"([a-z0-9])([.,])(?= |$)")
+#: ASCII punctuation after a letter or digit is a token of its own (but for apostrophes): such words have their parts' ids.
+ENDED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 400_000
 
 
 class WordIds(dict):
-    """Token ids (little-endian bytes) of space-separated parts of texts: the tokenizer drops white space and case.
+    """Token ids (little-endian bytes) of the words of texts: the tokenizer drops white space and case.
 
     When the memory is full, it becomes the older generation, from which words in use come back.
     """
@@ -31,7 +30,7 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__({b"": b""})
+        super().__init__()
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
 
     def __missing__(self, word: bytes) -> bytes:
@@ -39,13 +38,20 @@ class WordIds(dict):
             self.older = dict(self)
             self.clear()
         found = self.older.get(word)
-        if found is None:
-            found = array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
+        if found is None and (parts := ENDED.fullmatch(word)):
+            found = self[parts[1]] + self[parts[2]]
+        elif found is None:
+            found = self.whole(word)
         self[word] = found
         return found
 
+    def whole(self, text: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
+
     def of(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, STOPS.sub(rb"\1 \2", text.lower().translate(SPLIT)).split(b" ")))
+        if b"<|" in text:  # it may hold the name of a special token
+            return self.whole(text)
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 def piece_lengths(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
