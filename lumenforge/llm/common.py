@@ -34,10 +34,16 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the shared folder."""
+def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Cut the lineage by a checkpoint in the shared folder, in at most ``parts`` files (see `few_files`)."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
+
+
+def few_files(source: DataFrame) -> int:
+    """Files for narrow tables made from a source: one for each 64 MB of it, 8 at least. A file for each shuffle
+    partition would be thousands of tiny ones, each with its own round trip to the store."""
+    return max(8, plan_bytes(source) >> 26)
 
 
 def plan_bytes(df: DataFrame) -> int:

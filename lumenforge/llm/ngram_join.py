@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import BROADCAST_ROWS, by_id, chunks, materialise, mix, plan_bytes, shingles, slices, small, table
+from lumenforge.llm.common import BROADCAST_ROWS, by_id, chunks, few_files, materialise, mix, plan_bytes, shingles, slices, small, table
 
 #: Shingles that a worker packs at once, and distinct shingles that a bucket should hold.
 PACK, BUCKET = 400_000, 500_000
@@ -222,16 +222,16 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, i
     return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "role", "doc_id", "toks").mapInArrow(compare, "a long, b long")
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, files: int | None = None) -> DataFrame:
     """(doc_id, component): the smallest id that links reach, by min labels with pointer jumping until nothing changes."""
-    links = materialise(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct())
+    links = materialise(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), files)
     labels = links.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("l")).withColumnRenamed("a", "doc_id")
-    labels = materialise(labels)
+    labels = materialise(labels, files)
     while True:
         near = links.join(labels.withColumnRenamed("doc_id", "b"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("l").alias("m"))
         step = labels.join(near, "doc_id").select("doc_id", "l", F.least("l", "m").alias("x"))
         jump = labels.select(F.col("doc_id").alias("x"), F.col("l").alias("y"))
-        new = materialise(step.join(jump, "x", "left").select("doc_id", F.least("x", F.coalesce("y", "x")).alias("l"), (F.least("x", F.coalesce("y", "x")) != F.col("l")).alias("moved")))
+        new = materialise(step.join(jump, "x", "left").select("doc_id", F.least("x", F.coalesce("y", "x")).alias("l"), (F.least("x", F.coalesce("y", "x")) != F.col("l")).alias("moved")), files)
         labels = new.select("doc_id", "l")
         if new.where("moved").isEmpty():
             break
@@ -251,7 +251,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
         p, q = p // math.gcd(p, q), q // math.gcd(p, q)
     bits = max(0, min(24, round(math.log2(max(1, plan_bytes(docs) / 4 / BUCKET)))))
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    info = materialise(_prefixes(_reply(_pack(docs, k, bits), parts), parts, (p, q), orders))
+    files = few_files(docs)
+    info = materialise(_prefixes(_reply(_pack(docs, k, bits), parts), parts, (p, q), orders), files)
     # One document stands for each set; wordless ones stand for themselves.
     reps = info.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     post = (
@@ -261,7 +262,7 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
         .withColumn("place", F.expr("n - shared + 1 + i")).drop("i")
     )
     lists = post.groupBy("s", "tok").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("other"), "n", "shared", "place")).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    post = materialise(post.join(lists.drop("m"), ["s", "tok"]))
+    post = materialise(post.join(lists.drop("m"), ["s", "tok"]), files)
 
     def may(a: str, b: str) -> str:
         """What a linked pair must have: sizes, shared counts, and enough left behind its first common shingle's places
@@ -271,9 +272,9 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
                 f"and {p + q} * (1 + least({a}n - {a}place, {b}n - {b}place)) >= {least}")
 
     star = post.where("doc_id != -head.other").where(may("", "head.")).select((-F.col("head.other")).alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(_verified(docs, materialise(star), k, (p, q)))
-    labels = components(post.select("doc_id").distinct(), links)
-    tagged = materialise(post.drop("head", "central").join(labels, "doc_id"))
+    links = materialise(_verified(docs, materialise(star, files), k, (p, q)), files)
+    labels = components(post.select("doc_id").distinct(), links, files)
+    tagged = materialise(post.drop("head", "central").join(labels, "doc_id"), files)
     sizes = tagged.groupBy("s", "tok", "component").agg(F.count(F.lit(1)).alias("m"))
     most = sizes.groupBy("s", "tok").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s", "tok", F.col("main.component").alias("main"))
     mixed = tagged.join(most, ["s", "tok"])
@@ -284,8 +285,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
         .groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
         .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), x.s)).alias("orders")).where(F.col("orders") == (1 << orders) - 1).select("a", "b")
     )
-    more = _verified(docs, materialise(rest), k, (p, q))
-    labels = components(reps, links.union(more))
+    more = _verified(docs, materialise(rest, files), k, (p, q))
+    labels = components(reps, links.union(more), files)
     of_set = reps.join(labels, "doc_id").select("sig", "component")
     return info.join(of_set.withColumn("has", F.lit(True)), (info.sig == of_set.sig) & (info.n > 0), "left").select(info.doc_id, info.n.alias("n_shingles"), F.coalesce("component", info.doc_id).alias("component_id"))
 
