@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import materialise, small, table
+from lumenforge.llm.common import few_files, materialise, small, table
 
 DIMS = 5
 #: Share of rows that the estimate rests on, concentration steps, rows that a group needs.
@@ -142,6 +142,7 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     named: list[str] = []
+    files = few_files(docs)
 
     def view(df: DataFrame) -> str:
         named.append(f"quality_{len(named)}_{id(docs)}")
@@ -150,10 +151,10 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
 
     def narrow(sql: str) -> str:
         """A relation of one row a group, on disk; broadcast if it is small."""
-        df = materialise(spark.sql(sql))
+        df = materialise(spark.sql(sql), files)
         return view(F.broadcast(df) if small(df, 20_000) else df)
 
-    rows = view(materialise(spark.sql(groups_sql(view(materialise(spark.sql(vectors_sql(view(base_statistics(docs))))))))))
+    rows = view(materialise(spark.sql(groups_sql(view(materialise(spark.sql(vectors_sql(view(base_statistics(docs)))))))), files))
     estimate = narrow(start_sql(rows, narrow(medians_sql(rows, False)), False))
     for _ in range(STEPS):
         estimate = narrow(step_sql(view(spark.sql(bins_sql(rows, estimate))), False))

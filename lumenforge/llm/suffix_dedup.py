@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import CHUNK_BYTES, by_id, chunks, materialise, mix, plan_bytes, powers, slices, table
+from lumenforge.llm.common import CHUNK_BYTES, by_id, chunks, few_files, materialise, mix, plan_bytes, powers, slices, table
 
 LENGTH, GRAM = 100, 32
 #: Anchors that a worker packs at once, distinct anchors that a bucket should hold, contexts that are sorted together.
@@ -352,7 +352,7 @@ def _repeats(docs: DataFrame, length: int, groups: bool) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = max(0, min(24, round(math.log2(max(1, plan_bytes(docs) / 16 / BUCKET)))))
-    found = materialise(_repeated(_pack(docs, length, bits), parts))
+    found = materialise(_repeated(_pack(docs, length, bits), parts), few_files(docs))
     return _analyse(_contexts(docs, found, length, GRAM), parts, length, GRAM, groups)
 
 
@@ -373,10 +373,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated equal rows each gives a row, as one document); an empty table gives no rows; other columns are not read.
     """
     rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    info = materialise(_distinct(rows))
+    info = materialise(_distinct(rows), few_files(docs))
     copies = info.where("copy").where(F.col("n_bytes") >= length)
     single = by_id(rows, copies.select("doc_id"), "doc_id", "left_anti")
-    spans = materialise(_repeats(single, length, False).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")))
+    spans = materialise(_repeats(single, length, False).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), few_files(docs))
     touched = spans.select("doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ SEED_WEIGHT = 3.0
 #: Labelled rows that the lexicon is fitted on, at most; those of the smallest hashes.
 SAMPLE_ROWS = 8_000
 #: A stem's letters, entries of the lexicon at most, and what the log-likelihood ratio must reach.
-STEM, ENTRIES, EVIDENCE = range(3, 9), 2_000, 30.0
+STEM, ENTRIES, EVIDENCE = range(3, 9), 2_000, 22.0
 _FOLD = {ord(k): v for k, v in (HOMOGLYPHS | DIGITS).items()} | {c: chr(c - 0xFEE0).lower().translate({ord(k): v for k, v in DIGITS.items()}) for c in range(0xFF01, 0xFF5F)}
 _ASCII = bytes(ord((DIGITS | {c: c.lower() for c in map(chr, range(65, 91))} | {"L": "i"}).get(chr(c), chr(c))) for c in range(128)) + bytes(range(128, 256))
 _TOKEN = re.compile(r"[^\W_]+")
@@ -150,7 +150,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     weight = F.log((a + 0.5) / (F.col("k.clean") + 0.5) * (1 - share) / share)
     top = (
         counts.alias("k").join(F.broadcast(all_.alias("all")))  # one row
-        .where("k.key != '' and k.toxic_docs >= 5").select("k.key", a.alias("n"), weight.alias("weight"), evidence.alias("evidence"))
+        .where("k.key != '' and k.toxic_docs >= 4").select("k.key", a.alias("n"), weight.alias("weight"), evidence.alias("evidence"))
         .where((F.col("weight") > 1.5) & (F.col("evidence") > EVIDENCE)).orderBy(F.desc("evidence"), "key").limit(ENTRIES)
     )
     lexicon = Lexicon(words={fold(t): SEED_WEIGHT for t in SEED_TERMS})

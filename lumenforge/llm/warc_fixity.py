@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import materialise, table
+from lumenforge.llm.common import few_files, materialise, table
 
 #: Ids that share a file, and children of a tree node.
 IDS_PER_FILE, FANOUT = 1_000, 16
@@ -102,7 +102,7 @@ def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     and some are lost."""
     key = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
     found = records(table(spark, sf_dir, "pages")).withColumn("decayed", F.when(key.startswith("00"), F.concat(F.lit("V"), F.substring("record", 2, 2_000_000_000))).when(key.startswith("01"), F.lit(None)).otherwise(F.col("record")))
-    both = materialise(leaves(found.withColumn("now", F.sha2(F.col("decayed").cast("binary"), 256)), "now"))
+    both = materialise(leaves(found.withColumn("now", F.sha2(F.col("decayed").cast("binary"), 256)), "now"), few_files(found))
     return audit(both.drop("now"), both.select("file", "start", "end", F.col("now").alias("hash")))
 
 
