@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Gain:
-    """State of a stream's controller: last gain, last output luma, and a window of output lumas."""
+    """State of a stream's controller: last gain, last output luma, and a window of input lumas."""
 
     window: int = 12
     last: float = 1.0
@@ -39,7 +39,7 @@ class Gain:
             g = p + (g - p) * 0.5
         self.last, self.last_luma = g, luma * g
         if self.window > 0:
-            self.history.append(luma * g)
+            self.history.append(luma)
             while len(self.history) > self.window:
                 self.history.popleft()
         return g
