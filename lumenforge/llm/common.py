@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 from collections.abc import Iterator
 
@@ -40,6 +41,17 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     return (df.coalesce(parts) if parts else df).checkpoint(eager=True)
 
 
+def bucket_plan(items: float, pack: int, bucket: int, full: int = 64) -> tuple[int, int]:
+    """(items a worker packs at once, bits of the bucket number) for a packed exchange of so many items.
+
+    A bucket should hold ``bucket`` items, and a packed row ``full`` of them at least: pack x bucket >= full x items. From
+    some 100 GB of text on, both grow with the square root of the input: at 100 TB, tasks hold some 40 million items.
+    """
+    scale = math.isqrt(int(full * items)) + 1
+    pack, bucket = max(pack, scale), max(bucket, scale)
+    return pack, max(0, min(24, round(math.log2(max(1.0, items / bucket)))))
+
+
 def few_files(source: DataFrame) -> int:
     """Files for narrow tables made from a source: one for each 64 MB of it, 8 at least. A file for each shuffle
     partition would be thousands of tiny ones, each with its own round trip to the store."""
@@ -47,8 +59,12 @@ def few_files(source: DataFrame) -> int:
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a relation's size: file sizes, for a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of a relation's size: file sizes, for a scan. Where it has none, the bytes of all strings."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size < 1 << 60:
+        return size
+    texts = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind == "string"]
+    return sum(x or 0 for x in df.agg(*texts).first()) if texts else 0
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -141,7 +157,7 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
             ids.append(i)
             texts.append(t or b"")
             held += len(texts[-1]) + 1
-            if held >= size:
+            if held >= size or len(ids) >= 20_000:
                 yield np.array(ids, np.int64), texts
                 ids, texts, held = [], [], 0
     if ids:

@@ -15,7 +15,6 @@ bucket: an unseen pair is taken for a seen one once in some thousands.
 from __future__ import annotations
 
 import io
-import math
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import chunks, joined, materialise, mix, plan_bytes, shared_folder, slices, table, word_hashes
+from lumenforge.llm.common import bucket_plan, chunks, joined, materialise, mix, plan_bytes, shared_folder, slices, table, word_hashes
 
-#: Pairs that a worker counts at once, and distinct pairs that a bucket should hold.
+#: Pairs that a worker counts at once, and pairs that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 700_000
 START, END = (np.uint64(x) for x in (0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995))
 _24 = np.uint64(24)
@@ -73,7 +72,7 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _pack(docs: DataFrame, bits: int) -> DataFrame:
+def _pack(docs: DataFrame, bits: int, pack: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -93,7 +92,7 @@ def _pack(docs: DataFrame, bits: int) -> DataFrame:
             _, before, token = token_pairs(texts)
             held.append((before, token))
             size += len(token)
-            if size >= PACK:
+            if size >= pack:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -304,9 +303,9 @@ def train(docs: DataFrame) -> Model:
     """Counts all texts of ``docs`` (null: empty) and writes the model to the session's shared folder, where it stays."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/kneser-ney-{uuid.uuid4().hex}"
-    bits = max(0, min(20, round(math.log2(max(1, plan_bytes(docs) / 4 / BUCKET)))))
+    pack, bits = bucket_plan(plan_bytes(docs) / 4, PACK, BUCKET)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = materialise(_contexts_and_pairs(_pack(docs, bits), parts, bits, folder))
+    counted = materialise(_contexts_and_pairs(_pack(docs, bits, pack), parts, bits, folder))
     a = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "distinct", *SUMS[:4]))).first()
     b = _continuations(counted, parts, folder).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS[4:]), F.lit(0)).first()
     texts = docs.count()

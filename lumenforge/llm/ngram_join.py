@@ -24,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import BROADCAST_ROWS, by_id, chunks, few_files, materialise, mix, plan_bytes, shingles, slices, small, table
+from lumenforge.llm.common import BROADCAST_ROWS, bucket_plan, by_id, chunks, few_files, materialise, mix, plan_bytes, shingles, slices, small, table
 
-#: Shingles that a worker packs at once, and distinct shingles that a bucket should hold.
+#: Shingles that a worker packs at once, and shingles that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 500_000
+#: Documents of a chunk at most: they are numbered in 16 bits. Those of one read come on top.
+MOST_ROWS = 40_000
 LOW = np.uint64(0xFFFFFFFF)
 PACKED = "bucket int, kind int, chunk long, docs binary, lens binary, toks binary, counts binary"
 REPLY = "chunk long, bucket int, docs binary, lens binary, toks binary, classes binary"
@@ -51,7 +53,7 @@ def doc_shingles(batches: Iterator[pa.RecordBatch], k: int, at_least: int) -> It
         rows.append(row + n)
         toks.append(tok)
         n, m = n + len(got), m + len(tok)
-        if m >= at_least:
+        if m >= at_least or n >= MOST_ROWS:
             yield flush()
             ids, rows, toks, n, m = [], [], [], 0, 0
     if ids:
@@ -64,19 +66,19 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)) if len(keys) else cut, np.concatenate((cut, [len(keys)])) if len(keys) else cut
 
 
-def _pack(docs: DataFrame, k: int, bits: int) -> DataFrame:
+def _pack(docs: DataFrame, k: int, bits: int, pack: int) -> DataFrame:
     shift = np.uint64(64 - bits)
     down = np.uint64(32 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for turn, (ids, row, tok) in enumerate(doc_shingles(batches, k, PACK)):
+        for turn, (ids, row, tok) in enumerate(doc_shingles(batches, k, pack)):
             n = np.bincount(row, minlength=len(ids)).astype("<i8")
             sig = np.zeros((len(ids), 2), "<u8")
             if len(row):
                 first, _ = _groups(row)
                 sig[row[first], 0] = np.add.reduceat(mix(tok), first)
                 sig[row[first], 1] = np.add.reduceat(mix(tok ^ LOW), first)
-            chunk = int.from_bytes(hashlib.md5(ids.tobytes()).digest()[:7])
+            chunk = int.from_bytes(hashlib.md5(ids.tobytes() + sig.tobytes()).digest()[:7])
             out: list[tuple] = [(turn % (1 << bits), 2, chunk, ids.tobytes(), n.tobytes(), sig.tobytes(), None)]
             short = ((tok >> down) & LOW).astype("<u4") if bits else (tok >> np.uint64(32)).astype("<u4")
             bucket = (tok >> shift).astype(np.int32) if bits else np.zeros(len(tok), np.int32)
@@ -86,7 +88,7 @@ def _pack(docs: DataFrame, k: int, bits: int) -> DataFrame:
                 uniq, times = np.unique(short[a:b], return_counts=True)
                 out.append((int(bucket[a]), 0, None, None, None, uniq.tobytes(), times.astype("<u4").tobytes()))
                 s, e = _groups(row[a:b])
-                out.append((int(bucket[a]), 1, chunk, ids[row[a:b][s]].tobytes(), (e - s).astype("<u4").tobytes(), short[a:b].tobytes(), None))
+                out.append((int(bucket[a]), 1, chunk, row[a:b][s].astype("<u2").tobytes(), (e - s).astype("<u2" if e[-1] < 65_536 else "<u4").tobytes(), short[a:b].tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "kind", "chunk", "docs", "lens", "toks", "counts"])
 
     return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, PACKED)
@@ -114,7 +116,8 @@ def _reply(packed: DataFrame, parts: int) -> DataFrame:
                     counts.append((np.frombuffer(r["toks"], "<u4"), np.frombuffer(r["counts"], "<u4").astype(np.int64)))
                     held += len(counts[-1][0])
                     if held > 2 * BUCKET and len(counts) > 1:
-                        counts, held = [_merge(counts)], 0
+                        counts = [_merge(counts)]
+                        held = len(counts[0][0]) // 2  # merge again when as much has come on top
                     continue
                 if r["kind"] == 2:
                     out.append((r["chunk"], -1, r["docs"], r["lens"], r["toks"], None))
@@ -122,7 +125,8 @@ def _reply(packed: DataFrame, parts: int) -> DataFrame:
                 if toks is None:
                     toks, n = _merge(counts)
                     classes, counts = np.minimum(np.log2(n), 40).astype(np.uint8) * (n > 1), []
-                docs, mine, lens = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["toks"], "<u4"), np.frombuffer(r["lens"], "<u4").astype(np.int64)
+                docs, mine = np.frombuffer(r["docs"], "<u2"), np.frombuffer(r["toks"], "<u4")
+                lens = np.frombuffer(r["lens"], f"<u{len(r['lens']) // len(docs)}").astype(np.int64)
                 c = classes[np.searchsorted(toks, mine)]
                 common = c > 0
                 each = np.add.reduceat(common.astype(np.int64), np.cumsum(lens) - lens)
@@ -142,10 +146,10 @@ def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders
 
     def of(rows: list[dict]) -> list[tuple]:
         out: list[tuple] = []
-        doc, tok, c = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
+        doc, tok, c = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint64)], [np.zeros(0, np.uint8)]
         for r in rows:
             if r["bucket"] >= 0:
-                doc.append(np.repeat(np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["lens"], "<u4").astype(np.int64)))
+                doc.append(np.repeat(np.frombuffer(r["docs"], "<u2"), np.frombuffer(r["lens"], "<u4").astype(np.int64)))
                 tok.append(np.frombuffer(r["toks"], "<u4").astype(np.uint64) | np.uint64(r["bucket"] << 32))
                 c.append(np.frombuffer(r["classes"], np.uint8))
         doc, tok, c = np.concatenate(doc), np.concatenate(tok), np.concatenate(c)
@@ -158,7 +162,7 @@ def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders
             if r["bucket"] >= 0:
                 continue
             ids, sizes, sig = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["lens"], "<i8"), r["toks"]
-            first, last = np.searchsorted(doc, ids), np.searchsorted(doc, ids, side="right")
+            first, last = (np.searchsorted(doc, np.arange(len(ids), dtype=np.uint16), side=x) for x in ("left", "right"))
             for i, (d, n, a, b) in enumerate(zip(ids.tolist(), sizes.tolist(), first.tolist(), last.tolist(), strict=True)):
                 least = -(-p * n // q)  # the overlap that any partner needs at least
                 if not n or b - a < least:
@@ -249,10 +253,10 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
     p, q = threshold
     if math.gcd(p, q) > 1:
         p, q = p // math.gcd(p, q), q // math.gcd(p, q)
-    bits = max(0, min(24, round(math.log2(max(1, plan_bytes(docs) / 4 / BUCKET)))))
+    pack, bits = bucket_plan(plan_bytes(docs) / 4, PACK, BUCKET)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     files = few_files(docs)
-    info = materialise(_prefixes(_reply(_pack(docs, k, bits), parts), parts, (p, q), orders), files)
+    info = materialise(_prefixes(_reply(_pack(docs, k, bits, pack), parts), parts, (p, q), orders), files)
     # One document stands for each set; wordless ones stand for themselves.
     reps = info.where("n > 0").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     post = (

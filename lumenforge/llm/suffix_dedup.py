@@ -14,7 +14,6 @@
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,15 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import CHUNK_BYTES, by_id, chunks, few_files, materialise, mix, plan_bytes, powers, slices, table
+from lumenforge.llm.common import CHUNK_BYTES, bucket_plan, by_id, chunks, few_files, materialise, mix, plan_bytes, powers, slices, table
 
 LENGTH, GRAM = 100, 32
-#: Anchors that a worker packs at once, distinct anchors that a bucket should hold, contexts that are sorted together.
+#: Anchors that a worker packs at once, anchors that a bucket should hold (see `bucket_plan`), contexts that are sorted together.
 PACK, BUCKET, TOGETHER = 200_000, 300_000, 10_000
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x8BB84B93962EACC9))
 _POSITION = np.uint64((1 << 24) - 1)
 _SECTION = 1 << 22
-_M32 = np.uint64(0xFFFFFFFF)
 
 
 def _grams(buf: np.ndarray, gram: int) -> np.ndarray:
@@ -97,7 +95,7 @@ def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)) if len(keys) else cut, np.concatenate((cut, [len(keys)])) if len(keys) else cut
 
 
-def _pack(docs: DataFrame, length: int, bits: int) -> DataFrame:
+def _pack(docs: DataFrame, length: int, bits: int, pack: int) -> DataFrame:
     """Anchors by hash bucket: the counts of a chunk's distinct hashes (kind 0), and its anchors by document (kind 1)."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -120,7 +118,7 @@ def _pack(docs: DataFrame, length: int, bits: int) -> DataFrame:
             row, place, h = anchors(texts, length)
             held.append((ids[row], place, h))
             n += len(h)
-            if n >= PACK:
+            if n >= pack:
                 yield flush(held)
                 held, n = [], 0
         if held:
@@ -154,7 +152,8 @@ def _repeated(packed: DataFrame, parts: int) -> DataFrame:
                     counts.append((h, np.frombuffer(r["counts"], "<u4").astype(np.int64)))
                     held += len(h)
                     if held > 2 * BUCKET and len(counts) > 1:
-                        counts, held = [merge(counts)], 0
+                        counts = [merge(counts)]
+                        held = len(counts[0][0]) // 2  # merge again when as much has come on top
                     continue
                 if often is None:
                     keys, n = merge(counts)
@@ -351,8 +350,8 @@ def _distinct(docs: DataFrame) -> DataFrame:
 def _repeats(docs: DataFrame, length: int, groups: bool) -> DataFrame:
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = max(0, min(24, round(math.log2(max(1, plan_bytes(docs) / 16 / BUCKET)))))
-    found = materialise(_repeated(_pack(docs, length, bits), parts), few_files(docs))
+    pack, bits = bucket_plan(plan_bytes(docs) / 16, PACK, BUCKET)
+    found = materialise(_repeated(_pack(docs, length, bits, pack), parts), few_files(docs))
     return _analyse(_contexts(docs, found, length, GRAM), parts, length, GRAM, groups)
 
 
