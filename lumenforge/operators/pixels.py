@@ -21,6 +21,16 @@ def luminance_stats(pixels: DataFrame, by: str = "frame_index") -> DataFrame:
     return pixels.groupBy(by).agg(F.max(y).alias("peak_nits"), F.avg(y).alias("average_nits"), F.count(F.lit(1)).alias("n_pixels"))
 
 
+def mean_signal(signal: DataFrame, by: str = "frame_index") -> DataFrame:
+    """Mean of all channels of each frame's signal, unweighted, as inspection reports it."""
+    return signal.groupBy(by).agg(F.avg((F.col("r") + F.col("g") + F.col("b")) / 3).alias("mean_signal"))
+
+
+def with_metadata(packets: DataFrame, frames: DataFrame, by: str = "frame_index") -> DataFrame:
+    """Packets with the metadata of their frame; packets without any stay."""
+    return packets.join(frames, by, "left")
+
+
 def first_bad_pixel(pixels: DataFrame, by: str = "frame_index") -> DataFrame:
     """The first pixel of each frame with a channel that is not finite, and that channel (r before g before b)."""
     bad = F.when(~finite("r"), "r").when(~finite("g"), "g").when(~finite("b"), "b")

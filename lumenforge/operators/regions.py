@@ -77,6 +77,12 @@ def box_at(region: Column, delta: Column) -> Column:
     return F.when(m.isNull(), F.when(delta == 0, still)).when((delta >= 0) & (delta < count), moved)
 
 
+def translation(box: Column, to_x: Column, to_y: Column, frames: Column) -> Column:
+    """Deltas a frame that bring a box to a place at its last frame; null for fewer than two frames."""
+    steps = (frames - 1).cast("double")
+    return F.when(frames >= 2, F.struct(((to_x - box["x"]) / steps).alias("dx_per_frame"), ((to_y - box["y"]) / steps).alias("dy_per_frame")))
+
+
 def applies_to_frame(flat: Column, spherical: Column, authored: Column, frame: Column) -> Column:
     """Whether metadata authored for one frame holds for another: the same, or only flat regions that all still move."""
     active = F.forall(flat, lambda r: box_at(r, frame - authored).isNotNull())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -192,6 +194,52 @@ def object_regions(regions: Column) -> Rules:
     ]
 
 
+def region_motion(region: Column, most_keyframes: int = 1024) -> Rules:
+    """A moving box (x, y, width, height, motion as in `regions.box_at`) must stay within the frame on its whole way."""
+    m = region["motion"]
+    keys = m["keyframes"]
+    deltas = F.transform(keys, lambda k: k["frame_delta"])
+    piecewise, moving = m["kind"] == "piecewise_linear", m["kind"] == "translate"
+    first = F.get(keys, F.lit(0))
+    at = lambda dx, dy: F.struct((region["x"] + dx).alias("x"), (region["y"] + dy).alias("y"), region["width"].alias("width"), region["height"].alias("height"))
+    last = F.when(piecewise, F.element_at(deltas, -1) + 1).otherwise(m["frame_count"])
+    rules = [
+        (~piecewise & (last <= 0), "region motion frame_count must be greater than zero"),
+        (moving & (~finite(m["dx_per_frame"]) | ~finite(m["dy_per_frame"])), "region motion deltas must be finite"),
+        (moving & first_failure(box(at(m["dx_per_frame"] * (last - 1), m["dy_per_frame"] * (last - 1)))).isNotNull(), "region motion leaves the frame"),
+        (piecewise & (F.size(keys) < 2), "piecewise-linear region motion requires at least two keyframes"),
+        (piecewise & (F.size(keys) > most_keyframes), "piecewise-linear region motion has too many keyframes"),
+        (piecewise & _any(keys, lambda k: ~finite(k["dx"]) | ~finite(k["dy"])), "piecewise-linear region motion offsets must be finite"),
+        (piecewise & ((first["frame_delta"] != 0) | (first["dx"] != 0) | (first["dy"] != 0)), "piecewise-linear region motion must start at frame_delta 0 with zero offset"),
+        (piecewise & ~_increasing(deltas), "piecewise-linear region motion keyframes must be strictly increasing"),
+        (piecewise & _any(keys, lambda k: first_failure(box(at(k["dx"], k["dy"]))).isNotNull()), "region motion leaves the frame"),
+    ]
+    return [(m.isNotNull() & bad, text) for bad, text in rules]
+
+
+def spherical_region(c: Column) -> Rules:
+    half, pi = c["angular_height"] / 2, math.pi
+    bad = F.lit(False)
+    for name in ("centre_azimuth", "centre_elevation", "angular_width", "angular_height"):
+        bad = bad | ~finite(c[name])
+    return [
+        (bad, "spherical region angles must be finite"),
+        (F.abs(c["centre_azimuth"]) > pi, "spherical region centre_azimuth must be in [-pi, pi]"),
+        (F.abs(c["centre_elevation"]) > pi / 2, "spherical region centre_elevation must be in [-pi/2, pi/2]"),
+        ((c["angular_width"] <= 0) | (c["angular_width"] > 2 * pi), "spherical region angular_width must be in (0, 2*pi]"),
+        ((c["angular_height"] <= 0) | (c["angular_height"] > pi), "spherical region angular_height must be in (0, pi]"),
+        (F.abs(c["centre_elevation"]) + half > pi / 2 + 1e-4, "spherical region latitude extent must stay within [-pi/2, pi/2]"),
+    ]
+
+
+def encoder_config(c: Column) -> Rules:
+    return [
+        ((c["speed"] < 0) | (c["speed"] > 10), "speed must be in 0..=10"),
+        ((c["quantizer"] < 0) | (c["quantizer"] > 255), "quantizer must be in 0..=255"),
+        (c["lossless"] & (c["quantizer"] != 0), "lossless requires quantizer 0"),
+    ]
+
+
 def unknown_keys(json: Column, allowed: tuple[str, ...]) -> Column:
     """Top-level keys of a JSON object that a strict schema does not know (null text: none)."""
     return F.coalesce(F.array_except(F.json_object_keys(json), F.array(*map(F.lit, allowed))), F.array().cast("array<string>"))

@@ -16,7 +16,7 @@ from lumenforge.operators import export, fidelity, integrity, pixels, regions, t
 from lumenforge.operators.pixels import rgb
 from lumenforge.plans import oracle as o
 from lumenforge.plans.frames import HEIGHT, WIDTH, conformance_pattern, grey_ramp, pixels_from_events
-from lumenforge.sources import bitstream, container, images
+from lumenforge.sources import bitstream, container, images, metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, tuple[Query, str | None]] = {}
@@ -584,3 +584,67 @@ def grey_ramp_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(i AS BIGINT) AS pixel_idx, ROUND(LEAST(x * 1350 + p * 120, 10000), 9) AS r, ROUND(LEAST(y * 1350 + p * 90, 10000), 9) AS g, ROUND(LEAST((x * 0.6 + y * 0.4) * 1350 + p * 60, 10000), 9) AS b FROM (SELECT i, x, y, SIN(3 * (x * 17 + y * 13)) * 0.5 + 0.5 AS p FROM (SELECT i, CAST(i % 64 AS DOUBLE) / 63 AS x, CAST(i // 64 AS DOUBLE) / 63 AS y FROM RANGE(4096) t(i)) a) b")
 def conformance_pattern_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(conformance_pattern(spark, 2), "r", "g", "b", keys=["pixel_idx"])
+
+
+@query(f"{o.WITHS} SELECT frame_index, {o.r9('AVG((r + g + b) / 3)', 'mean_signal')} FROM s GROUP BY frame_index")
+def frame_mean_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(pixels.mean_signal(signal(spark, sf_dir)), "mean_signal", keys=["frame_index"])
+
+
+@query(f"{o.WITH}, {o.STATS} SELECT event_id // 100 AS packet, event_id // 200 AS frame_index, {o.r9('MAX(peak)', 'peak_nits', 6)} FROM events LEFT JOIN st ON st.frame_index = event_id // 200 AND st.frame_index % 2 = 0 GROUP BY ALL")
+def packets_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packets = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 100").alias("packet"), F.expr("event_id div 200").alias("frame_index")).distinct()
+    stats = pixels.luminance_stats(nits(spark, sf_dir)).where("frame_index % 2 = 0").select("frame_index", F.round("peak_nits", 6).alias("peak_nits"))
+    return pixels.with_metadata(packets, stats).select("packet", "frame_index", "peak_nits")
+
+
+@query(f"{o.WITH}, {o.STATS} SELECT frame_index, CASE WHEN frame_index % 2 = 1 THEN 2 ELSE 1 END AS version, {o.r9('peak', 'peak_nits', 6)}, CAST(NULL AS VARCHAR) AS error FROM st")
+def metadata_binary_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frame's metadata to its binary form and back."""
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import json
+
+        for b in batches:
+            yield pd.DataFrame({"frame_index": b.frame_index, "content": [metadata.encode(json.loads(j)) for j in b.j]})
+
+    blobs = dynamic_frames(spark, sf_dir).select("frame_index", F.to_json("dynamic_meta").alias("j")).mapInPandas(pack, "frame_index long, content binary")
+    back = metadata.decode_table(blobs).withColumn("m", F.from_json("json", validation.DYNAMIC))
+    return back.select("frame_index", F.col("m.metadata_schema_version").alias("version"), F.round("m.scene_peak_luminance_nits", 6).alias("peak_nits"), "error")
+
+
+@query("SELECT DISTINCT event_id // 200 AS frame_index, ROUND(CASE WHEN event_id // 200 >= 2 THEN 0.4 / CAST(event_id // 200 - 1 AS DOUBLE) END, 9) AS dx, ROUND(CASE WHEN event_id // 200 >= 2 THEN CAST(0.3 AS DOUBLE) / (event_id // 200 - 1) END, 9) AS dy FROM events")
+def region_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deltas that take a box to a place within as many frames as each row says."""
+    t = regions.translation(F.struct(F.lit(0.1).alias("x"), F.lit(0.2).alias("y")), F.lit(0.5), F.lit(0.5), F.col("frame_index"))
+    return nits(spark, sf_dir).select("frame_index").distinct().withColumn("t", t).select("frame_index", F.round("t.dx_per_frame", 9).alias("dx"), F.round("t.dy_per_frame", 9).alias("dy"))
+
+
+@query("SELECT DISTINCT event_id // 200 AS frame_index, CASE event_id // 200 % 3 WHEN 0 THEN 'region motion leaves the frame' WHEN 1 THEN NULL ELSE NULL END AS failure FROM events")
+def validate_region_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("frame_index") % 3 == 0, "translate").when(F.col("frame_index") % 3 == 1, "static").otherwise("piecewise_linear")
+    wide = F.expr(MOVING.format(kind="kind").replace("0.01D", "0.05D"))
+    return nits(spark, sf_dir).select("frame_index").distinct().withColumn("kind", kind).select("frame_index", validation.first_failure(validation.region_motion(wide)).alias("failure"))
+
+
+@query("SELECT DISTINCT event_id // 200 AS frame_index, CASE WHEN event_id // 200 % 4 = 3 THEN 'spherical region latitude extent must stay within [-pi/2, pi/2]' END AS failure FROM events")
+def validate_spherical_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cap = F.struct(F.lit(0.0).alias("centre_azimuth"), (F.col("frame_index") % 4 * 0.4).alias("centre_elevation"), F.lit(1.0).alias("angular_width"), F.lit(0.8).alias("angular_height"))
+    return nits(spark, sf_dir).select("frame_index").distinct().select("frame_index", validation.first_failure(validation.spherical_region(cap)).alias("failure"))
+
+
+@query("SELECT DISTINCT event_id // 200 AS frame_index, 12 AS samples, 36 AS n_bytes, 2 AS segments FROM events")
+def fragment_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve samples as a progressive file and as two fragments, and their sample tables read back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frames = [(bytes([i, i, i]), i % 6 == 0) for i in range(12)]
+        for b in batches:
+            whole = bitstream.write_mp4(frames, 16, 16, 3750)
+            parts = bitstream.write_fragments([frames[:6], frames[6:]], 16, 16, 3750)
+            data = b"".join(parts)
+            assert [whole[a : a + n] for a, n in bitstream.mp4_samples(whole)] == [data[a : a + n] for a, n in bitstream.mp4_samples(data)] == [f for f, _ in frames]
+            n = bitstream.mp4_samples(data)
+            yield pd.DataFrame({"frame_index": b.frame_index, "samples": len(n), "n_bytes": sum(x for _, x in n), "segments": len(parts) - 1})
+
+    return nits(spark, sf_dir).select("frame_index").distinct().mapInPandas(run, "frame_index long, samples int, n_bytes int, segments int")

@@ -227,3 +227,74 @@ def probe(files: DataFrame, provider: bytes = PROVIDER) -> DataFrame:
             yield pd.DataFrame(out, columns=["path", "kind", "unit", "payload", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, kind string, unit long, payload binary, error string")
+
+
+def box(kind: bytes, *parts: bytes) -> bytes:
+    """A box; beyond 4 GiB with a 64-bit size."""
+    body = b"".join(parts)
+    if len(body) + 8 < 1 << 32:
+        return struct.pack(">I", len(body) + 8) + kind + body
+    return struct.pack(">I", 1) + kind + struct.pack(">Q", len(body) + 16) + body
+
+
+def _words(*v: int) -> bytes:
+    return struct.pack(f">{len(v)}I", *v)
+
+
+_MATRIX = _words(0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
+
+
+def _track(width: int, height: int, ticks: int, table: bytes, clock: int) -> bytes:
+    """A video track of AV1 samples around a sample table."""
+    head = box(b"tkhd", _words(7, 0, 0, 1, 0, ticks, 0, 0, 0, 0), _MATRIX, _words(width << 16, height << 16))
+    handler = box(b"hdlr", _words(0, 0), b"vide", _words(0, 0, 0), b"\0")
+    refs = box(b"dinf", box(b"dref", _words(0, 1), box(b"url ", _words(1))))
+    return box(b"trak", head, box(b"mdia", box(b"mdhd", _words(0, 0, 0, clock, ticks, 0x55C40000)), handler, box(b"minf", box(b"vmhd", _words(1, 0, 0)), refs, table)))
+
+
+def _entry(width: int, height: int) -> bytes:
+    av1c = box(b"av1C", bytes([0x81, 0, 0x0C, 0]))
+    return box(b"stsd", _words(0, 1), box(b"av01", b"\0" * 6, struct.pack(">H", 1), b"\0" * 16, struct.pack(">HH", width, height), _words(0x480000, 0x480000, 0), struct.pack(">H", 1), b"\0" * 32, struct.pack(">Hh", 24, -1), av1c))
+
+
+def write_mp4(frames: list[tuple[bytes, bool]], width: int, height: int, ticks: int, clock: int = 90_000) -> bytes:
+    """A progressive file of (sample, is keyframe) in one chunk; 64-bit offsets where they are needed."""
+    if not frames:
+        raise BitstreamError("a file needs frames")
+    sizes = [len(f) for f, _ in frames]
+    start = box(b"ftyp", b"iso6", _words(0), b"iso6av01mp41")
+    place = len(start) + (16 if sum(sizes) + 8 >= 1 << 32 else 8)
+    keys = [i for i, (_, key) in enumerate(frames, 1) if key]
+    offsets = box(b"stco", _words(0, 1, place)) if place < 1 << 32 else box(b"co64", _words(0, 1), struct.pack(">Q", place))
+    table = box(
+        b"stbl", _entry(width, height), box(b"stts", _words(0, 1, len(frames), ticks)), box(b"stss", _words(0, len(keys), *keys)),
+        box(b"stsc", _words(0, 1, 1, len(frames), 1)), box(b"stsz", _words(0, 0, len(frames), *sizes)), offsets,
+    )
+    total = ticks * len(frames)
+    head = box(b"mvhd", _words(0, 0, 0, clock, total, 0x10000, 0x1000000, 0, 0), _MATRIX, _words(0, 0, 0, 0, 0, 0, 2))
+    return start + box(b"mdat", *(f for f, _ in frames)) + box(b"moov", head, _track(width, height, total, table, clock))
+
+
+def write_fragments(segments: list[list[tuple[bytes, bool]]], width: int, height: int, ticks: int, clock: int = 90_000) -> list[bytes]:
+    """A header, then one fragment for each segment of (sample, is keyframe); decode times go on from fragment to fragment."""
+    if not segments or not all(segments):
+        raise BitstreamError("a fragment needs frames")
+    empty = box(b"stbl", _entry(width, height), *(box(k, _words(0, 0)) for k in (b"stts", b"stsc", b"stco")), box(b"stsz", _words(0, 0, 0)))
+    head = box(b"mvhd", _words(0, 0, 0, clock, 0, 0x10000, 0x1000000, 0, 0), _MATRIX, _words(0, 0, 0, 0, 0, 0, 2))
+    out = [box(b"ftyp", b"iso6", _words(0), b"iso6av01cmfc") + box(b"moov", head, _track(width, height, 0, empty, clock), box(b"mvex", box(b"trex", _words(0, 1, 1, 0, 0, 0))))]
+    done = 0
+    for n, segment in enumerate(segments, 1):
+
+        def moof(offset: int, n: int = n, segment: list = segment, done: int = done) -> bytes:
+            runs = b"".join(_words(ticks, len(f), 0x02000000 if key else 0x01010000) for f, key in segment)
+            traf = box(b"traf", box(b"tfhd", _words(0x020000, 1)), box(b"tfdt", _words(0x01000000), struct.pack(">Q", done * ticks)), box(b"trun", _words(0x000701, len(segment), offset), runs))
+            return box(b"moof", box(b"mfhd", _words(0, n)), traf)
+
+        out.append(moof(len(moof(0)) + 8) + box(b"mdat", *(f for f, _ in segment)))
+        done += len(segment)
+    return out
+
+
+def write_units(frames: list[bytes]) -> bytes:
+    """An elementary stream: the temporal units one after another."""
+    return b"".join(frames)

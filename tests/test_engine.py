@@ -14,7 +14,7 @@ from lumenforge.functions import aces, color, curve, transfer
 from lumenforge.functions.num import clamp, quantize
 from lumenforge.operators import export, fidelity, integrity, pixels, regions, temporal, tonemap, validation
 from lumenforge.queries import REGISTRY, dynamic_frames, gain_frames
-from lumenforge.sources import bitstream, container, images
+from lumenforge.sources import bitstream, container, images, metadata
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -220,6 +220,34 @@ def test_bitstreams(spark):
     assert [r.path for r in rows if r.error] == ["d"]
 
 
+def test_binary_metadata(spark):
+    meta = {"metadata_schema_version": 2, "frame_index": 3}
+    data = metadata.encode(meta)
+    assert metadata.decode_dynamic(data) == meta and metadata.decode_static(metadata.encode(meta, metadata.STATIC_NAME)) == meta
+    old = struct.pack("<QffBBxxff", 7, 100.0, 10.0, 1, 2, 0.0, 1000.0) + struct.pack("<4f", 0, 0, 1, 1)
+    assert metadata.decode_dynamic(old)["tone_map_curve"] == {"type": "linear", "anchors": [{"input": 0.0, "output": 0.0}, {"input": 1.0, "output": 1.0}]}
+    fixed = (metadata.STATIC_V1_NAME + bytes([1, 1, 0, 0]) + struct.pack("<10d2f", *[0.1] * 8, 0.0, 1000.0, 900.0, 300.0)).ljust(128, b"\0")
+    assert metadata.decode_static(fixed)["content_light_level"] == {"max_cll_nits": 900.0, "max_fall_nits": 300.0}
+    for bad in (data + b"x", data[:-1], old + b"x", old[:-1], b"", old[:16] + b"\7" + old[17:]):
+        with pytest.raises(metadata.MetadataError):
+            metadata.decode_dynamic(bad)
+    for bad in (fixed + b"x", fixed[:100], b"", fixed[:8] + b"\7" + fixed[9:]):
+        with pytest.raises(metadata.MetadataError):
+            metadata.decode_static(bad)
+    rows = metadata.decode_table(spark.createDataFrame([(1, data), (2, b"no"), (3, None)], "i long, content binary")).collect()
+    assert [bool(r.error) for r in rows] == [False, True, True]
+
+
+def test_motion_rules(spark):
+    region = "named_struct('x', 0.1D, 'y', 0.1D, 'width', 0.2D, 'height', 0.2D, 'motion', named_struct('kind', 'piecewise_linear', 'frame_count', 0L, 'dx_per_frame', 0D, 'dy_per_frame', 0D, 'keyframes', array({})))"
+    key = "named_struct('frame_delta', {}L, 'dx', {}D, 'dy', 0D)"
+    said = lambda *k: value(spark, validation.first_failure(validation.region_motion(F.expr(region.format(", ".join(key.format(*x) for x in k))))))
+    assert said((0, 0.0), (5, 0.3)) is None and "two keyframes" in said((0, 0.0)) and "start" in said((1, 0.0), (2, 0.1))
+    assert "increasing" in said((0, 0.0), (5, 0.1), (5, 0.2)) and "leaves" in said((0, 0.0), (5, 0.9))
+    c = F.struct(F.lit(11).alias("speed"), F.lit(0).alias("quantizer"), F.lit(True).alias("lossless"))
+    assert "speed" in value(spark, validation.first_failure(validation.encoder_config(c)))
+
+
 def test_images(spark, tmp_path):
     df = spark.createDataFrame([(0, i, i, 2 * i, 3 * i) for i in range(6)], "frame_index long, pixel_idx long, r int, g int, b int")
     ppm = images.frames_as_bytes(df, 3, "ppm8").first().content
