@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a folder. Arrow batches are made smaller where the session has the default: texts are long."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "1000")
+        spark.conf.set(key, "250")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

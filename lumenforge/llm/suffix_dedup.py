@@ -189,20 +189,52 @@ def _repeated(packed: DataFrame, parts: int) -> DataFrame:
     return replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(meet, "doc_id long, places binary, hashes binary")
 
 
-def _contexts(docs: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
-    """(hash, doc_id, place, left, right): what one window can reach on either side of each repeated anchor."""
+CONTEXT = "hash long, doc_id long, place long, left binary, right binary, copies long"
+_NAMES = ["hash", "doc_id", "place", "left", "right", "copies"]
+#: Distinct contexts that a worker holds to find equal ones before they are sent.
+HELD = 50_000
+
+
+def _contexts(docs: DataFrame, found: DataFrame, length: int, gram: int, groups: bool) -> DataFrame:
+    """What one window can reach on either side of each repeated anchor: (hash, doc_id, place, left, right, copies).
+
+    Of equal contexts of a task only the earliest is sent, with their number. The others are repeats as far as the
+    context goes; they are answered as rows without ``left``, whose ``hash`` spreads them and whose ``copies`` is the length of
+    the repeat from ``place``. So a passage that a large share of all texts hold comes to one row a task.
+    """
     grouped = found.groupBy("doc_id").agg(F.collect_list("places").alias("places"), F.collect_list("hashes").alias("hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
+        held: dict[tuple[int, bytes, bytes], list[int]] = {}
+
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (*[pa.int64()] * 3, *[pa.binary()] * 2, pa.int64()), strict=True)], names=_NAMES)
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            rows = [(h, doc, place, left, right, n) for (h, left, right), (doc, place, n) in held.items()]
+            held.clear()
+            for i in range(0, len(rows), 5_000):
+                yield batch_of(rows[i : i + 5_000])
+
+        for batch in slices(batches, 4):
             out: list[tuple] = []
             for doc, text, places, hashes in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["places"].to_pylist(), batch["hashes"].to_pylist(), strict=True):
                 for p, h in zip(np.frombuffer(b"".join(places), "<u4").tolist(), np.frombuffer(b"".join(hashes), "<i8").tolist(), strict=True):
-                    out.append((h, doc, p, text[max(0, p - length + gram) : p], text[p : p + length]))
-            for i in range(0, len(out), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 10_000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["hash", "doc_id", "place", "left", "right"])
-
-    return by_id(docs.select("doc_id", "text"), found.select("doc_id").distinct(), "doc_id", "left_semi").join(grouped, "doc_id").mapInArrow(run, "hash long, doc_id long, place long, left binary, right binary")
+                    left, right = text[max(0, p - length + gram) : p], text[p : p + length]
+                    first = held.setdefault((h, left, right), [doc, p, 0])
+                    first[2] += 1
+                    if first[2] > 1:
+                        late = (doc, p)
+                        if late < (first[0], first[1]):
+                            late, first[:2] = (first[0], first[1]), late
+                        out.append((late[0], late[0], late[1] - len(left), None, left + right if groups else None, len(left) + len(right)))
+            for i in range(0, len(out), 5_000):
+                yield batch_of(out[i : i + 5_000])
+            if len(held) > HELD:
+                yield from sent()
+        yield from sent()
+
+    return by_id(docs.select("doc_id", "text"), found.select("doc_id").distinct(), "doc_id", "left_semi").join(grouped, "doc_id").mapInArrow(run, CONTEXT)
 
 
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -312,20 +344,29 @@ def _analyse(contexts: DataFrame, parts: int, length: int, gram: int, groups: bo
             types = (pa.string(), pa.int64(), pa.int64(), pa.int64()) if groups else (pa.int64(),) * 3
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
 
+        def answer(left: bytes, right: bytes, doc: int, start: int) -> tuple:
+            n = len(left) + len(right)
+            return (hashlib.md5(left + right).hexdigest(), n, doc, start) if groups else (doc, start, start + n)
+
         for batch in slices(batches, 2048):
             out: list[tuple] = []
-            for h, doc, place, left, right in zip(*(batch[c].to_pylist() for c in ("hash", "doc_id", "place", "left", "right")), strict=True):
+            for h, doc, place, left, right, copies in zip(*(batch[c].to_pylist() for c in _NAMES), strict=True):
+                if left is None:  # a later one of equal contexts of a task
+                    if copies >= length:
+                        out.append((hashlib.md5(right).hexdigest(), copies, doc, place) if groups else (doc, place, place + copies))
+                    continue
                 if h != at:
                     if len(held.number) > TOGETHER:
                         out += finish()
                     at, number, seen = h, number + 1, {}
-                first = seen.setdefault((left, right), (doc, place))
-                if first != (doc, place):
-                    if len(left) + len(right) >= length:
-                        if groups:
-                            out.append((hashlib.md5(left + right).hexdigest(), len(left) + len(right), doc, place - len(left)))
-                        else:
-                            out.append((doc, place - len(left), place + len(right)))
+                first = seen.setdefault((left, right), [doc, place, 0])
+                first[2] += copies
+                whole = len(left) + len(right) >= length
+                if whole and groups and first[2] > 1 and first[2] - copies in (0, 1):  # the earliest belongs to the group too
+                    out.append(answer(left, right, first[0], first[1] - len(left)))
+                if (doc, place) != (first[0], first[1]):
+                    if whole:
+                        out.append(answer(left, right, doc, place - len(left)))
                     continue
                 held.number.append(number)
                 held.where.append((doc, place))
@@ -352,7 +393,7 @@ def _repeats(docs: DataFrame, length: int, groups: bool) -> DataFrame:
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     pack, bits = bucket_plan(plan_bytes(docs) / 16, PACK, BUCKET)
     found = materialise(_repeated(_pack(docs, length, bits, pack), parts), few_files(docs))
-    return _analyse(_contexts(docs, found, length, GRAM), parts, length, GRAM, groups)
+    return _analyse(_contexts(docs, found, length, GRAM, groups), parts, length, GRAM, groups)
 
 
 def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
