@@ -70,11 +70,14 @@ def vectors_sql(base: str) -> str:
     FROM {base}"""
 
 
-def groups_sql(vectors: str) -> str:
+def sizes_sql(vectors: str) -> str:
+    return f"SELECT lang, source, COUNT(*) AS n FROM {vectors} WHERE NOT base_failed GROUP BY lang, source"
+
+
+def groups_sql(vectors: str, sizes: str) -> str:
     """Each row's group: its language and source, or its language alone where that has too few rows."""
     return f"""SELECT v.*, v.lang AS g1, CASE WHEN c.n >= {LEAST} THEN CONCAT('=', v.source) ELSE '' END AS g2
-    FROM {vectors} v LEFT JOIN (SELECT lang, source, COUNT(*) AS n FROM {vectors} WHERE NOT base_failed GROUP BY lang, source) c
-    ON v.lang = c.lang AND v.source = c.source"""
+    FROM {vectors} v LEFT JOIN {sizes} c ON v.lang = c.lang AND v.source = c.source"""
 
 
 def _percentile(x: str, p: float, duck: bool) -> str:
@@ -112,13 +115,17 @@ def bins_sql(rows: str, estimate: str) -> str:
     return f"SELECT g1, g2, {keep}, CAST(FLOOR(64 * LN(1 + d2)) AS BIGINT) AS b FROM ({distance_sql(f'(SELECT g1, g2, {keep} FROM {rows} WHERE NOT base_failed)', estimate)}) d"
 
 
-def step_sql(bins: str, duck: bool) -> str:
+def cuts_sql(bins: str, duck: bool) -> str:
+    """The bin of distance that holds the H share of each group."""
+    return f"SELECT g1, g2, {_percentile('b', H, duck)} AS cut FROM {bins} GROUP BY g1, g2"
+
+
+def step_sql(bins: str, cuts: str) -> str:
     """The next estimate, from the H share of least distances (whole bins of distance)."""
     ij = [(i, j) for i in range(1, DIMS + 1) for j in range(1, i + 1)]
     sums = ", ".join([f"SUM(b.x{i}) AS s{i}" for i in range(1, DIMS + 1)] + [f"SUM(b.x{i} * b.x{j}) AS s{i}{j}" for i, j in ij])
     sql = f"""SELECT b.g1, b.g2, COUNT(*) AS n, {sums} FROM {bins} b
-      JOIN (SELECT g1, g2, {_percentile("b", H, duck)} AS cut FROM {bins} GROUP BY g1, g2) c
-      ON b.g1 = c.g1 AND b.g2 = c.g2 AND b.b <= CEIL(c.cut) GROUP BY b.g1, b.g2"""
+      JOIN {cuts} c ON b.g1 = c.g1 AND b.g2 = c.g2 AND b.b <= CEIL(c.cut) GROUP BY b.g1, b.g2"""
     sql = f"SELECT g1, g2, n, {', '.join(f's{i}{j}' for i, j in ij)}, {', '.join(f'CAST(s{i} AS DOUBLE) / n AS m{i}' for i in range(1, DIMS + 1))} FROM ({sql}) a"
     sql = f"""SELECT g1, g2, n, {', '.join(f'm{i}' for i in range(1, DIMS + 1))},
       {', '.join(f"(CAST(s{i}{j} AS DOUBLE) / n - m{i} * m{j}) * {CONSISTENT} {f'+ {FLOORS[i - 1] ** 2}' if i == j else ''} AS c{i}{j}" for i, j in ij)} FROM ({sql}) m"""
@@ -154,10 +161,12 @@ def quality_verdicts(docs: DataFrame) -> DataFrame:
         df = materialise(spark.sql(sql), files)
         return view(F.broadcast(df) if small(df, 20_000) else df)
 
-    rows = view(materialise(spark.sql(groups_sql(view(materialise(spark.sql(vectors_sql(view(base_statistics(docs)))))))), files))
+    vectors = view(materialise(spark.sql(vectors_sql(view(base_statistics(docs))))))
+    rows = view(materialise(spark.sql(groups_sql(vectors, narrow(sizes_sql(vectors)))), files))
     estimate = narrow(start_sql(rows, narrow(medians_sql(rows, False)), False))
     for _ in range(STEPS):
-        estimate = narrow(step_sql(view(spark.sql(bins_sql(rows, estimate))), False))
+        bins = view(spark.sql(bins_sql(rows, estimate)))
+        estimate = narrow(step_sql(bins, narrow(cuts_sql(bins, False))))
     out = spark.sql(verdict_sql(rows, estimate))
     for name in named:
         spark.catalog.dropTempView(name)
@@ -183,7 +192,7 @@ def op5_sql() -> str:
             (SELECT doc_id, w, UNNEST(RANGE(1, LEN(w) - 1)) AS i FROM
               (SELECT doc_id, LIST_FILTER(STRING_SPLIT_REGEX(COALESCE(text, ''), '[\t-\r ]+'), lambda x: x <> '') AS w FROM documents) a) b) c) d
        WHERE c > 1) e GROUP BY doc_id) r ON d.doc_id = r.doc_id"""
-    parts = [("q_base", base), ("q_vectors", vectors_sql("q_base")), ("q_rows", groups_sql("q_vectors")), ("q_medians", medians_sql("q_rows", True)), ("q_e0", start_sql("q_rows", "q_medians", True))]
+    parts = [("q_base", base), ("q_vectors", vectors_sql("q_base")), ("q_sizes", sizes_sql("q_vectors")), ("q_rows", groups_sql("q_vectors", "q_sizes")), ("q_medians", medians_sql("q_rows", True)), ("q_e0", start_sql("q_rows", "q_medians", True))]
     for k in range(STEPS):
-        parts += [(f"q_b{k}", bins_sql("q_rows", f"q_e{k}")), (f"q_e{k + 1}", step_sql(f"q_b{k}", True))]
+        parts += [(f"q_b{k}", bins_sql("q_rows", f"q_e{k}")), (f"q_c{k}", cuts_sql(f"q_b{k}", True)), (f"q_e{k + 1}", step_sql(f"q_b{k}", f"q_c{k}"))]
     return "WITH " + ",\n".join(f"{name} AS MATERIALIZED ({sql})" for name, sql in parts) + "\n" + verdict_sql("q_rows", f"q_e{STEPS}")
