@@ -265,3 +265,29 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() == 5 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_jobs(spark, data, tmp_path):
+    from lumenforge.plans import jobs
+
+    (tmp_path / "x.bin").write_bytes(container.build(container.Header(2, "delivery", 0, 2, 1, 1, 0), json.dumps(jobs.static_metadata()), [(json.dumps(jobs.dynamic_metadata(v2=True)), bytes(24))]))
+    assert jobs.info(spark, str(tmp_path / "x.bin")).first().frames_read == 1
+    static = json.dumps(jobs.static_metadata("mastering"))
+    schema = spark.read.json(spark.sparkContext.parallelize([static])).schema
+    assert value(spark, validation.first_failure(validation.static_meta(F.from_json(F.lit(static), schema)))) is None
+    for v2 in (False, True):
+        d = F.from_json(F.lit(json.dumps(jobs.dynamic_metadata(v2=v2))), validation.DYNAMIC)
+        assert value(spark, validation.first_failure(validation.dynamic_meta(d))) is None
+    assert jobs.pq(spark, [203.0, -1.0]).collect()[1].signal is None
+    run = jobs.conformance_run(jobs.conformance_generate(spark, 2, 16, 16)).collect()
+    assert len(run) == 2 and all(r.passed and r.psnr_db > 35 for r in run)
+    seen = jobs.inspect(jobs.write_test(spark, "delivery").withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0)})).first()
+    assert 0 < seen.mean_after <= 1 and 0 < seen.mean_before <= 1
+    bundle = jobs.interop_bundle(dynamic_frames(spark, data), jobs.write_test(spark, "delivery"))
+    assert all(df.count() for df in bundle.values()) and json.loads(bundle["hdr10plus"].first().json)["profile"] == "advanced"
+    assert jobs.aces_export(jobs.write_test(spark), "rec709_100nit").count() == 64
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.ivf").write_bytes(bitstream.write_ivf([bitstream.embed(bytes([6 << 3 | 2, 0]), b"m")], 4, 4, 24.0))
+    assert bytes(jobs.probe(spark, str(tmp_path / "s")).first().payload) == b"m"
+    moved = json.loads(jobs.object_motion("translate", (0.1, 0.1, 0.2, 0.2), 5, (0.5, 0.3)))
+    assert moved["motion"]["dx_per_frame"] == pytest.approx(0.1)
