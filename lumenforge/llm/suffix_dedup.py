@@ -67,7 +67,7 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple
         part = np.searchsorted(starts, at, side="right") - 1
         rows.append(row[part])
         places.append(at - starts[part] + base[part])
-        hashes.append(h[at])
+        hashes.append(mix(h[at]))  # least values are far from uniform; buckets need uniform ones
 
     parts, row, base, held = [], [], [], 0
     for i, t in enumerate(texts):
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((doc, len(text), sum(b - a for a, b in merged), len(merged), kept.hexdigest()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    changed = by_id(single, touched, "doc_id", "left_semi").join(spans, "doc_id").mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    changed = by_id(single, touched, "doc_id", "left_semi").join(spans, "doc_id").coalesce(few_files(docs)).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     zero = F.lit(0).cast("long")
     whole = by_id(single, touched, "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
