@@ -18,7 +18,7 @@ from lumenforge.llm.common import materialise, ranked, table
 #: ASCII punctuation after a letter or digit is a token of its own (but for apostrophes): such words have their parts' ids.
 ENDED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 
 
 class WordIds(dict):
