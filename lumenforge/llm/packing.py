@@ -18,7 +18,7 @@ from lumenforge.llm.common import materialise, ranked, table
 #: ASCII punctuation after a letter or digit is a token of its own (but for apostrophes): such words have their parts' ids.
 ENDED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
 
 
 class WordIds(dict):
@@ -54,6 +54,16 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.lower().split()))
 
 
+_KEPT: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """A worker keeps what it remembers from task to task."""
+    if path not in _KEPT:
+        _KEPT[path] = WordIds(path)
+    return _KEPT[path]
+
+
 def piece_lengths(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every piece of every text."""
 
@@ -61,7 +71,7 @@ def piece_lengths(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = WordIds(tokenizer), b"\0\0\0\0"
+        words, end = word_ids(tokenizer), b"\0\0\0\0"
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0), batch.column(1).cast(pa.binary()), strict=True):
