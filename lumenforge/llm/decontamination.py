@@ -52,12 +52,12 @@ def _lower(text: bytes) -> bytes:
     return low if len(low) == len(text) else b"".join(c.lower().encode() if len(c.lower().encode()) == len(c.encode()) else c.encode() for c in text.decode())
 
 
-def canonical(texts: list[bytes], names: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, canonical token, own hash) of every token.
+def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, canonical token, the same without names, own hash) of every token.
 
     Whatever holds a digit or is a number word is NUMBER; a unit after a number is UNIT; a capitalised word that
-    doesn't start a sentence is NAME, unless ``names`` is off or the text capitalises a third of its words (titles,
-    all capitals); other tokens stand for themselves, in lower case.
+    doesn't start a sentence is NAME in the first form; other tokens stand for themselves, in lower case. The second
+    form is for titles, all capitals and passages that are dense with names.
     """
     buf, at = joined(texts)
     low = np.frombuffer(b"\n".join([_lower(t) for t in texts]) + b"\n", np.uint8)
@@ -68,14 +68,12 @@ def canonical(texts: list[bytes], names: bool = True) -> tuple[np.ndarray, np.nd
     number = (digits[ends] > digits[starts]) | _in(own, _NUMBERS)
     first = np.ones(len(own), bool)
     first[1:] = (row[1:] != row[:-1]) | (stops[starts[1:]] > stops[ends[:-1]])
-    unit, name = _in(own, _UNITS), capital & ~first & ~number & names
-    capitals, inner = (np.bincount(row[x], minlength=len(texts)) for x in (name, ~first))
-    name &= (3 * capitals < np.maximum(inner, 1))[row]
+    unit, name = _in(own, _UNITS), capital & ~first & ~number
     unit[0:1] = False
     unit[1:] &= number[:-1] & (row[1:] == row[:-1])
-    token = own.copy()
-    token[name], token[unit], token[number] = NAME, UNIT, NUMBER
-    return row, token, own
+    plain = own.copy()
+    plain[unit], plain[number] = UNIT, NUMBER
+    return row, np.where(name & ~unit, NAME, plain), plain, own
 
 
 def windows(row: np.ndarray, token: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,17 +89,21 @@ def windows(row: np.ndarray, token: np.ndarray, window: int, literals: int) -> t
     return first, mix(h)
 
 
+def both_windows(row: np.ndarray, token: np.ndarray, plain: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of both forms; those that are the same in both count once."""
+    (a, h), (b, k) = windows(row, token, window, literals), windows(row, plain, window, literals)
+    slots = np.concatenate(([0], np.cumsum(token != plain)))
+    other = slots[b + window] > slots[b]
+    return np.concatenate((a, b[other])), np.concatenate((h, k[other]))
+
+
 class Templates:
     """Windows of some benchmark items, sorted by hash: for each window its items, places and slot values."""
 
     def __init__(self, ids: list[int], texts: list[bytes], window: int, literals: int, run: int):
         self.window, self.literals, self.run, self.ids = window, literals, run, np.array(ids, np.int64)
-        self.row, self.token, self.own = canonical(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-        first, h = windows(self.row, self.token, window, literals)
-        if len(first):  # names as they stand too, for texts whose capitals say nothing
-            plain, more = windows(self.row, canonical(texts, names=False)[1], window, literals)
-            first, h = np.unique(np.stack((np.concatenate((first, plain)).astype(np.uint64), np.concatenate((h, more)))), axis=1)
-            first = first.astype(np.int64)
+        self.row, self.token, plain, self.own = canonical(texts)
+        first, h = both_windows(self.row, self.token, plain, window, literals)
         order = np.argsort(h, kind="stable")
         self.first, self.hash = first[order], h[order]
         counts = np.bincount(self.row[np.unique(first)], minlength=len(ids)) if len(first) else np.zeros(len(ids), np.int64)
@@ -112,8 +114,8 @@ class Templates:
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
         if not len(self.hash):
             return out
-        row, token, own = canonical(texts)
-        first, h = windows(row, token, self.window, self.literals)
+        row, token, plain, own = canonical(texts)
+        first, h = both_windows(row, token, plain, self.window, self.literals)
         lo = np.searchsorted(self.hash, h)
         hit = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
         if not len(hit):
@@ -122,6 +124,7 @@ class Templates:
         n = hi - lo
         place = np.repeat(first[hit], n)
         theirs = self.first[np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
+        place, theirs = np.unique(np.stack((place, theirs)), axis=1)  # both forms may match
         order = np.lexsort((place, place - theirs, self.row[theirs], row[place]))
         place, theirs = place[order], theirs[order]
         key = np.stack((row[place], self.row[theirs], place - theirs))

@@ -361,6 +361,15 @@ def test_contamination(spark, data):
     assert {r.doc_id for r in kept.collect()} == set(range(9)) - {d for d, _ in got} and kept.columns == docs.columns
 
 
+def test_contamination_finds_items_dense_with_names(spark):
+    item = "When did Anna Maria Keller of Old Vienna and Paul Otto Braun of New Salzburg first meet Clara Wieck near Lake Garda"
+    long = "it rained all day and nobody went out to see the fields by the river " * 20
+    docs = spark.createDataFrame(rows_of([long + item + " and " + long, (long + item).upper(), long]), DOCS)
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {(0, 1), (1, 1)}
+    assert [r.doc_id for r in docs.where(~decontamination.is_contaminated(spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()] == [2]
+
+
 def test_contamination_finds_given_passages(spark, data):
     items = {r.item_id: r.text.lower().split() for r in table(spark, data, "benchmark").collect()}
     index = defaultdict(set)
