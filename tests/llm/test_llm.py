@@ -216,6 +216,22 @@ def test_randomness_battery(spark):
     assert sum(x >= 0.01 for x in p[:60]) >= 54 and all(x < 0.01 for x in p[60:])
 
 
+def test_secrets_are_found_beside_many_natural_tokens(spark):
+    made = random.Random(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("a", "en", "ight", "o", "ul") for c in ("", "er", "ing", "tion")]
+    word = lambda: made.choice(vocabulary)
+    keys = ["".join(made.choice(secret_scan.ALPHABETS["alnum"]) for _ in range(40)) for _ in range(100)]
+    names = [f"{''.join(word().title() for _ in range(12))[:38]}{made.randint(10, 99)}" for _ in range(400)]
+    prose = lambda: " ".join(word() for _ in range(60))
+    docs = spark.createDataFrame(rows_of([f"{prose()} {x} {prose()}" for x in keys + names]), DOCS)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = {r.doc_id: {text[r.doc_id][int(a) : int(b)] for _, a, b in (x.split(":") for x in r.spans.split(",") if x)} for r in secret_scan.scan_secrets(docs).collect()}
+    assert sum(k in got[i] for i, k in enumerate(keys)) >= 85
+    assert sum(bool(got[i]) for i in range(100, 500)) <= 5
+    masked = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs).collect()}
+    assert sum(k not in masked[i] for i, k in enumerate(keys)) >= 85
+
+
 def test_language_model(spark, odd, data):
     for docs in (odd, table(spark, data, "documents")):
         text = {r.doc_id: words(r.text) for r in docs.collect()}
