@@ -132,19 +132,30 @@ class Templates:
         best: dict[tuple[int, int], int] = {}
         for a, b in zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(place)])), strict=True):
             item = int(self.row[theirs[a]])
-            if len(np.unique(place[a:b])) >= self.need[item] and self._consistent(own, token, place[a:b], theirs[a:b]):
-                best[(int(row[place[a]]), item)] = max(best.get((int(row[place[a]]), item), 0), int(b - a))
+            if b - a >= self.need[item] and (k := self._consistent(own, place[a:b], theirs[a:b])) >= self.need[item]:
+                best[(int(row[place[a]]), item)] = max(best.get((int(row[place[a]]), item), 0), k)
         for (r, item), k in best.items():
             out[r].append((int(self.ids[item]), k))
         return out
 
-    def _consistent(self, own: np.ndarray, token: np.ndarray, place: np.ndarray, theirs: np.ndarray) -> bool:
-        """Within a passage a slot's value must map to one value only, and no two to the same."""
-        at = np.unique(place[:, None] + np.arange(self.window))
+    def _consistent(self, own: np.ndarray, place: np.ndarray, theirs: np.ndarray) -> int:
+        """Windows of the longest stretch of a passage in which each value of the item's slots maps to one value only."""
+        at = np.arange(place[0], place[-1] + self.window)
         there = at + (theirs[0] - place[0])
-        slot = (token[at] == NUMBER) | (token[at] == NAME) | (token[at] == UNIT)
-        pairs = set(zip(own[at][slot].tolist(), self.own[there][slot].tolist(), strict=True))
-        return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+        slot = np.flatnonzero((self.token[there] == NUMBER) | (self.token[there] == NAME) | (self.token[there] == UNIT))
+        clash = np.full(len(at), -1, np.int64)  # the last place before that gives the same value another one
+        seen: dict[int, tuple[int, int, int]] = {}
+        for i, value, other in zip(slot.tolist(), self.own[there[slot]].tolist(), own[at[slot]].tolist(), strict=True):
+            held, last, before = seen.get(value, (other, -1, -1))
+            if held != other:
+                before = last
+            clash[i] = before
+            seen[value] = (other, i, before)
+        if clash.max() < 0:
+            return len(place)
+        start = place - place[0]
+        least = np.searchsorted(start, np.maximum.accumulate(clash)[start + self.window - 1], side="right")
+        return int((np.arange(len(start)) - least + 1).max())
 
 
 def blocks(benchmark: DataFrame, window: int, literals: int, run: int, block_windows: int = BLOCK_WINDOWS) -> Iterator[Templates]:
@@ -164,7 +175,7 @@ def blocks(benchmark: DataFrame, window: int, literals: int, run: int, block_win
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_windows) of every document that holds a passage of a benchmark item, parameters changed or not.
 
-    ``n_windows`` is the length of the longest passage in windows. Items or texts shorter than a window match nothing,
+    ``n_windows`` is the length of the longest consistent passage in windows. Items or texts shorter than a window match nothing,
     as null and empty ones; documents that repeat give a row each; rows without an id give none; empty tables give no
     rows; other columns are not read. All texts pass once for each block of benchmark windows (one, for a million).
     """

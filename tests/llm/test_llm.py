@@ -386,6 +386,15 @@ def test_contamination_finds_items_dense_with_names(spark):
     assert [r.doc_id for r in docs.where(~decontamination.is_contaminated(spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()] == [2]
 
 
+def test_contamination_finds_consistent_stretches(spark):
+    item = "the old mill by the quiet river ground 40 sacks of corn in one long day and the miller kept 40 coins in a green box under the wide stone stair"
+    rate = "a slow cart went along the dusty road for 60 miles in only 3 hours and then it stopped beside a tall red barn"
+    texts = [item.replace("40 coins", "55 coins"), item.replace("40", "55"), rate.replace("60", "4").replace("3 hours", "4 hours"), "the old mill by the sea"]
+    benchmark = spark.createDataFrame([(1, item), (2, rate)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontamination.contaminated(spark.createDataFrame(rows_of(texts), DOCS), benchmark).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 2)} and got[(0, 1)] < got[(1, 1)]
+
+
 def test_contamination_finds_given_passages(spark, data):
     items = {r.item_id: r.text.lower().split() for r in table(spark, data, "benchmark").collect()}
     index = defaultdict(set)
