@@ -76,6 +76,14 @@ def canonical(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return row, np.where(name & ~unit, NAME, plain), plain, own
 
 
+def folded(token: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n tokens from each place."""
+    h = token[first]
+    for j in range(1, n):
+        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + token[first + j]
+    return mix(h)
+
+
 def windows(row: np.ndarray, token: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
     """Where windows with enough literal tokens start, and their hashes."""
     if len(row) < window:
@@ -83,10 +91,7 @@ def windows(row: np.ndarray, token: np.ndarray, window: int, literals: int) -> t
     first = np.flatnonzero(row[: len(row) - window + 1] == row[window - 1 :])
     literal = np.concatenate(([0], np.cumsum((token != NUMBER) & (token != NAME) & (token != UNIT))))
     first = first[literal[first + window] - literal[first] >= literals]
-    h = token[first]
-    for j in range(1, window):
-        h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9) + token[first + j]
-    return first, mix(h)
+    return first, folded(token, first, window)
 
 
 def both_windows(row: np.ndarray, token: np.ndarray, plain: np.ndarray, window: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +113,60 @@ class Templates:
         self.first, self.hash = first[order], h[order]
         counts = np.bincount(self.row[np.unique(first)], minlength=len(ids)) if len(first) else np.zeros(len(ids), np.int64)
         self.need = np.minimum(run, np.maximum(counts, 1))  # an item of few windows must match in all of them
+        self.whole = self._whole(np.flatnonzero(counts == 0), plain)
+        firsts = [h for kinds in self.whole.values() for _, h, _ in kinds.values()]
+        self.firsts = np.unique(np.concatenate(firsts)) if firsts else np.zeros(0, np.uint64)
+
+    def _whole(self, items: np.ndarray, plain: np.ndarray) -> dict[int, dict[int, tuple[dict[int, list[int]], np.ndarray, bool]]]:
+        """Items without windows, by length and form (canonical, without names, as they stand): where the items of each
+        hash start, their first tokens, whether slots may change. Forms of few literal tokens are left out but the last."""
+        begins, sizes = np.searchsorted(self.row, items), np.searchsorted(self.row, items, side="right")
+        out: dict[int, dict] = {}
+        for a, b in zip(begins.tolist(), sizes.tolist(), strict=True):
+            for form, token in enumerate((self.token, plain, self.own)):
+                part = token[a:b]
+                literal = np.count_nonzero((part != NUMBER) & (part != NAME) & (part != UNIT))
+                if b > a and (form == 2 or literal >= self.literals):
+                    places, firsts, _ = out.setdefault(b - a, {}).setdefault(form, ({}, [], form < 2))
+                    places.setdefault(int(folded(token, np.array([a]), b - a)[0]), []).append(a)
+                    firsts.append(part[0])
+        return {n: {form: (places, np.unique(np.array(firsts, np.uint64)), slots) for form, (places, firsts, slots) in kinds.items()} for n, kinds in out.items()}
+
+    def _whole_matches(self, row: np.ndarray, forms: tuple[np.ndarray, ...], own: np.ndarray) -> set[tuple[int, int]]:
+        """(row, item) of the items without windows that stand whole in a text."""
+        likely = [np.flatnonzero(_in(token, self.firsts)) for token in forms]
+        found = set()
+        for n, kinds in self.whole.items():
+            for form, (places, firsts, slots) in kinds.items():
+                token, at = forms[form], likely[form]
+                at = at[at + n <= len(row)]
+                at = at[(row[at + n - 1] == row[at]) & _in(token[at], firsts)]
+                h = folded(token, at, n)
+                held = np.sort(np.fromiter(places, np.uint64, len(places)))
+                hit = np.flatnonzero(_in(h, held))
+                for a, key in zip(at[hit].tolist(), h[hit].tolist(), strict=True):
+                    for b in places[key]:
+                        if (int(row[a]), int(self.row[b])) not in found and (not slots or self._maps(own[a : a + n], b, n)):
+                            found.add((int(row[a]), int(self.row[b])))
+        return found
+
+    def _maps(self, own: np.ndarray, at: int, n: int) -> bool:
+        """Whether each value of the item's slots maps to one value only."""
+        token = self.token[at : at + n]
+        slot = (token == NUMBER) | (token == NAME) | (token == UNIT)
+        pairs = set(zip(self.own[at : at + n][slot].tolist(), own[slot].tolist(), strict=True))
+        return len(pairs) == len({a for a, _ in pairs})
 
     def matches(self, texts: list[bytes]) -> list[list[tuple[int, int]]]:
         """For each text the (item, windows of its longest passage) that it holds, slots consistent."""
         out: list[list[tuple[int, int]]] = [[] for _ in texts]
-        if not len(self.hash):
+        if not len(self.hash) and not self.whole:
             return out
         row, token, plain, own = canonical(texts)
+        for r, item in sorted(self._whole_matches(row, (token, plain, own), own)):
+            out[r].append((int(self.ids[item]), 1))
+        if not len(self.hash):
+            return out
         first, h = both_windows(row, token, plain, self.window, self.literals)
         lo = np.searchsorted(self.hash, h)
         hit = np.flatnonzero(self.hash[np.minimum(lo, len(self.hash) - 1)] == h)
@@ -175,8 +227,9 @@ def blocks(benchmark: DataFrame, window: int, literals: int, run: int, block_win
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, run: int = RUN) -> DataFrame:
     """(doc_id, item_id, n_windows) of every document that holds a passage of a benchmark item, parameters changed or not.
 
-    ``n_windows`` is the length of the longest consistent passage in windows. Items or texts shorter than a window match nothing,
-    as null and empty ones; documents that repeat give a row each; rows without an id give none; empty tables give no
+    ``n_windows`` is the length of the longest consistent passage in windows. An item without
+    a window of enough literal tokens must stand whole, and as it is where it has few of them (one window). Null and empty
+    items and texts match nothing; documents that repeat give a row each; rows without an id give none; empty tables give no
     rows; other columns are not read. All texts pass once for each block of benchmark windows (one, for a million).
     """
     found = None

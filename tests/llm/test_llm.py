@@ -395,6 +395,14 @@ def test_contamination_finds_consistent_stretches(spark):
     assert set(got) == {(0, 1), (1, 1), (2, 2)} and got[(0, 1)] < got[(1, 1)]
 
 
+def test_contamination_finds_short_and_number_dense_items(spark):
+    items = ["What is 17 times 23?", "Add 3 km 5 km 7 km 9 km 11 km 13 km 15 km", "Who painted the old ceiling of Rome?", ""]
+    texts = ["so: what is 17 times 23? ok", "what is 18 times 23", "x " + items[1].lower() + " y", "add 3 km 5 km 7 km 9 km 11 km 13 km 16 km", "say, who painted the old ceiling of Paris now", items[0]]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontamination.contaminated(spark.createDataFrame(rows_of(texts), DOCS), benchmark).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (2, 1), (4, 2), (5, 0)} and len(got) == 4
+
+
 def test_contamination_finds_given_passages(spark, data):
     items = {r.item_id: r.text.lower().split() for r in table(spark, data, "benchmark").collect()}
     index = defaultdict(set)
