@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +20,39 @@ CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder. Arrow batches are made smaller where the session has the default: texts are long."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, "250")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 250) -> Iterator[None]:
+    """Arrow batches of a few rows for the jobs that run inside: packed rows are large. The session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints that the session names (a fresh one only where it names none)."""
+    """The folder for checkpoints that the session names. Only a local session, as in tests, may name none: it gets a fresh one."""
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not held.isDefined():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
     return held.get()
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate results, wherever it is stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Cut the lineage by a checkpoint in the shared folder, in at most ``parts`` files (see `few_files`)."""
     shared_folder(df.sparkSession)
@@ -96,6 +114,52 @@ def ranked(df: DataFrame, strata: list[str], bucket: Column, order: list[str], r
     )
 
 
+# ---- rows as documents --------------------------------------------------------------------------------------
+
+
+@dataclass
+class Documents:
+    """``rows`` (doc_id, text): ids unique, neither null. ``again`` (doc_id, given, times): for the numbers of what had no
+    id of its own or stands in several rows, the id that it came with and its rows; None where there is none."""
+
+    rows: DataFrame
+    again: DataFrame | None
+
+    def restore(self, result: DataFrame) -> DataFrame:
+        """A result by ``doc_id`` with the ids that the rows came with, one row for each of them."""
+        if self.again is None:
+            return result
+        joined = result.join(self.again, "doc_id", "left").withColumn("_each", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+        return joined.select(F.when(F.col("times").isNull(), F.col("doc_id")).otherwise(F.col("given")).alias("doc_id"), *(c for c in result.columns if c != "doc_id"))
+
+
+def documents(docs: DataFrame) -> Documents:
+    """One document for each id and text. Rows that repeat both are one document; of different texts under one id the one
+    of least MD5 keeps the id; the others, and texts without an id, get numbers above all ids, in the order of (id, MD5).
+
+    Only ids are read to see whether there is anything to do; only the rows concerned are hashed and shuffled then.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ids = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n"))
+    seen = ids.agg(F.coalesce(F.max("_n"), F.lit(0)).alias("most"), F.count_if(F.col("doc_id").isNull()).alias("none"), F.coalesce(F.max("doc_id"), F.lit(0)).alias("top")).first()
+    if seen.most <= 1 and not seen.none:
+        return Documents(rows, None)
+    twice = materialise(ids.where("_n > 1 and doc_id is not null").select("doc_id"), few_files(docs))
+    key = F.md5(F.col("text").cast("binary")).alias("_md5")
+    odd = by_id(rows.where("doc_id is not null"), twice, "doc_id", "left_semi").union(rows.where("doc_id is null"))
+    each = odd.select("doc_id", "text", key).groupBy("doc_id", "_md5").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("times"))  # equal rows meet in each task first
+    each = materialise(each, few_files(docs))
+    narrow = each.select("doc_id", "_md5", "times")
+    firsts = narrow.where("doc_id is not null").groupBy("doc_id").agg(F.min("_md5").alias("_least"))
+    marked = narrow.join(firsts, "doc_id", "left").withColumn("_own", F.coalesce(F.col("_md5") == F.col("_least"), F.lit(False)))
+    rest = ranked(marked.where("not _own"), [], F.when(F.col("doc_id").isNull(), F.concat(F.lit("1"), F.substring("_md5", 1, 3))).otherwise(F.lit("0")), ["doc_id", "_md5"], "_rank")
+    own, rest = marked.where("_own").select("doc_id", "_md5", "times", F.col("doc_id").alias("_no")), rest.select("doc_id", "_md5", "times", (F.lit(seen.top + 1) + F.col("_rank")).alias("_no"))
+    numbers = materialise(own.union(rest), few_files(docs))
+    texts = each.drop("times").alias("e").join(numbers.alias("n"), F.expr("e.doc_id <=> n.doc_id and e._md5 = n._md5")).select(F.col("_no").alias("doc_id"), "text")
+    plain = by_id(rows.where("doc_id is not null"), twice, "doc_id", "left_anti")
+    return Documents(plain.union(texts), numbers.select(F.col("_no").alias("doc_id"), F.col("doc_id").alias("given"), "times"))
+
+
 # ---- words, hashed in numpy ---------------------------------------------------------------------------------
 
 
@@ -158,10 +222,14 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
             texts.append(t or b"")
             held += len(texts[-1]) + 1
             if held >= size or len(ids) >= 20_000:
-                yield np.array(ids, np.int64), texts
+                yield _ids(ids), texts
                 ids, texts, held = [], [], 0
     if ids:
-        yield np.array(ids, np.int64), texts
+        yield _ids(ids), texts
+
+
+def _ids(ids: list[int | None]) -> np.ndarray:
+    return np.array(ids, object if None in ids else np.int64)
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -3,12 +3,14 @@
 1. Every window of ``length`` bytes holds one anchor: the position whose GRAM-byte hash is least in it, leftmost of
    equals. Equal windows hold equal anchors at equal places, so suffixes need sorting only where anchors stand, and
    only in groups of equal anchor hashes (`anchors`, `_pack`, `_repeated`).
-2. An anchor that stands in one place only can't be in a repeat. The others send the bytes around them, as far as one
-   window reaches, to the task of their hash (`_contexts`).
+2. An anchor that stands in one place only can't be in a repeat. The others send the bytes around them to the task of
+   their hash (`_contexts`).
 3. There each group is an enhanced suffix array: suffixes at the anchors, sorted, with their common prefixes. A stack
    scan gives its interval tree; in each interval a second scan over the reversed left contexts gives the sets that
    share a longer left side too. A set whose left extensions and right extensions both differ is a maximal repeat,
-   with all its occurrences (`maximal_repeats`).
+   with all its occurrences (`Group`).
+4. To remove repeats, contexts need to reach no further than one window. To give every maximal repeat whole, windows
+   and contexts double from level to level, for the documents that hold longer ones (`maximal_repeats`).
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import CHUNK_BYTES, bucket_plan, by_id, chunks, few_files, materialise, mix, plan_bytes, powers, slices, table
+from lumenforge.llm.common import CHUNK_BYTES, bucket_plan, by_id, chunks, documents, few_files, materialise, mix, plan_bytes, powers, slices, small_batches, table
 
 LENGTH, GRAM = 100, 32
 #: Anchors that a worker packs at once, anchors that a bucket should hold (see `bucket_plan`), contexts that are sorted together.
@@ -95,7 +97,7 @@ def _cuts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(([0], cut)) if len(keys) else cut, np.concatenate((cut, [len(keys)])) if len(keys) else cut
 
 
-def _pack(docs: DataFrame, length: int, bits: int, pack: int) -> DataFrame:
+def _pack(docs: DataFrame, length: int, gram: int, bits: int, pack: int) -> DataFrame:
     """Anchors by hash bucket: the counts of a chunk's distinct hashes (kind 0), and its anchors by document (kind 1)."""
 
     def flush(held: list[tuple]) -> pa.RecordBatch:
@@ -115,7 +117,7 @@ def _pack(docs: DataFrame, length: int, bits: int, pack: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for ids, texts in chunks(batches, CHUNK_BYTES):
-            row, place, h = anchors(texts, length)
+            row, place, h = anchors(texts, length, gram)
             held.append((ids[row], place, h))
             n += len(h)
             if n >= pack:
@@ -195,14 +197,19 @@ _NAMES = ["hash", "doc_id", "place", "left", "right", "copies"]
 HELD = 50_000
 
 
-def _contexts(docs: DataFrame, found: DataFrame, length: int, gram: int, groups: bool) -> DataFrame:
+def _around(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Each document that holds repeated anchors, with its text and their places."""
+    grouped = found.groupBy("doc_id").agg(F.collect_list("places").alias("places"), F.collect_list("hashes").alias("hashes"))
+    return by_id(docs.select("doc_id", "text"), found.select("doc_id").distinct(), "doc_id", "left_semi").join(grouped, "doc_id")
+
+
+def _contexts(docs: DataFrame, found: DataFrame, length: int, gram: int) -> DataFrame:
     """What one window can reach on either side of each repeated anchor: (hash, doc_id, place, left, right, copies).
 
     Of equal contexts of a task only the earliest is sent, with their number. The others are repeats as far as the
     context goes; they are answered as rows without ``left``, whose ``hash`` spreads them and whose ``copies`` is the length of
     the repeat from ``place``. So a passage that a large share of all texts hold comes to one row a task.
     """
-    grouped = found.groupBy("doc_id").agg(F.collect_list("places").alias("places"), F.collect_list("hashes").alias("hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bytes, bytes], list[int]] = {}
@@ -227,14 +234,14 @@ def _contexts(docs: DataFrame, found: DataFrame, length: int, gram: int, groups:
                         late = (doc, p)
                         if late < (first[0], first[1]):
                             late, first[:2] = (first[0], first[1]), late
-                        out.append((late[0], late[0], late[1] - len(left), None, left + right if groups else None, len(left) + len(right)))
+                        out.append((late[0], late[0], late[1] - len(left), None, None, len(left) + len(right)))
             for i in range(0, len(out), 5_000):
                 yield batch_of(out[i : i + 5_000])
             if len(held) > HELD:
                 yield from sent()
         yield from sent()
 
-    return by_id(docs.select("doc_id", "text"), found.select("doc_id").distinct(), "doc_id", "left_semi").join(grouped, "doc_id").mapInArrow(run, CONTEXT)
+    return _around(docs, found).mapInArrow(run, CONTEXT)
 
 
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -271,19 +278,25 @@ def shared_bytes(side: np.ndarray, lens: np.ndarray, order: np.ndarray, group: n
 
 
 class Group:
-    """Distinct contexts of some anchors, each with its earliest occurrence, in the order in which they stand."""
+    """Distinct contexts of some anchors in the order in which they stand, each with what ``where`` tells of it."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.reach = length, length - gram
+    def __init__(self, length: int, left: int, right: int):
+        self.length, self.reach, self.ahead = length, left, right
         self.number, self.where, self.left, self.right = [], [], [], []
 
+    def add(self, number: int, where: object, left: bytes, right: bytes) -> None:
+        self.number.append(number)
+        self.where.append(where)
+        self.left.append(left)
+        self.right.append(right)
+
     def sets(self) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(left length, right length, members) of every maximal repeat of at least ``length`` bytes."""
+        """(left length, right length, members) of every maximal repeat of at least ``length`` bytes, as far as contexts reach."""
         m = len(self.number)
         group = np.array(self.number, np.int64)
         lens_l, lens_r = (np.array([len(x) for x in s], np.int64) for s in (self.left, self.right))
         left = np.frombuffer(b"".join([x[::-1].ljust(self.reach, b"\0") for x in self.left]), np.uint8).reshape(m, self.reach)
-        right = np.frombuffer(b"".join([x.ljust(self.length, b"\0") for x in self.right]), np.uint8).reshape(m, self.length)
+        right = np.frombuffer(b"".join([x.ljust(self.ahead, b"\0") for x in self.right]), np.uint8).reshape(m, self.ahead)
         by_left, _ = _sorted_common(group, left, lens_l)
         rank = np.empty(m, np.int64)
         rank[by_left] = np.arange(m)
@@ -312,138 +325,200 @@ class Group:
                         yield k, n, mine[i : j + 1]
 
 
-def _analyse(contexts: DataFrame, parts: int, length: int, gram: int, groups: bool) -> DataFrame:
-    """Maximal repeats with all occurrences of their distinct contexts, or what they remove around each anchor.
+def _covered(contexts: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """(doc_id, start, end): what repeats around an anchor remove.
 
     Occurrences come in order, so the first of equal contexts is the earliest; later ones are repeats as far as the
     context goes, and are answered at once, never held.
     """
-    names = ["repeat", "length", "doc_id", "start"] if groups else ["doc_id", "start", "end"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen, at, number = Group(length, gram), {}, None, 0
+        held, seen, at, number = Group(length, length - gram, length), {}, None, 0
 
         def finish() -> list[tuple]:
             out: list[tuple] = []
             if len(held.number) > 1:
-                where = np.array(held.where, np.int64).reshape(-1, 2)
-                widest = np.zeros((len(where), 2), np.int64)
+                widest = np.zeros((len(held.where), 2), np.int64)
                 for k, n, members in held.sets():
-                    if groups:
-                        name = hashlib.md5(held.left[members[0]][len(held.left[members[0]]) - k :] + held.right[members[0]][:n]).hexdigest()
-                        out += [(name, k + n, int(d), int(p) - k) for d, p in where[members]]
-                    else:
-                        later = members[members != members.min()]
-                        widest[later] = np.maximum(widest[later], (k, n))
-                if not groups:
-                    out = [(int(d), int(p - k), int(p + n)) for (d, p), (k, n) in zip(where.tolist(), widest.tolist(), strict=True) if n]
-            held.__init__(length, gram)
+                    later = members[members != members.min()]
+                    widest[later] = np.maximum(widest[later], (k, n))
+                out = [(d, p - k, p + n) for (d, p), (k, n) in zip(held.where, widest.tolist(), strict=True) if n]
+            held.__init__(length, length - gram, length)
             return out
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            types = (pa.string(), pa.int64(), pa.int64(), pa.int64()) if groups else (pa.int64(),) * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * len(types), types, strict=True)], names=names)
-
-        def answer(left: bytes, right: bytes, doc: int, start: int) -> tuple:
-            n = len(left) + len(right)
-            return (hashlib.md5(left + right).hexdigest(), n, doc, start) if groups else (doc, start, start + n)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 3)], names=["doc_id", "start", "end"])
 
         for batch in slices(batches, 2048):
             out: list[tuple] = []
             for h, doc, place, left, right, copies in zip(*(batch[c].to_pylist() for c in _NAMES), strict=True):
                 if left is None:  # a later one of equal contexts of a task
                     if copies >= length:
-                        out.append((hashlib.md5(right).hexdigest(), copies, doc, place) if groups else (doc, place, place + copies))
+                        out.append((doc, place, place + copies))
                     continue
                 if h != at:
                     if len(held.number) > TOGETHER:
                         out += finish()
-                    at, number, seen = h, number + 1, {}
-                first = seen.setdefault((left, right), [doc, place, 0])
-                first[2] += copies
-                whole = len(left) + len(right) >= length
-                if whole and groups and first[2] > 1 and first[2] - copies in (0, 1):  # the earliest belongs to the group too
-                    out.append(answer(left, right, first[0], first[1] - len(left)))
-                if (doc, place) != (first[0], first[1]):
-                    if whole:
-                        out.append(answer(left, right, doc, place - len(left)))
+                    at, number, seen = h, number + 1, set()
+                if (left, right) in seen:
+                    if len(left) + len(right) >= length:
+                        out.append((doc, place - len(left), place + len(right)))
                     continue
-                held.number.append(number)
-                held.where.append((doc, place))
-                held.left.append(left)
-                held.right.append(right)
+                seen.add((left, right))
+                held.add(number, (doc, place), left, right)
             if out:
                 yield batch_of(out)
         yield batch_of(finish())
 
-    dealt = contexts.repartition(parts, "hash").sortWithinPartitions("hash", "doc_id", "place")
-    return dealt.mapInArrow(run, "repeat string, length long, doc_id long, start long" if groups else "doc_id long, start long, end long")
+    return contexts.repartition(parts, "hash").sortWithinPartitions("hash", "doc_id", "place").mapInArrow(run, "doc_id long, start long, end long")
+
+
+def _occurrences(docs: DataFrame, found: DataFrame, left: int, right: int) -> DataFrame:
+    """(hash, doc_id, place, left, right, like) of every repeated anchor; ``like`` names its context."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = (*[pa.int64()] * 3, *[pa.binary()] * 2)
+        for batch in slices(batches, 1):
+            text = batch["text"].cast(pa.binary())[0].as_py()
+            places, hashes = (np.frombuffer(b"".join(batch[c][0].as_py()), t).tolist() for c, t in (("places", "<u4"), ("hashes", "<i8")))
+            step = max(1, (1 << 22) // (left + right))
+            for i in range(0, len(places), step):
+                out = [(h, batch["doc_id"][0].as_py(), p, text[max(0, p - left) : p], text[p : p + right]) for p, h in zip(places[i : i + step], hashes[i : i + step], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_NAMES[:5])
+
+    like = F.md5(F.concat(F.col("hash").cast("string").cast("binary"), F.lit(b":"), F.octet_length("left").cast("string").cast("binary"), F.lit(b":"), "left", "right"))
+    return _around(docs, found).mapInArrow(run, "hash long, doc_id long, place long, left binary, right binary").withColumn("like", like)
+
+
+def _sets(contexts: DataFrame, parts: int, length: int, left: int, right: int) -> DataFrame:
+    """(repeat, length, before, like): the sets of distinct contexts that share a maximal repeat, ``before`` bytes of it
+    ahead of the anchor. What reaches the end of a context on the right comes with a null name: it is longer than seen here."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at, number, size = Group(length, left, right), None, 0, 0
+
+        def finish() -> pa.RecordBatch:
+            out: list[tuple] = []
+            if len(held.number) > 1:
+                for k, n, members in held.sets():
+                    if k == left:  # longer on the left: its first anchor finds it
+                        continue
+                    one = members[0]
+                    name = None if n == right else hashlib.md5(held.left[one][len(held.left[one]) - k :] + held.right[one][:n]).hexdigest()
+                    out += [(name, k + n, k, like) for like in {held.where[i] for i in members.tolist()}]
+            held.__init__(length, left, right)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.string(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["repeat", "length", "before", "like"])
+
+        for batch in slices(batches, 64):
+            for h, like, before, after, times in zip(*(batch[c].to_pylist() for c in ("hash", "like", "left", "right", "times")), strict=True):
+                if h != at:
+                    if size > (1 << 23):
+                        yield finish()
+                        size = 0
+                    at, number = h, number + 1
+                for _ in range(min(times, 2)):  # what stands twice with one context shares all of it
+                    held.add(number, like, before, after)
+                size += len(before) + len(after)
+        yield finish()
+
+    return contexts.repartition(parts, "hash").sortWithinPartitions("hash", "like").mapInArrow(run, "repeat string, length long, before long, like string")
 
 
 def _distinct(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, copy): whether an earlier document has the same text."""
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keys = rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("key"))
+    keys = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("key"))
     firsts = keys.groupBy("key", "n_bytes").agg(F.min("doc_id").alias("first"))
     return keys.join(firsts, ["key", "n_bytes"]).select("doc_id", "n_bytes", (F.col("doc_id") != F.col("first")).alias("copy"))
 
 
-def _repeats(docs: DataFrame, length: int, groups: bool) -> DataFrame:
-    spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def _parts(docs: DataFrame) -> int:
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _anchored(docs: DataFrame, length: int, gram: int) -> DataFrame:
     pack, bits = bucket_plan(plan_bytes(docs) / 16, PACK, BUCKET)
-    found = materialise(_repeated(_pack(docs, length, bits, pack), parts), few_files(docs))
-    return _analyse(_contexts(docs, found, length, GRAM, groups), parts, length, GRAM, groups)
+    return materialise(_repeated(_pack(docs, length, gram, bits, pack), _parts(docs)), few_files(docs))
 
 
-def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(repeat, length, doc_id, start): groups of equal passages of at least ``length`` bytes with all their occurrences.
+def _level(docs: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The maximal repeats of ``length`` to twice as many bytes with all their occurrences; the documents with longer ones.
 
-    A passage is maximal as far as one window around its anchor reaches; longer ones come as overlapping groups.
-    Null and empty texts hold none; rows without an id are left out; ids must be unique.
+    A repeat of that length holds the anchor of its first window less than ``length - gram`` bytes after its start. Equal
+    contexts are analysed as one, and their occurrences are joined to the sets that they are in afterwards.
     """
-    return _repeats(docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), length, True)
+    files, left, right = few_files(docs), length - gram + 1, 2 * length
+    around = _occurrences(docs, _anchored(docs, length, gram), left, right)
+    each = materialise(around.select("like", "doc_id", "place"), files)
+    distinct = around.groupBy("like").agg(F.first("hash").alias("hash"), F.first("left").alias("left"), F.first("right").alias("right"), F.count(F.lit(1)).alias("times"))
+    sets = materialise(_sets(distinct, _parts(docs), length, left, right).distinct(), files)
+    placed = sets.join(each, "like")
+    found = placed.where(f"repeat is not null and length < {2 * length}").select("repeat", "length", "doc_id", (F.col("place") - F.col("before")).alias("start")).distinct()
+    return materialise(found, files), materialise(placed.where(f"length >= {2 * length}").select("doc_id").distinct(), files)
+
+
+def maximal_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(repeat, length, doc_id, start): every maximal repeat of at least ``length`` bytes with all its occurrences.
+
+    A repeat is a byte string that stands in two places or more and can't be made longer on either side without losing
+    one. Level s finds those of ``length`` x 2^s to twice that many bytes: anchors are the least of windows of
+    ``length`` x 2^s bytes, so they get sparser as contexts get longer, and a level looks only at documents in which the
+    one before met a repeat that is too long for it. Null and empty texts hold none; rows that repeat an id and text
+    are one document, other rows of an id and rows without one are documents of their own (`documents`), which come
+    back under the id that they had; an empty table gives no rows.
+    """
+    with small_batches(docs.sparkSession):
+        known = documents(docs)
+        rows, span, out = known.rows, length, None
+        while True:
+            part, longer = _level(rows, span, max(1, min(GRAM, span // 2)))
+            out = part if out is None else out.union(part)
+            if longer.isEmpty():
+                return known.restore(out)
+            rows, span = by_id(known.rows, longer, "doc_id", "left_semi"), 2 * span
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each text without the bytes of ``length``-byte strings that
     also start earlier (in a smaller doc_id, or earlier in the same text), judged on the input.
 
-    A null text counts as empty; shorter texts lose nothing; rows without an id are left out; ids must be unique (of
-    repeated equal rows each gives a row, as one document); an empty table gives no rows; other columns are not read.
+    A null text counts as empty; shorter texts lose nothing. Rows that repeat an id and text are one document, and each
+    gives its row. Of different texts under one id the one of least MD5 stands at the id's place; the others, and texts
+    without an id, come after all ids, in the order of (id, MD5), and give their rows too. An empty table gives no rows;
+    other columns are not read.
     """
-    rows = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    info = materialise(_distinct(rows), few_files(docs))
-    copies = info.where("copy").where(F.col("n_bytes") >= length)
-    single = by_id(rows, copies.select("doc_id"), "doc_id", "left_anti")
-    spans = materialise(_repeats(single, length, False).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), few_files(docs))
-    touched = spans.select("doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            out: list[tuple] = []
-            for doc, text, found in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["spans"].to_pylist(), strict=True):
-                kept, at, merged = hashlib.sha256(), 0, []
-                for s in found:
-                    if merged and s["start"] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s["end"])
-                    else:
-                        merged.append([s["start"], s["end"]])
-                for a, b in merged:
-                    kept.update(text[at:a])
-                    at = b
-                kept.update(text[at:])
-                out.append((doc, len(text), sum(b - a for a, b in merged), len(merged), kept.hexdigest()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    changed = by_id(single, touched, "doc_id", "left_semi").join(spans, "doc_id").coalesce(few_files(docs)).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    zero = F.lit(0).cast("long")
-    whole = by_id(single, touched, "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
-    gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
-    return changed.union(whole).union(gone)
+    with small_batches(docs.sparkSession):
+        known = documents(docs)
+        rows = known.rows
+        info = materialise(_distinct(rows), few_files(docs))
+        copies = info.where("copy").where(F.col("n_bytes") >= length)
+        single = by_id(rows, copies.select("doc_id"), "doc_id", "left_anti")
+        spans = materialise(_covered(_contexts(single, _anchored(single, length, GRAM), length, GRAM), _parts(docs), length, GRAM).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans")), few_files(docs))
+        touched = spans.select("doc_id")
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 64):
+                out: list[tuple] = []
+                for doc, text, found in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.binary()).to_pylist(), batch["spans"].to_pylist(), strict=True):
+                    kept, at, merged = hashlib.sha256(), 0, []
+                    for s in found:
+                        if merged and s["start"] <= merged[-1][1]:
+                            merged[-1][1] = max(merged[-1][1], s["end"])
+                        else:
+                            merged.append([s["start"], s["end"]])
+                    for a, b in merged:
+                        kept.update(text[at:a])
+                        at = b
+                    kept.update(text[at:])
+                    out.append((doc, len(text), sum(b - a for a, b in merged), len(merged), kept.hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+        # a task for each 64 MB of input, as `few_files` has it: the number of tasks follows the input
+        changed = by_id(single, touched, "doc_id", "left_semi").join(spans, "doc_id").coalesce(few_files(docs)).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        zero = F.lit(0).cast("long")
+        whole = by_id(single, touched, "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+        gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+        return known.restore(changed.union(whole).union(gone))
 
 
 def op8_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
-
-

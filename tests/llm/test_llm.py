@@ -277,9 +277,10 @@ def test_probabilities_sum_to_one(spark):
 
 
 def removed(texts, length):
-    seen, out = set(), {}
-    for i in sorted(texts):
-        b = (texts[i] or "").encode()
+    """By place in the list; what stands earlier in it is earlier."""
+    seen, out = set(), []
+    for t in texts:
+        b = (t or "").encode()
         gone = np.zeros(len(b) + 1, int)
         for a in range(len(b) - length + 1):
             s = b[a : a + length]
@@ -287,32 +288,76 @@ def removed(texts, length):
                 gone[a : a + length] = 1
             seen.add(s)
         keep = bytes(c for c, g in zip(b, gone, strict=False) if not g)
-        out[i] = (len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()), hashlib.sha256(keep).hexdigest())
+        out.append((len(b), int(gone.sum()), int((np.diff(np.concatenate(([0], gone))) == 1).sum()), hashlib.sha256(keep).hexdigest()))
     return out
 
 
+def in_order(docs):
+    """The documents (id, text) in the order that they count in, and how many rows each has."""
+    rows = Counter((r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect())
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    first = {}
+    for i, t in rows:
+        if i is not None:
+            first[i] = min(first.get(i, t), t, key=md5)
+    own = sorted((i, t) for i, t in first.items())
+    rest = sorted((k for k in rows if k not in set(own)), key=lambda k: (k[0] is None, k[0] or 0, md5(k[1])))
+    return [(k, rows[k]) for k in own + rest]
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_repeats_are_removed_exactly(spark, odd, data, seed):
     made = random.Random(seed)
     blocks = ["".join(made.choice("abcd é") for _ in range(made.randint(20, 300))) for _ in range(8)]
     texts = ["".join(made.choice(blocks) for _ in range(made.randint(0, 6))) + ("q" * made.randint(0, 250) if made.random() < 0.3 else "") for _ in range(60)]
-    for docs in (spark.createDataFrame(rows_of(texts), DOCS).repartition(4), *((odd, table(spark, data, "documents")) if not seed else ())):
-        want = removed({r.doc_id: r.text for r in docs.collect()}, 100)
-        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
-        assert got == want
+    mixed = spark.createDataFrame([r if i % 4 else (r[0] % 7 if i % 8 else None, *r[1:]) for i, r in enumerate(rows_of(texts + texts[:20]))], DOCS).repartition(3)
+    for docs in (spark.createDataFrame(rows_of(texts), DOCS).repartition(4), mixed, *((odd.union(odd), table(spark, data, "documents")) if not seed else ())):
+        known = in_order(docs)
+        want = Counter()
+        for ((i, _), n), got in zip(known, removed([t for (_, t), _ in known], 100), strict=True):
+            want[(i, *got)] += n
+        assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()) == want
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
-def test_repeat_groups_hold_equal_passages(spark):
-    made = random.Random(9)
-    shared = "".join(made.choice("abcdefgh ") for _ in range(260))
-    texts = [f"{i}" * 30 + shared + f"{i + 5}" * 30 for i in range(4)] + ["nothing to see " * 4]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = suffix_dedup.maximal_repeats(docs).collect()
-    groups = defaultdict(set)
-    for r in got:
-        groups[(r.repeat, r.length)].add(texts[r.doc_id][r.start : r.start + r.length])
-    assert groups and all(len(g) == 1 for g in groups.values()) and {r.doc_id for r in got} == {0, 1, 2, 3}
+def test_no_text_is_lost_to_its_own_repeated_row(spark):
+    text = " ".join(f"word{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "x"), (3, text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()) == [(1, 0), (1, 0), (2, 0), (3, len(text))]
+
+
+def maximal(texts, length):
+    """{(bytes): {(text, start)}} of every maximal repeat, by extending all pairs of equal windows."""
+    places = defaultdict(list)
+    for d, t in enumerate(texts):
+        for a in range(len(t) - length + 1):
+            places[t[a : a + length]].append((d, a))
+    names = set()
+    for at in places.values():
+        for x in range(len(at)):
+            for d, a in at[x + 1 :]:
+                e, b = at[x]
+                i = 0
+                while min(a, b) > i and texts[d][a - i - 1] == texts[e][b - i - 1]:
+                    i += 1
+                if i:
+                    continue  # the pair is met where it starts
+                n = length
+                while a + n < len(texts[d]) and b + n < len(texts[e]) and texts[d][a + n] == texts[e][b + n]:
+                    n += 1
+                names.add(texts[d][a : a + n])
+    return {s: {(d, a) for d, t in enumerate(texts) for a in range(len(t) - len(s) + 1) if t.startswith(s, a)} for s in names}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_repeat_groups_are_maximal_and_complete(spark, seed):
+    made = random.Random(seed)
+    shared = ["".join(made.choice("abcdefgh ") for _ in range(n)) for n in (45, 60, 260, 950)]
+    texts = ["".join(made.choice("xyz") for _ in range(made.randint(0, 40))).join(made.choice(shared)[made.randint(0, 9) :] for _ in range(3)) for _ in range(7)]
+    texts += [texts[0], "ab" * 70, "q" * 300, "", "short"]
+    want = {(hashlib.md5(s.encode()).hexdigest(), len(s), d, a) for s, at in maximal(texts, 40).items() for d, a in at}
+    got = [tuple(r) for r in suffix_dedup.maximal_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 40).collect()]
+    assert max(n for _, n, _, _ in got) > 600 and len(got) == len(set(got)) and set(got) == want
 
 
 def test_intervals():
