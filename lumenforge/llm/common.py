@@ -95,6 +95,14 @@ def by_id(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
     return df.join(F.broadcast(ids) if small(ids) else ids, key, how)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that a relation doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ranked(df: DataFrame, strata: list[str], bucket: Column, order: list[str], rank: str) -> DataFrame:
     """Rank rows within strata from 0 without ordering any stratum in one task.
 

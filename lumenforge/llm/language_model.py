@@ -8,13 +8,12 @@
 3. A few sums make the discounts. Scoring maps the arrays into memory and looks up the distinct words and pairs of some
    texts at a time; nothing is shuffled (`score_texts`).
 
-Words are 64-bit hashes. A pair holds 40 bits of its second word, and in the arrays 32 bits of its own hash within its
-bucket: an unseen pair is taken for a seen one once in some thousands.
+Words are 64-bit hashes, and a pair is looked up by a 64-bit hash of both among those of its bucket, of which there are
+some 40 million at 100 TB: an unseen pair is taken for a seen one about once in 10^11 lookups, whatever the input's size.
 """
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import bucket_plan, chunks, joined, materialise, mix, plan_bytes, shared_folder, slices, table, word_hashes
+from lumenforge.llm.common import bucket_plan, chunks, delete_folder, joined, materialise, mix, plan_bytes, shared_folder, slices, small_batches, table, word_hashes
 
 #: Pairs that a worker counts at once, and pairs that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 700_000
 START, END = (np.uint64(x) for x in (0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995))
-_24 = np.uint64(24)
 
 
 def token_pairs(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,8 +62,8 @@ def _summed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """32 bits of a pair's hash; w as 40 bits."""
-    return (mix(v * np.uint64(0x9FB21C651E98DF25) + w) >> np.uint64(32)).astype(np.uint32)
+    """A pair's hash."""
+    return mix(mix(v * np.uint64(0x9FB21C651E98DF25)) + w)
 
 
 def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
@@ -78,15 +76,15 @@ def _pack(docs: DataFrame, bits: int, pack: int) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             v, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
-            v, w, n = _summed(v, w >> _24, np.ones(len(v), np.int64))
+            v, w, n = _summed(v, w, np.ones(len(v), np.int64))
             b = _bucket(v, bits)
             at = _cuts(b)
             out = []
             for i, j in zip(at, [*at[1:], len(b)], strict=True):
                 s = _cuts(v[i:j])
                 lens = np.diff(np.concatenate((s, [j - i]))).astype("<u4")
-                out.append((int(b[i]), v[i:j][s].tobytes(), lens.tobytes(), (w[i:j] >> np.uint64(8)).astype("<u4").tobytes(), w[i:j].astype(np.uint8).tobytes(), n[i:j].astype("<u4").tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["bucket", "v", "lens", "w", "w8", "n"])
+                out.append((int(b[i]), v[i:j][s].tobytes(), lens.tobytes(), w[i:j].tobytes(), _least(n[i:j]).tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "v", "lens", "w", "n"])
 
         for _, texts in chunks(batches):
             _, before, token = token_pairs(texts)
@@ -98,7 +96,7 @@ def _pack(docs: DataFrame, bits: int, pack: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), "text").mapInArrow(run, "bucket int, v binary, lens binary, w binary, w8 binary, n binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, v binary, lens binary, w binary, n binary")
 
 
 def _filesystem(folder: str):
@@ -112,11 +110,9 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Write an array under its final name in one move, so that a task that runs twice leaves one whole file."""
     files, path = _filesystem(folder)
     files.create_dir(path, recursive=True)
-    held = io.BytesIO()
-    np.save(held, array)
     part = f"{path}/.{name}.{uuid.uuid4().hex}"
     with files.open_output_stream(part) as out:
-        out.write(held.getbuffer())
+        np.save(out, array)
     files.move(part, f"{path}/{name}.npy")
 
 
@@ -147,7 +143,7 @@ def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str) -
         types = int((v[at] != START).sum())
         out: list[tuple] = [(None, None, None, int(n.sum()), types, len(v), *_of_counts(n), *[0] * 4)]
         seen, times = np.unique(w, return_counts=True)
-        b = _bucket(seen << _24, bits)
+        b = _bucket(seen, bits)
         cut = _cuts(b)
         out += [(int(b[i]), seen[i:j].tobytes(), times[i:j].astype("<u4").tobytes(), *[0] * 11) for i, j in zip(cut, [*cut[1:], len(b)], strict=True)]
         return out
@@ -168,8 +164,7 @@ def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str) -
                         yield batch_of(finish(at, *merged()))
                     at, held, size = r["bucket"], [], 0
                 v = np.repeat(np.frombuffer(r["v"], "<u8"), np.frombuffer(r["lens"], "<u4").astype(np.int64))
-                w = (np.frombuffer(r["w"], "<u4").astype(np.uint64) << np.uint64(8)) | np.frombuffer(r["w8"], np.uint8).astype(np.uint64)
-                held.append((v, w, np.frombuffer(r["n"], "<u4").astype(np.int64)))
+                held.append((v, np.frombuffer(r["w"], "<u8"), np.frombuffer(r["n"], f"<u{len(r['n']) // len(v)}").astype(np.int64)))
                 size += len(v)
                 if size > 2 * BUCKET and len(held) > 1:
                     held = [merged()]
@@ -254,7 +249,7 @@ class Arrays:
                 self.held[name] = np.load(path, mmap_mode="r")
             else:  # a store that can't be mapped
                 with self.files.open_input_file(path) as f:
-                    self.held[name] = np.load(io.BytesIO(f.read()))
+                    self.held[name] = np.load(f)
         return self.held[name]
 
     def look(self, kind: str, key: str, value: str, bucket: np.ndarray, keys: np.ndarray, width: int = 1) -> np.ndarray:
@@ -270,37 +265,40 @@ class Arrays:
             out[i:j][hit] = self.get(f"{kind}-{bucket[i]}-{value}")[k[hit]].reshape(-1, width)
         return out
 
-    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(tokens, known tokens, base score, score) of each text."""
+    def probabilities(self, words: np.ndarray, prior: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(how often each word was seen, the probability of each pair), pairs as places in the sorted distinct ``words``."""
         m = self.m
-        row, before, token = token_pairs(texts)
-        words, where = np.unique(np.concatenate((token, before)), return_inverse=True)
-        own, prior = where[: len(token)], where[len(token) :]
         bucket = _bucket(words, m.bits)
         stats = self.look("word", "hash", "stats", bucket, words, 4)
         count = np.where(words == START, 0, np.where(words == END, m.texts, stats[:, 0]))
-        after = self.look("after", "key", "n", bucket, words >> _24)[:, 0]
+        after = self.look("after", "key", "n", bucket, words)[:, 0]
         d, e = np.array((0.0, *m.pair)), np.array((0.0, *m.word))
         lower = (after - e[np.minimum(after, 3)]) / max(1, m.distinct) + m.left / (m.types + 1)
         total = np.maximum(stats[:, 0], 1)
         weight = np.where(stats[:, 0] > 0, (stats[:, 1:] @ d[1:]) / total, 1.0)
-        # distinct pairs, by bucket and key
-        code = prior.astype(np.int64) * len(words) + own
-        pairs, which = np.unique(code, return_inverse=True)
+        pairs, which = np.unique(prior.astype(np.int64) * len(words) + own, return_inverse=True)
         v, w = pairs // len(words), pairs % len(words)
-        key = pair_key(words[v], words[w] >> _24)
+        key = pair_key(words[v], words[w])
         order = np.lexsort((key, bucket[v]))
         n = np.zeros(len(pairs), np.int64)
         n[order] = self.look("pair", "key", "n", bucket[v][order], key[order])[:, 0]
-        p = np.maximum(n - d[np.minimum(n, 3)], 0) / total[v] + weight[v] * lower[w]
-        known = (count > 0)[own]
+        return count, (np.maximum(n - d[np.minimum(n, 3)], 0) / total[v] + weight[v] * lower[w])[which]
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, known tokens, base score, score) of each text."""
+        m, size = self.m, len(texts)
+        row, before, token = token_pairs(texts)
+        words, where = np.unique(np.concatenate((token, before)), return_inverse=True)
+        own, prior = where[: len(token)], where[len(token) :]
+        count, p = self.probabilities(words, prior, own)
         base = np.log10((count + 0.5) / (m.tokens + 0.5 * (m.types + 1)))[own]
-        size = len(texts)
-        return np.bincount(row, minlength=size), np.bincount(row, weights=known, minlength=size).astype(np.int64), np.bincount(row, weights=base, minlength=size), np.bincount(row, weights=np.log10(p)[which], minlength=size)
+        sums = lambda x: np.bincount(row, weights=x, minlength=size)
+        return np.bincount(row, minlength=size), sums((count > 0)[own]).astype(np.int64), sums(base), sums(np.log10(p))
 
 
 def train(docs: DataFrame) -> Model:
-    """Counts all texts of ``docs`` (null: empty) and writes the model to the session's shared folder, where it stays."""
+    """Counts all texts of ``docs`` (null: empty) and writes the model to the session's shared folder, where it stays until
+    `delete_folder` removes it."""
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/kneser-ney-{uuid.uuid4().hex}"
     pack, bits = bucket_plan(plan_bytes(docs) / 4, PACK, BUCKET)
@@ -323,24 +321,30 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
         arrays = model.arrays()
         for ids, texts in chunks(batches):
             n, known, base, score = arrays.scores(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), model.tokens, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), model.tokens, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def remainder(column: str, by: int) -> Column:
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(by))
+    """crc32 of an id's decimal text, modulo; a null id counts as remainder 0."""
+    return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(by)), F.lit(0))
 
 
 def kneser_ney_scores(docs: DataFrame) -> DataFrame:
-    """Scores of every document that has an id, by a model of those whose crc32(doc_id) mod 5 is not 1.
+    """Scores of every document by a model of those whose crc32(doc_id) mod 5 is not 1.
 
-    Null and empty texts are one end token; repeated rows count and are scored each; rows without an id are left out;
-    an empty table gives no rows; other columns are not read.
+    Null and empty texts are one end token; repeated rows count and are scored each; a row without an id is learned from
+    and scored under a null id; an empty table gives no rows; other columns are not read. The scores are kept as a
+    checkpoint and the model is deleted.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    model = train(docs.where(remainder("doc_id", 5) != 1))
-    return score_texts(docs, model).select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    spark = docs.sparkSession
+    docs = docs.select("doc_id", "text")
+    with small_batches(spark):
+        model = train(docs.where(remainder("doc_id", 5) != 1))
+        scores = materialise(score_texts(docs, model))
+        delete_folder(spark, model.folder)
+    return scores.select("doc_id", (remainder("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:

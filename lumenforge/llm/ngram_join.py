@@ -7,10 +7,11 @@
 3. The global orders sort by frequency class, rarest first, and differ by a seeded hash within a class. With threshold
    t, two linked documents share one of the first n - ceil(tn) + 1 shingles under every order. What no one else has
    stands first and can't match, so most documents have nothing left to index (`_prefixes`).
-4. Pairs that share a prefix shingle under every order, whose sizes and shared counts allow the overlap, are verified
-   on their full shingle sets. Each posting list is first compared with its most central document only; then what is
-   still in another component than most of its list is compared with the whole list. So no group of near copies is
-   expanded into all its pairs, and no link between components is lost.
+4. Only pairs that share a prefix shingle under every order, and whose sizes and shared counts allow the overlap, are
+   verified on their full shingle sets (`intersected`). Each posting list is first compared with its most central
+   document only; pairs whose lists have that centre under one order but not the other are left to the next step. Then
+   what is still in another component than most of its list is compared with the whole list. So no group of near copies
+   is expanded into all its pairs, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import BROADCAST_ROWS, bucket_plan, by_id, chunks, few_files, materialise, mix, plan_bytes, shingles, slices, small, table
+from lumenforge.llm.common import BROADCAST_ROWS, bucket_plan, by_id, chunks, documents, few_files, materialise, mix, plan_bytes, shingles, slices, small, small_batches, table
 
 #: Shingles that a worker packs at once, and shingles that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 500_000
@@ -91,7 +92,7 @@ def _pack(docs: DataFrame, k: int, bits: int, pack: int) -> DataFrame:
                 out.append((int(bucket[a]), 1, chunk, row[a:b][s].astype("<u2").tobytes(), (e - s).astype("<u2" if e[-1] < 65_536 else "<u4").tobytes(), short[a:b].tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "kind", "chunk", "docs", "lens", "toks", "counts"])
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,9 +156,7 @@ def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders
         doc, tok, c = np.concatenate(doc), np.concatenate(tok), np.concatenate(c)
         order = np.lexsort((tok, doc))
         doc, tok, c = doc[order], tok[order], c[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (tok[1:] != tok[:-1])
-        doc, tok, c = doc[new], tok[new], c[new]
+        # Different shingles of a document may have one short hash; each of them counts as shared.
         for r in rows:
             if r["bucket"] >= 0:
                 continue
@@ -169,7 +168,7 @@ def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders
                     out.append((d, n, sig[16 * i : 16 * i + 16], b - a, 0.0, None))
                     continue
                 take = max(1, b - a - least + 1)  # of n - least + 1, what no one else has stands first
-                keep = [tok[a:b][np.lexsort((mix(tok[a:b] + np.uint64(s * 0x51ED270B)), c[a:b]))[:take]].astype(np.int64).tolist() for s in range(orders)]
+                keep = [list(dict.fromkeys(tok[a:b][np.lexsort((mix(tok[a:b] + np.uint64(s * 0x51ED270B)), c[a:b]))[:take]].astype(np.int64).tolist())) for s in range(orders)]
                 out.append((d, n, sig[16 * i : 16 * i + 16], b - a, float(c[a:b].sum()) / n, keep))
         return out
 
@@ -189,9 +188,7 @@ def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders
         if held:
             yield batch_of(of(held))
 
-    rows = replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "doc_id long, n long, sig binary, shared long, central double, prefixes array<array<long>>")
-    one = F.max(F.struct("n", "sig", "shared", "central", "prefixes")).alias("r")  # ids that come twice: the larger set
-    return rows.groupBy("doc_id").agg(one).select("doc_id", "r.*")
+    return replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "doc_id long, n long, sig binary, shared long, central double, prefixes array<array<long>>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -242,14 +239,14 @@ def components(nodes: DataFrame, links: DataFrame, files: int | None = None) ->
     return nodes.select("doc_id").join(labels, "doc_id", "left").select("doc_id", F.coalesce("l", "doc_id").alias("component"))
 
 
-def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] = (85, 100), orders: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document with an id, linked where the Jaccard similarity of the
-    sets of word k-grams is at least ``threshold`` (a fraction p, q).
+def intersected(pairs: DataFrame, orders: int) -> DataFrame:
+    """Of pairs (a, b, s) met in a posting list of order s, those met under every order."""
+    met = F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("s"))).alias("orders")
+    return pairs.groupBy("a", "b").agg(met).where(F.col("orders") == (1 << orders) - 1).select("a", "b")
 
-    A text with fewer than k words has its whole word sequence as its one shingle; null, empty or wordless texts have
-    none and link with nothing. Equal sets count once and share a component. Rows that repeat an id give one row;
-    rows without an id give none. An empty table gives no rows; other columns are not read.
-    """
+
+def _linked(docs: DataFrame, k: int, threshold: tuple[int, int], orders: int) -> DataFrame:
+    """(doc_id, n, component) of documents with unique ids."""
     p, q = threshold
     if math.gcd(p, q) > 1:
         p, q = p // math.gcd(p, q), q // math.gcd(p, q)
@@ -275,8 +272,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
         return (f"{q} * least({a}n, {b}n) >= {p} * greatest({a}n, {b}n) and {p + q} * least({a}shared, {b}shared) >= {least} "
                 f"and {p + q} * (1 + least({a}n - {a}place, {b}n - {b}place)) >= {least}")
 
-    star = post.where("doc_id != -head.other").where(may("", "head.")).select((-F.col("head.other")).alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = materialise(_verified(docs, materialise(star, files), k, (p, q)), files)
+    star = post.where("doc_id != -head.other").where(may("", "head.")).select((-F.col("head.other")).alias("a"), F.col("doc_id").alias("b"), "s")
+    links = materialise(_verified(docs, materialise(intersected(star, orders), files), k, (p, q)), files)
     labels = components(post.select("doc_id").distinct(), links, files)
     tagged = materialise(post.drop("head", "central").join(labels, "doc_id"), files)
     sizes = tagged.groupBy("s", "tok", "component").agg(F.count(F.lit(1)).alias("m"))
@@ -284,15 +281,60 @@ def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] =
     mixed = tagged.join(most, ["s", "tok"])
     y = mixed.drop("main").select("s", "tok", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
     x = mixed.where("component != main").select("s", "tok", "main", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
-    rest = (
-        x.join(y, (x.s == y.s) & (x.tok == y.tok) & (x.x_component != y.y_component) & ((y.y_component == x.main) | (x.x_doc_id < y.y_doc_id)) & F.expr(may("x_", "y_")))
-        .groupBy(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"))
-        .agg(F.bit_or(F.call_function("shiftleft", F.lit(1), x.s)).alias("orders")).where(F.col("orders") == (1 << orders) - 1).select("a", "b")
-    )
-    more = _verified(docs, materialise(rest, files), k, (p, q))
+    rest = x.join(y, (x.s == y.s) & (x.tok == y.tok) & (x.x_component != y.y_component) & ((y.y_component == x.main) | (x.x_doc_id < y.y_doc_id)) & F.expr(may("x_", "y_")))
+    rest = rest.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"), x.s)
+    more = _verified(docs, materialise(intersected(rest, orders), files), k, (p, q))
     labels = components(reps, links.union(more), files)
     of_set = reps.join(labels, "doc_id").select("sig", "component")
-    return info.join(of_set.withColumn("has", F.lit(True)), (info.sig == of_set.sig) & (info.n > 0), "left").select(info.doc_id, info.n.alias("n_shingles"), F.coalesce("component", info.doc_id).alias("component_id"))
+    return info.join(of_set.withColumn("has", F.lit(True)), (info.sig == of_set.sig) & (info.n > 0), "left").select(info.doc_id, info.n, F.coalesce("component", info.doc_id).alias("component"))
+
+
+def jaccard_components(docs: DataFrame, k: int = 4, threshold: tuple[int, int] = (85, 100), orders: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row, linked where the Jaccard similarity of the sets of word k-grams
+    is at least ``threshold`` (a fraction p, q).
+
+    A text with fewer than k words has its whole word sequence as its one shingle; null, empty or wordless texts have
+    none and link with nothing. Equal sets count once and share a component. Rows that repeat an id and text are one
+    document and give a row each; other rows of an id, and rows without one, are documents of their own (`documents`). A
+    component is the smallest id among its documents, null if none has one. An empty table gives no rows; other columns
+    are not read.
+    """
+    with small_batches(docs.sparkSession):
+        known = documents(docs)
+        found = _linked(known.rows, k, threshold, orders).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+        if known.again is None:
+            return found
+        found = materialise(found, few_files(docs))
+        least = found.join(known.again, "doc_id").groupBy("component_id").agg(F.min("given").alias("_least"))
+        numbers = known.again.where("given is null or given != doc_id").select(F.col("doc_id").alias("component_id"), F.lit(True).alias("_made"))
+        own = F.when(F.col("_made").isNull(), F.col("component_id"))  # a number that we gave is no id
+        found = found.join(least, "component_id", "left").join(numbers, "component_id", "left").select("doc_id", "n_shingles", F.least(own, "_least").alias("component_id"))
+        return known.restore(found)
+
+
+def distinct_documents(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), orders: int = 2) -> DataFrame:
+    """One row of each group of linked rows, with all its columns: of the smallest id, and of rows that repeat it, one.
+
+    Rows without words are no group and all stay, as they are. A group without any id keeps the row of the least MD5.
+    """
+    with small_batches(docs.sparkSession):
+        files, known = few_files(docs), documents(docs)
+        found = materialise(_linked(known.rows, k, threshold, orders), files)
+        gone = found.where("n > 0 and doc_id != component").select("doc_id")
+        if known.again is None:
+            return by_id(docs, gone, "doc_id", "left_anti").select(*docs.columns)
+        # What shares an id with others is told by its text: of what stays, any one of the equal rows.
+        gone = gone.join(known.again, "doc_id", "left").select("doc_id", F.coalesce("given", F.when(F.col("times").isNull(), F.col("doc_id"))).alias("given"), F.col("times").isNotNull().alias("odd"))
+        odd_ids = known.again.select(F.col("given").alias("doc_id")).where("doc_id is not null").distinct()
+        plain = by_id(by_id(docs.where("doc_id is not null"), odd_ids, "doc_id", "left_anti"), gone.where("not odd").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+        shared = by_id(docs.where("doc_id is not null"), odd_ids, "doc_id", "left_semi").select(*docs.columns).union(docs.where("doc_id is null"))
+        key = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+        shared = shared.select(F.col("doc_id").alias("id"), key.alias("key"), F.struct(*docs.columns).alias("row"))
+        left = known.again.join(found.where("n = 0 or doc_id = component").select("doc_id", "n"), "doc_id")
+        left = left.join(known.rows.select("doc_id", key.alias("md5")), "doc_id").select("given", "md5", "n")
+        kept = shared.join(left, F.col("id").eqNullSafe(F.col("given")) & (F.col("key") == F.col("md5")))
+        wordy = kept.where("n > 0").groupBy("id", "key").agg(F.first("row").alias("row"))
+        return plain.union(kept.where("n = 0").select("row.*")).union(wordy.select("row.*"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

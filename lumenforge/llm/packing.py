@@ -184,7 +184,8 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFram
             i = np.searchsorted(keys, key, side="right") - 1
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(bases[i] + key - keys[i]), pa.array(offsets[i])], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    rows = ranked(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(256)), ["doc_id", "piece", "ids_crc32"], "_rank")
+    buckets = max(256, sum(counts.values()) // 50_000)  # of a length; they follow the number of pieces
+    rows = ranked(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), ["doc_id", "piece", "ids_crc32"], "_rank")
     return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -15,7 +15,7 @@ from lumenforge.llm.secret_scan import op6_randomness_secrets
 from lumenforge.llm.sharding import op2_interleaved_shards
 from lumenforge.llm.suffix_dedup import op8_maximal_repeats
 from lumenforge.llm.toxicity import op4_lexicon_toxicity
-from lumenforge.llm.warc_fixity import OP3_SQL, op3_merkle_fixity
+from lumenforge.llm.warc_fixity import op3_merkle_fixity, op3_sql
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_merkle_fixity": OP3_SQL, "op5_mcd_outliers": op5_sql()}
+    return {"op3_merkle_fixity": op3_sql(), "op5_mcd_outliers": op5_sql()}

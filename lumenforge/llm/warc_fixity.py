@@ -1,4 +1,11 @@
-"""Fixity audit of WARC replicas by Merkle trees over ordered offset ranges."""
+"""Fixity audit of WARC replicas by Merkle trees over ordered offset ranges.
+
+A leaf is a record's range in its file with its hash. A node covers an aligned stretch of offsets: BLOCK bytes, then
+FANOUT times as many, up to a whole file; then FANOUT files, and so on up to one root. So both copies have their nodes at
+the same places, whatever ranges they hold, and a node of few children is hashed in one small group. A node of one child
+has that child's hash: a taller tree has the same root. An audit compares the roots, then only the children of nodes that
+differ, and so meets ranges that either copy lacks too.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +14,8 @@ from pyspark.sql import functions as F
 
 from lumenforge.llm.common import few_files, materialise, table
 
-#: Ids that share a file, and children of a tree node.
-IDS_PER_FILE, FANOUT = 1_000, 16
+#: Ids that share a file, children of a node, bytes of a lowest one.
+IDS_PER_FILE, FANOUT, BLOCK = 1_000, 16, 1 << 16
 
 
 def warc_record(url: str = "url", body: str = "html") -> Column:
@@ -21,96 +28,126 @@ def warc_record(url: str = "url", body: str = "html") -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(page_id, file, record): a file holds the pages of IDS_PER_FILE successive ids; pages without an id are spread
-    over 1,024 files of their own by their content."""
-    loose = -1 - F.pmod(F.crc32(F.concat_ws(" ", "url", "html").cast("binary")), F.lit(1024))
-    file = F.coalesce(F.floor(F.col("page_id") / IDS_PER_FILE) * 2, 2 * loose + 1).cast("long")
-    return pages.select("page_id", file.alias("file"), warc_record().alias("record"))
+    """(page_id, file, record): a file holds the pages of IDS_PER_FILE successive ids. Pages without an id are dealt by
+    their content to files of their own, of about as many pages, with negative odd numbers."""
+    loose = pages.where("page_id is null").count() // IDS_PER_FILE + 1
+    dealt = F.pmod(F.conv(F.substring(F.md5(F.col("record").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(loose))
+    file = F.coalesce(F.floor(F.col("page_id") / IDS_PER_FILE) * 2, -1 - 2 * dealt).cast("long")
+    return pages.select("page_id", warc_record().alias("record")).select("page_id", file.alias("file"), "record")
 
 
 def leaves(found: DataFrame, *kept: str) -> DataFrame:
-    """(page_id, file, node, start, end, hash, kept columns): every record's place in its file and its SHA-256.
+    """(page_id, file, start, end, hash, kept columns): every record's place in its file and its SHA-256, files in the
+    order of ids and hashes. Rows that repeat have a place each.
 
-    Records are hashed where they are read; only hashes and lengths are shuffled. Repeated rows get a place each.
+    Records are hashed where they are read; only hashes and lengths are shuffled. Equal rows are counted first, and
+    offsets come from the sums of parts of an id's records, so that an id of very many pages is no single task.
     """
     slim = found.select("page_id", "file", F.octet_length("record").cast("long").alias("length"), F.sha2(F.col("record").cast("binary"), 256).alias("hash"), *kept)
-    order = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_last(), "hash", *kept)
-    end = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return slim.select("page_id", "file", (F.row_number().over(order) - 1).cast("long").alias("node"), (end - F.col("length")).alias("start"), end.alias("end"), "hash", *kept)
-
-
-def _parents(level: DataFrame, key: str, fanout: int) -> DataFrame:
-    """Nodes of the next level: a hash over the children's ranges and hashes, in order. A node has ``fanout`` at most."""
-    other = [c for c in ("file", "node") if c != key]
-    child = F.struct(key, "start", "end", "hash")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(child)), lambda c: F.concat_ws(":", c["start"], c["end"], c["hash"])), ";")
-    return level.groupBy(*other, F.floor(F.col(key) / fanout).cast("long").alias(key)).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sha2(text.cast("binary"), 256).alias("hash"))
-
-
-def tree(bottom: DataFrame, heights: tuple[int, int], fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels from the leaves to one root: ``heights`` of them within files, then over files."""
-    levels = [bottom.select("file", "node", "start", "end", "hash")]
-    for key, height in zip(("node", "file"), heights, strict=True):
-        for _ in range(height):
-            levels.append(_parents(levels[-1], key, fanout))
-    return levels
-
-
-def heights(bottom: DataFrame, fanout: int = FANOUT) -> tuple[int, int]:
-    """Levels that it takes until every file has one node, and until the files have one."""
-    top = bottom.agg(F.max("node").alias("n"), F.max("file").alias("a"), F.min("file").alias("b")).first()
-    within = over = 0
-    while top["n"] is not None and top["n"] // fanout**within:
-        within += 1
-    while top["a"] is not None and top["a"] // fanout**over != top["b"] // fanout**over and over < 64:
-        over += 1
-        if top["b"] < 0 <= top["a"] and top["a"] // fanout**over == 0 and top["b"] // fanout**over == -1:
-            break  # two roots, one of the files without ids
-    return within, over
-
-
-def mismatches(primary: list[DataFrame], replica: list[DataFrame], steps: tuple[int, int], fanout: int = FANOUT) -> DataFrame:
-    """(file, node) of the leaves that differ: compare the roots, then only the children of nodes that differ."""
-    keys = ["node"] * steps[0] + ["file"] * steps[1]
-    differing = None
-    for level in range(len(primary) - 1, -1, -1):
-        mine, theirs = primary[level], replica[level].select("file", "node", F.col("hash").alias("found"))
-        if differing is not None:
-            up = keys[level]
-            parent = {c: (F.floor(F.col(c) / fanout).cast("long") if c == up else F.col(c)).alias(f"_{c}") for c in ("file", "node")}
-            mine = mine.select("*", *parent.values()).join(differing.select(F.col("file").alias("_file"), F.col("node").alias("_node")), ["_file", "_node"], "left_semi").drop("_file", "_node")
-        differing = mine.join(theirs, ["file", "node"], "left").where(~F.col("hash").eqNullSafe(F.col("found"))).select("file", "node")
-    return differing
-
-
-def audit(index: DataFrame, stored: DataFrame, fanout: int = FANOUT) -> DataFrame:
-    """(page_id, file, start, end, sha256, corrupt) of every record of an index, as `leaves` makes it.
-
-    ``stored`` (file, start, end, hash) is what a replica's ranges hash to now. A range that it lacks, or has with a null
-    hash, is corrupt. Empty tables give no rows; other columns are not read.
+    slim = slim.groupBy(*slim.columns).agg(F.count(F.lit(1)).alias("times")).withColumn("part", F.substring("hash", 1, 2))
+    size = F.col("length") * F.col("times")
+    sums = slim.groupBy("file", "page_id", "part").agg(F.sum(size).alias("bytes"))
+    before = Window.partitionBy("file").orderBy(F.col("page_id").asc_nulls_last(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("file", F.col("page_id").alias("id"), F.col("part").alias("p"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("base"))
+    placed = slim.alias("s").join(base.alias("b"), F.expr("s.file = b.file and s.page_id <=> b.id and s.part = b.p")).select("s.*", "base")
+    within = Window.partitionBy("file", "page_id", "part").orderBy("hash", *kept).rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("first", F.col("base") + F.coalesce(F.sum(size).over(within), F.lit(0)))
+    each = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    start = F.col("first") + F.col("k") * F.col("length")
+    return each.select("page_id", "file", start.alias("start"), (start + F.col("length")).alias("end"), "hash", *kept)
+
+
+def _parents(children: DataFrame, file: Column, at: Column, order: list[str]) -> DataFrame:
+    """Nodes (side, file, at, hash): the hash of their children's places and hashes, in order; of a single node, its hash."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, "hash"))), lambda c: F.concat_ws(":", *(c[o] for o in order), c["hash"])), ";")
+    whole = F.sha2(text.cast("binary"), 256)
+    keyed = children.select("side", file.cast("long").alias("up_file"), at.cast("long").alias("up_at"), *order, "hash")
+    hashed = whole if "start" in order else F.when(F.count(F.lit(1)) == 1, F.max("hash")).otherwise(whole)
+    return keyed.groupBy("side", "up_file", "up_at").agg(hashed.alias("hash")).select("side", F.col("up_file").alias("file"), F.col("up_at").alias("at"), "hash")
+
+
+def tree(sides: DataFrame, files: int, fanout: int = FANOUT, block: int = BLOCK) -> list[tuple[DataFrame, Column, Column]]:
+    """Levels above leaves (side, file, start, end, hash), lowest first, up to one root for each side: nodes (side, file, at,
+    hash) and where those of the level below have their parent among them. Each is written before the next is made of it."""
+    up = (F.col("file"), F.expr(f"start div {block}"))
+    levels = [(materialise(_parents(sides, *up, ["start", "end"]), files), *up)]
+    while True:
+        below = levels[-1][0]
+        top = below.agg(F.max("at").alias("at"), F.min("file").alias("low"), F.max("file").alias("high")).first()
+        if top.at is None or (top.at == 0 and top.low == top.high):
+            return levels
+        if top.at:
+            up, order = (F.col("file"), F.expr(f"at div {fanout}")), ["at"]
+        elif (top.low, top.high) == (-1, 0):  # files without ids, and the others
+            up, order = (F.lit(0), F.lit(0)), ["file"]
+        else:
+            up, order = (F.floor(F.col("file") / fanout), F.lit(0)), ["file"]
+        levels.append((materialise(_parents(below, *up, order), files), *up))
+
+
+def descend(sides: DataFrame, levels: list[tuple[DataFrame, Column, Column]]) -> tuple[DataFrame, list[DataFrame]]:
+    """(file, start, end) of the ranges that differ, and the nodes that are compared at each level, the roots first."""
+
+    def unlike(rows: DataFrame, *keys: str) -> DataFrame:
+        both = rows.groupBy(*keys).agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"), F.min("hash").alias("x"), F.max("hash").alias("y"))
+        return both.where("a != b or x != y").select(*keys)
+
+    compared = [levels[-1][0]]
+    for k in range(len(levels) - 1, -1, -1):
+        _, file, at = levels[k]
+        differ = unlike(compared[-1], "file", "at").select(F.col("file").alias("up_file"), F.col("at").alias("up_at"))
+        below = levels[k - 1][0] if k else sides
+        rows = below.withColumns({"up_file": file.cast("long"), "up_at": at.cast("long")}).join(differ, ["up_file", "up_at"], "left_semi")
+        compared.append(rows.drop("up_file", "up_at"))
+    return unlike(compared[-1], "file", "start", "end"), compared
+
+
+def audit(index: DataFrame, stored: DataFrame, fanout: int = FANOUT, block: int = BLOCK) -> DataFrame:
+    """(page_id, file, start, end, sha256, found, corrupt, root, replica_root) of every record of an index, as `leaves`
+    makes it, and of every range that only the replica has (without page_id and sha256).
+
+    ``stored`` (file, start, end, hash) is what a replica's ranges hash to now; its tree is made of these alone. A range
+    that either side lacks, or that hashes differently or to null, is corrupt; a range that repeats on one side only too.
+    The roots are those of the two trees. Empty tables give no rows (an empty index those of the replica); other columns,
+    and clashing names among them, are not read.
     """
-    index = materialise(index.select("page_id", "file", "node", "start", "end", "hash"))
-    steps = heights(index, fanout)
-    now = stored.groupBy("file", "start", "end").agg(F.max("hash").alias("hash"))
-    other = materialise(index.drop("hash", "page_id").join(now, ["file", "start", "end"], "left").select("file", "node", "start", "end", F.coalesce("hash", F.lit("")).alias("hash")))
-    bad = mismatches(tree(index, steps, fanout), tree(other, steps, fanout), steps, fanout).withColumn("bad", F.lit(True))
-    return index.join(bad, ["file", "node"], "left").select("page_id", "file", "start", "end", F.col("hash").alias("sha256"), F.coalesce("bad", F.lit(False)).alias("corrupt"))
+    files = few_files(index)
+    index = materialise(index.select("page_id", "file", "start", "end", "hash"), files)
+    ranges = lambda df, side: df.select(F.lit(side).alias("side"), "file", "start", "end", F.coalesce("hash", F.lit("")).alias("hash"))
+    sides = materialise(ranges(index, 0).union(ranges(stored, 1)), files)
+    levels = tree(sides, files, fanout, block)
+    bad, _ = descend(sides, levels)
+    roots = {r.side: r.hash for r in levels[-1][0].collect()}  # one for each side
+    now = sides.where("side = 1").groupBy("file", "start", "end").agg(F.max("hash").alias("found"))
+    marked = now.join(bad.withColumn("bad", F.lit(True)), ["file", "start", "end"], "full")
+    rows = index.withColumnRenamed("hash", "sha256").join(marked, ["file", "start", "end"], "full")
+    root = lambda side: F.lit(roots.get(side)).cast("string")
+    return rows.select("page_id", "file", "start", "end", "sha256", F.nullif("found", F.lit("")).alias("found"), F.coalesce("bad", F.lit(False)).alias("corrupt"), root(0).alias("root"), root(1).alias("replica_root"))
 
 
 def op3_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audits a replica of all pages in which decay is simulated: by the MD5 of their id, some records have a flipped bit
     and some are lost."""
-    key = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    found = records(table(spark, sf_dir, "pages")).withColumn("decayed", F.when(key.startswith("00"), F.concat(F.lit("V"), F.substring("record", 2, 2_000_000_000))).when(key.startswith("01"), F.lit(None)).otherwise(F.col("record")))
-    both = materialise(leaves(found.withColumn("now", F.sha2(F.col("decayed").cast("binary"), 256)), "now"), few_files(found))
-    return audit(both.drop("now"), both.select("file", "start", "end", F.col("now").alias("hash")))
-
-
-OP3_SQL = r"""
-SELECT page_id, file, CAST(SUM(n) OVER w - n AS BIGINT) AS start, CAST(SUM(n) OVER w AS BIGINT) AS "end", sha256,
-  LEFT(MD5(CAST(page_id AS VARCHAR)), 2) IN ('00', '01') AS corrupt
-FROM (SELECT page_id, CAST(FLOOR(page_id / 1000) * 2 AS BIGINT) AS file, SHA256(r) AS sha256, OCTET_LENGTH(ENCODE(r)) AS n FROM
-  (SELECT page_id, CONCAT('WARC/1.1', e, 'WARC-Type: resource', e, 'WARC-Target-URI: ', url, e, 'Content-Type: text/html', e, 'Content-Length: ',
-    OCTET_LENGTH(ENCODE(html)), e, e, html, e, e) AS r FROM (SELECT page_id, COALESCE(url, '') AS url, COALESCE(html, '') AS html, CONCAT(chr(13), chr(10)) AS e FROM pages) p) q) t
-WINDOW w AS (PARTITION BY file ORDER BY page_id, sha256 ROWS UNBOUNDED PRECEDING)
-"""
+    key = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    found = records(table(spark, sf_dir, "pages"))
+    decayed = F.when(key.startswith("00"), F.concat(F.lit("V"), F.substring("record", 2, 2_000_000_000))).otherwise(F.col("record"))
+    both = materialise(leaves(found.withColumn("now", F.when(~key.startswith("01"), F.sha2(decayed.cast("binary"), 256))), "now"), few_files(found))
+    return audit(both.drop("now"), both.where("now is not null").select("file", "start", "end", F.col("now").alias("hash")))
+
+
+def op3_sql() -> str:
+    """The same for DuckDB: taller trees than its tables need have the same roots."""
+    key = "MD5(COALESCE(CAST(page_id AS VARCHAR), ''))"
+    with_ = rf"""pages_ AS (SELECT page_id, CONCAT('WARC/1.1', e, 'WARC-Type: resource', e, 'WARC-Target-URI: ', url, e, 'Content-Type: text/html', e, 'Content-Length: ',
+        OCTET_LENGTH(ENCODE(html)), e, e, html, e, e) AS r FROM (SELECT page_id, COALESCE(url, '') AS url, COALESCE(html, '') AS html, CONCAT(chr(13), chr(10)) AS e FROM pages) p),
+      dealt AS (SELECT page_id, r, COALESCE(CAST(FLOOR(page_id / {IDS_PER_FILE}) * 2 AS BIGINT), -1 - 2 * (CAST(CONCAT('0x', LEFT(MD5(r), 8)) AS BIGINT) % (SELECT COUNT(*) // {IDS_PER_FILE} + 1 FROM pages WHERE page_id IS NULL))) AS file FROM pages_),
+      hashed AS (SELECT page_id, file, SHA256(r) AS sha256, OCTET_LENGTH(ENCODE(r)) AS n, CASE WHEN {key} LIKE '00%' THEN SHA256(CONCAT('V', SUBSTR(r, 2))) WHEN {key} NOT LIKE '01%' THEN SHA256(r) END AS found FROM dealt),
+      idx AS (SELECT page_id, file, CAST(SUM(n) OVER w - n AS BIGINT) AS a, CAST(SUM(n) OVER w AS BIGINT) AS b, sha256, found FROM hashed WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS LAST, sha256 ROWS UNBOUNDED PRECEDING)),
+      sides AS (SELECT 0 AS side, file, a, b, sha256 AS h FROM idx UNION ALL SELECT 1, file, a, b, found FROM idx WHERE found IS NOT NULL),
+      n0 AS (SELECT side, file, a // {BLOCK} AS place, SHA256(STRING_AGG(CONCAT(a, ':', b, ':', h), ';' ORDER BY a, b, h)) AS h FROM sides GROUP BY ALL)"""
+    node = "CASE WHEN COUNT(*) = 1 THEN MAX(h) ELSE SHA256(STRING_AGG(CONCAT({0}, ':', h), ';' ORDER BY {0})) END AS h"
+    for k in range(1, 9):
+        up = f"file, place // {FANOUT} AS place" if k < 5 else f"CAST(FLOOR(file / {FANOUT}) AS BIGINT) AS file, 0 AS place"
+        with_ += f", n{k} AS (SELECT side, {up}, {node.format(f'n{k - 1}.place' if k < 5 else f'n{k - 1}.file')} FROM n{k - 1} GROUP BY side, {', '.join(x.split(' AS ')[0] for x in up.split(', '))})"
+    root = f"(SELECT {node.format('file')} FROM n8 WHERE side = {{}})"
+    return f"""WITH {with_} SELECT page_id, file, a AS start, b AS "end", sha256, found, found IS DISTINCT FROM sha256 AS corrupt, {root.format(0)} AS root, {root.format(1)} AS replica_root FROM idx"""

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumenforge.llm import decontamination, language_model, ngram_join, packing, quality_rules, secret_scan, sharding, suffix_dedup, toxicity, warc_fixity
 from lumenforge.llm.common import shingles, table
@@ -66,25 +67,64 @@ def components(docs, k, p, q):
 
 @pytest.mark.parametrize("k,p,q", [(4, 85, 100), (5, 4, 5), (2, 1, 2)])
 def test_jaccard_components(spark, odd, data, k, p, q):
+    """Odd texts, a family on both sides of the threshold, and given documents, together."""
     made = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
     base = [made.choice(vocabulary) for _ in range(60)]
     near = []
-    for _ in range(40):
+    for _ in range(60):
         w = list(base)
-        for _ in range(made.randint(0, 5)):
+        for _ in range(made.randint(0, 9)):
             w[made.randrange(60)] = made.choice(vocabulary)
         near.append(" ".join(w))
-    for docs in (odd, spark.createDataFrame(rows_of(near), DOCS), table(spark, data, "documents")):
-        want = components([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()], k, p, q)
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, k, (p, q)).collect()}
-        assert got == want
+    far = table(spark, data, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(i + 100, t) for i, t in enumerate(near)], "doc_id long, text string")).union(far)
+    want = components([(r.doc_id, r.text) for r in docs.collect()], k, p, q)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs, k, (p, q)).collect()}
+    assert got == want
 
 
 def test_jaccard_of_nothing(spark, odd):
     assert ngram_join.jaccard_components(odd.limit(0)).count() == 0
-    doubled = odd.union(odd.where("doc_id = 6"))
-    assert ngram_join.jaccard_components(doubled).count() == 16
+
+
+def test_jaccard_of_repeated_and_missing_ids(spark, odd):
+    made = random.Random(8)
+    base = [f"w{made.randrange(500)}" for _ in range(80)]
+    near = [" ".join([*base[:i], "new", *base[i + 1 :]]) for i in (0, 79)]
+    rows = [(5, " ".join(base), 1), (5, " ".join(base), 2), (5, "another text of this id that is like none of the others here", 3), (None, near[0], 4), (None, near[1], 5), (None, "alone without an id but with enough words", 6), (None, "alone without an id but with enough words", 7), (9, near[1], 8), (7, None, 9), (7, None, 10), (None, "", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    other = rows[2][1]
+    got = Counter((r.doc_id, r.component_id) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == Counter([(5, 5), (5, 5), (5, 5), (None, 5), (None, 5), (None, None), (None, None), (9, 5), (7, 7), (7, 7), (None, None)])
+    left = sorted((r.n for r in ngram_join.distinct_documents(docs, 4, (85, 100)).collect()))
+    one = {1, 2} if md5(rows[0][1]) < md5(other) else {8}  # who keeps the id 5 has the smallest number
+    assert len(left) == 6 and {3, 9, 10, 11} <= set(left) and len(set(left) & one) == 1 and len(set(left) & {6, 7}) == 1
+    assert ngram_join.jaccard_components(odd.union(odd)).count() == 32
+
+
+def test_short_hashes_that_meet_lose_no_link(spark):
+    """All shingles get one of 64 short hashes, so that many of a document meet."""
+    made = random.Random(4)
+    base = [made.choice("abcdefgh") + str(made.randrange(9)) for _ in range(100)]
+    sets, reply = {}, []
+    texts = [" ".join(base), " ".join([*base[:50], "x", *base[51:]])]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(texts)], names=["doc_id", "text"])
+    for _, row, tok in ngram_join.doc_shingles([batch], 4, 10):
+        short = (tok >> np.uint64(58)).astype("<u4")
+        for i in range(2):
+            sets[i] = short[row == i]
+        reply.append({"chunk": 1, "bucket": 0, "docs": np.array([0, 1], "<u2").tobytes(), "lens": np.array([len(sets[0]), len(sets[1])], "<u4").tobytes(), "toks": np.concatenate([sets[0], sets[1]]).tobytes(), "classes": np.ones(len(sets[0]) + len(sets[1]), np.uint8).tobytes()})
+        reply.append({"chunk": 1, "bucket": -1, "docs": np.array([1, 2], "<i8").tobytes(), "lens": np.array([len(sets[0]), len(sets[1])], "<i8").tobytes(), "toks": b"\0" * 32, "classes": None})
+    schema = "chunk long, bucket int, docs binary, lens binary, toks binary, classes binary"
+    rows = spark.createDataFrame([tuple(bytearray(v) if isinstance(v, bytes) else v for v in r.values()) for r in reply], schema)
+    got = {r.doc_id: r for r in ngram_join._prefixes(rows, 1, (85, 100), 2).collect()}
+    for i in range(2):
+        assert got[i + 1].shared == len(sets[i]) > len(set(sets[i].tolist())) and got[i + 1].prefixes
+    assert all(set(a) & set(b) for a, b in zip(got[1].prefixes, got[2].prefixes, strict=True))
 
 
 def test_shards(spark, odd, data):
@@ -107,21 +147,77 @@ def test_shards(spark, odd, data):
     assert sharding.interleave_shards(odd.limit(0)).count() == 0
 
 
+def test_shards_by_brute_force(spark, odd, data):
+    """Seeded order within sources, fractional ranks, one order, equal cuts."""
+    for docs, shards in ((odd.union(odd), 5), (odd.union(odd), 100), (table(spark, data, "documents"), 24)):
+        rows = [(f"={r.source}" if r.source is not None else "", hashlib.md5(f"interleave:{'' if r.doc_id is None else r.doc_id}".encode()).hexdigest(), r.doc_id, zlib.crc32((r.text or "").encode()), len((r.text or "").encode()) + 8) for r in docs.collect()]
+        by = defaultdict(list)
+        for r in sorted(rows, key=lambda r: r[1:]):
+            by[r[0]].append(r)
+        order = sorted(((2 * i + 1) / (2 * len(mine)), *r) for mine in by.values() for i, r in enumerate(mine))
+        want = Counter()
+        seen = Counter()
+        for place, (_, _, _, doc, crc, size) in enumerate(order):
+            shard = place * shards // len(order)
+            want[(doc, size, crc, shard, seen[shard])] += 1
+            seen[shard] += 1
+        assert Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in sharding.interleave_shards(docs, shards).collect()) == want
+
+
+def naive_root(ranges, block, fanout):
+    """The root over (file, start, end, hash) by plain recursion."""
+    sha = lambda parts: hashlib.sha256(";".join(parts).encode()).hexdigest()
+    nodes = defaultdict(list)
+    for f, a, b, h in sorted(ranges):
+        nodes[(f, a // block)].append(f"{a}:{b}:{h}")
+    nodes = {k: sha(v) for k, v in nodes.items()}
+
+    def up(nodes, parent, name):
+        found = defaultdict(list)
+        for k in sorted(nodes):
+            found[parent(k)].append((name(k), nodes[k]))
+        return {k: v[0][1] if len(v) == 1 else sha(f"{n}:{h}" for n, h in v) for k, v in found.items()}
+
+    while any(at for _, at in nodes):
+        nodes = up(nodes, lambda k: (k[0], k[1] // fanout), lambda k: k[1])
+    while len(nodes) > 1:
+        nodes = up(nodes, (lambda k: (0, 0)) if {f for f, _ in nodes} == {-1, 0} else (lambda k: (k[0] // fanout, 0)), lambda k: k[0])
+    return next(iter(nodes.values()))
+
+
 def test_fixity_finds_what_decayed(spark):
-    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "é" * (i % 50)) for i in range(2500)] + [(None, None, None), (3, "http://x/3", None)], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" + "é" * (i % 50), 1) for i in range(2500)] + [(None, None, None, 1), (None, "u", "v", 1), (3, "http://x/3", None, 1), (9, "same", "x", 1), (9, "same", "x", 2)], "page_id long, url string, html string, start int").withColumn("hash", F.lit("clash"))
     index = warc_fixity.leaves(warc_fixity.records(pages))
     rows = index.collect()
+    assert len(rows) == 2505
     for f in {r.file for r in rows}:
         mine = sorted((r.start, r.end) for r in rows if r.file == f)
         assert mine[0][0] == 0 and all(a[1] == b[0] for a, b in zip(mine, mine[1:], strict=False))
-    from pyspark.sql import functions as F
-
     lost = {7, 1500, 2499}
-    stored = index.select("file", "start", "end", F.when(F.col("page_id").isin(*lost), F.lit("0")).otherwise(F.col("hash")).alias("hash")).where("start != 0 or file != 2")
-    got = warc_fixity.audit(index, stored, fanout=4).collect()
-    assert len(got) == 2502
-    assert {r.page_id for r in got if r.corrupt} == lost | {1000}
-    assert warc_fixity.audit(index.limit(0), stored).count() == 0
+    stored = index.select("file", "start", "end", F.when(F.col("page_id").isin(*lost), F.lit("0")).otherwise(F.col("hash")).alias("hash"), F.lit(1).alias("page_id")).where("start != 0 or file != 2")
+    surplus = spark.createDataFrame([(0, 10**9, 10**9 + 5, "more", 1), (77, 0, 9, "file", 1)], "file long, start long, end long, hash string, page_id int")
+    for fanout, block in ((4, 1 << 10), (16, 1 << 16)):
+        got = warc_fixity.audit(index, stored.union(surplus), fanout, block).collect()
+        assert len(got) == 2507
+        assert {r.page_id for r in got if r.corrupt} == lost | {1000, None} and sum(r.corrupt for r in got) == 6
+        assert {(r.file, r.found) for r in got if r.sha256 is None} == {(0, "more"), (77, "file")}
+        assert {r.root for r in got} == {naive_root([(r.file, r.start, r.end, r["hash"]) for r in rows], block, fanout)}
+        assert {r.replica_root for r in got} == {naive_root([tuple(r)[:4] for r in stored.union(surplus).collect()], block, fanout)}
+    same = warc_fixity.audit(index, index).collect()
+    assert not any(r.corrupt for r in same) and all(r.root == r.replica_root for r in same)
+    assert warc_fixity.audit(index.limit(0), stored.limit(0)).count() == 0
+
+
+def test_fixity_descends_only_where_nodes_differ(spark):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "<p>" * 20) for i in range(3000)], "page_id long, url string, html string")
+    index = warc_fixity.leaves(warc_fixity.records(pages)).select("file", "start", "end", "hash")
+    for bad, most in ((None, 2), (1234, 2 * 40)):
+        now = index.withColumn("hash", F.when((F.col("file") == 2) & (F.col("start") >= 9000) & (F.col("start") < 9100), "x").otherwise(F.col("hash"))) if bad else index
+        sides = index.select(F.lit(0).alias("side"), "*").union(now.select(F.lit(1).alias("side"), "*"))
+        levels = warc_fixity.tree(sides, 4, 4, 1 << 11)
+        found, compared = warc_fixity.descend(sides, levels)
+        counts = [c.count() for c in compared]
+        assert found.count() == (bad is not None) and counts[0] == 2 and max(counts) <= most and len(counts) == len(levels) + 1 > 5
 
 
 def test_fold_sees_through_disguises():
@@ -134,6 +230,39 @@ def test_fold_sees_through_disguises():
     assert lexicon.features(a, "")[0] == 0.0 and lexicon.features(a, "untrash")[1] == 0.0
 
 
+def test_matches_are_those_of_a_naive_search():
+    made = random.Random(11)
+    letters = "abi0 1l.!ао_-\n"
+    lexicon = toxicity.Lexicon(words={"ab": 2.0, "aii": 1.0, "o": 3.0}, stems={"ba": 1.5, "a": 0.5, "bao": 4.0}, exceptions=("a b", "ba o ab", "O!"))
+    automaton = lexicon.automaton()
+    phrases = [re.findall(r"[^\W_]+", toxicity.fold(p)) for p in lexicon.exceptions]
+    for _ in range(2000):
+        text = "".join(made.choice(letters) for _ in range(made.randint(0, 30)))
+        tokens = re.findall(r"[^\W_]+", toxicity.fold(text))
+        freed = {i + j for p in phrases for i in range(len(tokens)) if tokens[i : i + len(p)] == p for j in range(len(p))}
+        total = sum(max([lexicon.words.get(w, 0.0), *(v for s, v in lexicon.stems.items() if w.startswith(s))]) for i, w in enumerate(tokens) if i not in freed)
+        rate, got = lexicon.features(automaton, text)
+        assert math.isclose(got, total) and math.isclose(rate, 100 * total / max(1, len(tokens))), text
+
+
+def test_exceptions_are_learned(spark):
+    made = random.Random(2)
+    prose = lambda: [made.choice(["river", "stone", "house", "garden", "window", "letter"]) for _ in range(30)]
+    rows = []
+    for i in range(600):
+        w = prose()
+        if i % 3 == 0:
+            w[made.randrange(1, 29)] = "blorpish"
+        elif i % 3 == 1:
+            w[10:12] = ["blorpish", "pudding"]
+        rows.append((i, " ".join(w), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.learn_lexicon(docs.drop("toxic"), docs.select("doc_id", "toxic"), exceptions=())
+    assert toxicity.fold("blorpish pudding") in lexicon.exceptions and len(lexicon.exceptions) == 1
+    scores = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()}
+    assert all(scores[i] == (i % 3 == 0) for i in range(600))
+
+
 def test_toxicity_on_held_out_labels(spark, odd):
     data = "/root/testdata/sf0.1"
     got = {r.doc_id: r for r in toxicity.op4_lexicon_toxicity(spark, data).collect()}
@@ -181,6 +310,76 @@ def test_quality_rejects_planted_outliers(spark):
     assert not any(got.get(i) for i in range(300, 306)) and sum(not k for i, k in got.items() if i < 300) == 0
 
 
+def mcd_distances(x, floors, h, consistent, steps):
+    """Squared distances under the regularised covariance of least determinant, in plain NumPy; x: whole thousandths."""
+    middle = np.median(x, axis=0)
+    scale = np.sqrt((1.4826 * np.median(np.round(2 * np.abs(x - middle)), axis=0) / 2) ** 2 + floors**2)
+    z = (x - middle) / scale
+    best = None
+    for y in (None, z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None], z / np.sqrt(1 + z * z)):
+        turned = np.eye(x.shape[1])
+        if y is not None:
+            y = np.round(1000 * y)
+            turned = y.T @ y
+            turned = turned / np.sqrt(np.maximum(np.outer(np.diag(turned), np.diag(turned)), 1))
+            np.fill_diagonal(turned, 1.0)
+        mean, cov, det = middle, turned * np.outer(scale, scale), np.inf
+        for _ in range(steps):
+            far = np.einsum("ij,ij->i", x - mean, np.linalg.solve(cov, (x - mean).T).T)
+            bins = np.floor(64 * np.log1p(far))
+            mine = x[bins <= np.sort(bins)[int(np.ceil(h * len(x))) - 1]]
+            new_mean = mine.mean(0)
+            new = ((mine.T @ mine) / len(mine) - np.outer(new_mean, new_mean)) * consistent + np.diag(floors**2)
+            d = np.linalg.slogdet(new)[1]
+            if not d < det - 1e-9:
+                break
+            mean, cov, det = new_mean, new, d
+        if best is None or det < best[0] - 1e-9:
+            best = det, np.einsum("ij,ij->i", x - mean, np.linalg.solve(cov, (x - mean).T).T)
+    return best[1]
+
+
+def test_verdicts_are_those_of_an_independent_estimate(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(docs).collect()}
+    whole = lambda v: float(math.floor(1000 * v + 0.5))
+    groups, rows, counts = defaultdict(list), {}, Counter()
+    for r in docs.collect():
+        w, c, n, d, p = base_statistics(r.text)
+        if not (w < 50 or 100 * p > 50 * w):
+            counts[(r.lang, r.source)] += 1
+        rows[r.doc_id] = (r.lang, r.source, w < 50 or 100 * p > 50 * w, [whole(math.log(1 + w)), whole(c / max(w, 1)), whole(math.log(1 + 100 * n / max(c, 1))), whole(math.log(1 + 1000 * d / max(w, 1))), whole(math.log(1 + 100 * p / max(w, 1)))])
+    for i, (lang, source, failed, x) in rows.items():
+        if not failed:
+            groups[(lang, source if counts[(lang, source)] >= quality_rules.LEAST else "")].append((i, x))
+    compared, rejected = 0, 0
+    for mine in groups.values():
+        if len(mine) < quality_rules.H * quality_rules.LEAST:
+            assert all(got[i].kept for i, _ in mine)
+            continue
+        d2 = mcd_distances(np.array([x for _, x in mine]), np.array(quality_rules.FLOORS, float), quality_rules.H, quality_rules.CONSISTENT, quality_rules.STEPS)
+        for (i, _), d in zip(mine, d2, strict=True):
+            assert got[i].kept == (d <= quality_rules.LIMIT) or abs(d - quality_rules.LIMIT) < 1e-6
+            compared, rejected = compared + 1, rejected + (d > quality_rules.LIMIT)
+    assert compared > 500 and rejected > 0
+    assert abs(quality_rules.CONSISTENT - 1.4118) < 1e-3 and abs(quality_rules.LIMIT - 37.33) < 0.02
+
+
+def test_one_statistic_alone_can_reject(spark):
+    made = random.Random(7)
+    vocabulary = [f"{a}{b}n{c}" for a in "bcdfgklm" for b in ("a", "ero", "itu", "ola") for c in "xyz"]
+    prose = lambda n: [made.choice(vocabulary) for _ in range(n)]
+    texts = [" ".join(prose(made.randint(100, 400))) for _ in range(300)]
+    symbols = " ".join(w + "|" * (i % 2) for i, w in enumerate(prose(250)))
+    lines = "\n".join(["same short line here"] * 20 + [" ".join(prose(8)) for _ in range(30)])
+    repeats = prose(200)
+    repeats = " ".join(repeats + repeats[:60])
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*texts, symbols, lines, repeats])], "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.quality_verdicts(docs).collect()}
+    assert [got[300 + k].base_failed for k in range(3)] == [False] * 3 and not any(got[300 + k].kept for k in range(3))
+    assert all(got[i].kept for i in range(300))
+
+
 ASSIGN = re.compile(secret_scan.ASSIGN.replace("(?i:password|passwd|secret|token|api_?key)", "(?i:password|passwd|secret|token|api_?key)"), re.ASCII)
 
 
@@ -207,8 +406,6 @@ def test_secret_spans(spark, odd):
 
 def test_randomness_battery(spark):
     made = random.Random(3)
-    from pyspark.sql import functions as F
-
     keys = ["".join(made.choice(secret_scan.ALPHABETS["base64"]) for _ in range(64)) for _ in range(60)]
     plain = ["internationalisation" * 3, "a" * 60, "abcdefghijklmnopqrst" * 3]
     df = spark.createDataFrame([(k,) for k in keys + plain], "t string")
@@ -216,6 +413,81 @@ def test_randomness_battery(spark):
     assert sum(x >= 0.01 for x in p[:60]) >= 54 and all(x < 0.01 for x in p[60:])
 
 
+def naive_p(token, kind):
+    """The three tests, one character at a time."""
+    plain = token.lower() if kind == "hex" else token.translate(str.maketrans("-_", "+/"))
+    alphabet = secret_scan.ALPHABETS[kind]
+    n, k = len(plain), len(alphabet)
+
+    def tail(z):
+        z = min(max(z, -8.0), 8.0)
+        return 1 / (1 + math.exp(1.5976 * z + 0.070566 * z**3))
+
+    chi = max(k / n * sum(c * c for c in Counter(plain).values()) - n, 0.0)
+    spread = 2 / (9 * (k - 1))
+    uniform = tail(((chi / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread))
+    values = [alphabet.index(c) - (k - 1) / 2 if c in alphabet else -1 - (k - 1) / 2 for c in plain]
+    high = [v > 0 for v in values]
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    mean = 2 * sum(high) * (n - sum(high)) / n + 1
+    turns = 2 * tail(abs((runs - mean) / math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))))
+    d = [v - sum(values) / n for v in values]
+    serial = 2 * tail(abs(sum(a * b for a, b in zip(d, d[1:], strict=False)) / max(sum(x * x for x in d), 1e-9)) * math.sqrt(n))
+    half = -sum(math.log(max(p, 1e-15)) for p in (uniform, turns, serial))
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def naive_scan(texts, fdr=0.05):
+    """For each text its candidates that pass: all tokens are tried first, then each class has its least cut."""
+    import xxhash
+
+    level = lambda p: sum(p >= c for c in secret_scan.CUTS)
+    size = lambda n: min(int(math.floor(math.log2(n / 20) * 2)), 12)
+    kind = lambda t: "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else "base32" if re.fullmatch("[A-Z2-7]+", t) else "alnum" if re.fullmatch("[A-Za-z0-9]+", t) else "base64"
+    word = re.compile("([A-Z]?[a-z]+|[A-Z]+)([-_/+]([A-Z]?[a-z]+|[A-Z]+))*")
+    decoys, targets, found = defaultdict(list), defaultdict(list), []
+    for t in texts:
+        mine = []
+        for m in re.finditer(secret_scan.CANDIDATE, t):
+            k = kind(m[0])
+            row = (k, size(len(m[0])), level(naive_p(m[0], k)))
+            if word.fullmatch(m[0]):
+                for e in secret_scan.ALPHABETS:
+                    decoys[(e, row[1])].append(row[2])
+            else:
+                targets[row[:2]].append(row[2])
+                mine.append((m.start(), m.end(), row))
+        found.append(mine)
+        h = xxhash.xxh64(t.encode(), seed=42).intdigest()
+        n = secret_scan.MADE[(h - (1 << 64) if h >> 63 else h) % len(secret_scan.MADE)]
+        slug = re.sub("[^A-Za-z0-9]+", "-", re.sub(secret_scan.CANDIDATE, " ", t[: secret_scan.WORDS_FROM]))
+        plain = slug.replace("-", "")
+        for e, x in (("hex", re.sub("[^0-9a-f]", "", plain.lower())), ("base32", re.sub("[^A-Z2-7]", "", plain.upper())), ("alnum", plain), ("base64", slug)):
+            if len(x) >= n:
+                decoys[(e, size(n))].append(level(naive_p(x[:n], e)))
+    cuts = {}
+    for (e, z), levels in targets.items():
+        for cut in range(len(secret_scan.CUTS), 0, -1):
+            reach = sum(x >= cut for x in levels)
+            rates = [(sum(x >= cut for x in v) + 0.5) / (len(v) + 20) for (d, y), v in decoys.items() if d == e and y <= z]
+            rate = min(rates, default=0.5 / 20)
+            if reach and rate / (1 - rate) * (len(levels) - reach + 1) <= fdr * reach:
+                cuts[(e, z)] = cut
+    return [[(a, b) for a, b, (e, z, x) in mine if (e, z) in cuts and x >= cuts[(e, z)]] for mine in found]
+
+
+def test_random_tokens_are_those_of_a_naive_scan(spark, odd):
+    made = random.Random(12)
+    data = table(spark, "/root/testdata/sf0.01", "documents").select("text")
+    pick = lambda e, n: "".join(made.choice(secret_scan.ALPHABETS[e]) for _ in range(n))
+    mixed = [(f"see {pick(made.choice(list(secret_scan.ALPHABETS)), made.randint(20, 90))} and the-long-way-home-to-the-hills{'-x' * made.randint(0, 9)} {pick('hex', 8) * made.randint(3, 9)}",) for _ in range(400)]
+    texts = [r.text or "" for r in data.union(odd.select("text")).collect()] + [m[0] for m in mixed]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: sorted(x) for i, x in enumerate(naive_scan(texts))}
+    got = {r.doc_id: sorted(tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")) for r in secret_scan.scan_secrets(docs).collect()}
+    assert got == want and sum(map(bool, want.values())) > 100
+
+
 def test_secrets_are_found_beside_many_natural_tokens(spark):
     made = random.Random(5)
     vocabulary = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("a", "en", "ight", "o", "ul") for c in ("", "er", "ing", "tion")]
@@ -233,13 +505,14 @@ def test_secrets_are_found_beside_many_natural_tokens(spark):
 
 
 def test_language_model(spark, odd, data):
-    for docs in (odd, table(spark, data, "documents")):
-        text = {r.doc_id: words(r.text) for r in docs.collect()}
-        train = [i for i in text if zlib.crc32(str(i).encode()) % 5 != 1]
+    loose = spark.createDataFrame([(None, "one two"), (None, None), (6, "the quick brown two one three")], "doc_id long, text string")
+    for docs in (odd.union(odd).select("doc_id", "text").union(loose), table(spark, "/root/testdata/sf0.01", "documents")):
+        rows = [(r.doc_id, words(r.text)) for r in docs.select("doc_id", "text").collect()]
         one, two = Counter(), Counter()
-        for i in train:
-            one.update([*text[i], 0])
-            two.update(zip([1, *text[i]], [*text[i], 0], strict=True))
+        for i, t in rows:
+            if i is None or zlib.crc32(str(i).encode()) % 5 != 1:
+                one.update([*t, 0])
+                two.update(zip([1, *t], [*t, 0], strict=True))
         total, types = sum(one.values()), len(one)
         context, shape, before = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
         for (v, w), n in two.items():
@@ -248,32 +521,38 @@ def test_language_model(spark, odd, data):
             before[w] += 1
         d, e = (language_model.discounts(*(Counter(c.values())[k] for k in range(1, 5))) for c in (two, before))
         left = sum(e[min(n, 3) - 1] for n in before.values()) / len(two)
-        close = 0
-        got = language_model.kneser_ney_scores(docs).collect()
-        assert len(got) == len(text)
-        for r in got:
-            w = [*text[r.doc_id], 0]
-            assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(one[x] > 0 for x in w), total)
-            assert math.isclose(r.base_score, sum(math.log10((one[x] + 0.5) / (total + 0.5 * (types + 1))) for x in w), rel_tol=1e-9)
+        want = []
+        for i, t in rows:
+            w = [*t, 0]
             score = 0.0
-            for v, x in zip([1, *text[r.doc_id]], w, strict=True):
+            for v, x in zip([1, *t], w, strict=True):
                 low = ((before[x] - e[min(before[x], 3) - 1]) if before[x] else 0) / len(two) + left / (types + 1)
                 n = two[(v, x)]
                 p = ((n - d[min(n, 3) - 1]) if n else 0) / context[v] + sum(a * b for a, b in zip(d, shape[v], strict=True)) / context[v] * low if context[v] else low
                 score += math.log10(p)
-            close += math.isclose(r.score, score, rel_tol=1e-6)
-        assert close >= 0.98 * len(got)  # pairs are looked up by 32-bit hashes
+            want.append((str(i), i is not None and zlib.crc32(str(i).encode()) % 5 == 1, len(w), sum(one[x] > 0 for x in w), total, sum(math.log10((one[x] + 0.5) / (total + 0.5 * (types + 1))) for x in w), score))
+        got = [(str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in language_model.kneser_ney_scores(docs).collect()]
+        assert len(got) == len(want)
+        for x, y in zip(sorted(got), sorted(want), strict=True):
+            assert x[:5] == y[:5] and all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(x[5:], y[5:], strict=True))
     assert language_model.kneser_ney_scores(odd.limit(0)).count() == 0
 
 
-def test_probabilities_sum_to_one(spark):
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a b", "c a b a", "a", "b c"])], "doc_id long, text string")
-    arrays = language_model.train(docs).arrays()
-    total = 0.0
-    for w in ("a", "b", "c", "zz"):
-        total += 10 ** (arrays.scores([f"a {w}".encode()])[3][0] - arrays.scores([b"a"])[3][0] - arrays.scores([w.encode()])[3][0]) if w == "none" else 0
+def test_probabilities_sum_to_one(spark, data):
+    for docs in (spark.createDataFrame([(i, t) for i, t in enumerate(["a b a c", "b a b", "c a b a", "a", "b c", None])], "doc_id long, text string"), table(spark, data, "documents").limit(40)):
+        seen = sorted({w for r in docs.collect() for w in words(r.text)})
+        arrays = language_model.train(docs).arrays()
+        known = np.array([h for w in seen for h in language_model.token_pairs([w.encode()])[2][:1]], np.uint64)
+        unseen = language_model.token_pairs([b"never-seen"])[2][0]
+        everything = np.unique(np.array([*known, unseen, language_model.START, language_model.END], np.uint64))
+        assert len(everything) == len(seen) + 3
+        tokens = np.flatnonzero(everything != language_model.START)
+        for v in [0, len(everything) - 1, *range(1, len(everything) - 1, 1 + len(everything) // 40), *np.searchsorted(everything, [unseen, language_model.START]).tolist()]:
+            if everything[v] != language_model.END:
+                _, p = arrays.probabilities(everything, np.full(len(tokens), v), tokens)
+                assert math.isclose(p.sum(), 1.0, rel_tol=1e-9) and (p > 0).all()
     row, before, token = language_model.token_pairs([b"a b", b""])
-    assert row.tolist() == [0, 0, 0, 1] and before[3] == language_model.START and token[3] == language_model.END and total == 0
+    assert row.tolist() == [0, 0, 0, 1] and before[3] == language_model.START and token[3] == language_model.END
 
 
 def removed(texts, length):
@@ -409,43 +688,68 @@ def test_plan_uses_every_length_once():
     assert packing.plan_fill({}, 8) == [] and packing.plan_fill({5: 2, 3: 2}, 8) == [((5, 3), 2)]
 
 
-def test_contamination(spark, data):
+def found_in(spark, texts, items):
+    docs = spark.createDataFrame(rows_of(texts), DOCS)
+    rows = decontamination.contaminated(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert len(rows) == len({(r.doc_id, r.item_id) for r in rows})
+    return {(r.doc_id, r.item_id): r.n_windows for r in rows}
+
+
+def test_units_of_numbers_and_names():
+    for a, b in (("Mary has 3 pens", "Mary Ann has 3.5 pens"), ("paid 12 boys", "paid 1,200 boys"), ("in 3 hours he", "in 4.5 hours he"), ("for twenty five men", "for 7 men"), ("by J. R. Smith now", "by Bob now"), ("2/3 of it", "11:30 of it"), ("5 million in all", "6 in all")):
+        x, y = (decontamination.units([t.encode()])[0] for t in (a, b))
+        assert x[1].tolist() == y[1].tolist(), (a, b)
+    row, token, value = decontamination.units([b"1,200 men", b"1,200 men", b"1,300 men", b"we met Ann, Bob", b"", b"1. 2"])[0]
+    assert value[0] == value[2] != value[4] and row.tolist() == [0, 0, 1, 1, 2, 2, 3, 3, 3, 3, 5, 5]
+    assert token[8] == token[9] == decontamination.NAME and decontamination.units([b""])[0][0].tolist() == []
+
+
+def test_contamination(spark):
     item = "A train leaves Boston at 60 miles per hour and meets another train after 3 hours how far apart were the two stations at first"
     same = "Well: a train leaves Chicago at 75 miles per hour and meets another train after 4 hours how far apart were the two stations at first ok"
     mixed = "a train leaves Boston at 60 miles per hour and meets another Train after 60 hours how far apart were the two stations at first"
-    benchmark = spark.createDataFrame([(1, item), (2, None), (3, "too short"), (None, item)], "item_id long, text string")
-    docs = spark.createDataFrame(rows_of([same, mixed, item.upper(), "a train leaves the station and nobody cares at all about it", None, "", LONG, item, item]), DOCS)
-    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, benchmark).collect()}
-    assert {(0, 1), (2, 1), (7, 1), (8, 1)} <= got and not {d for d, _ in got} & {3, 4, 5, 6}
-    assert decontamination.contaminated(docs, benchmark.limit(0)).count() == 0 and decontamination.contaminated(docs.limit(0), benchmark).count() == 0
-    kept = docs.where(~decontamination.is_contaminated(benchmark))
-    assert {r.doc_id for r in kept.collect()} == set(range(9)) - {d for d, _ in got} and kept.columns == docs.columns
-
-
-def test_contamination_finds_items_dense_with_names(spark):
-    item = "When did Anna Maria Keller of Old Vienna and Paul Otto Braun of New Salzburg first meet Clara Wieck near Lake Garda"
-    long = "it rained all day and nobody went out to see the fields by the river " * 20
-    docs = spark.createDataFrame(rows_of([long + item + " and " + long, (long + item).upper(), long]), DOCS)
-    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
-    assert got == {(0, 1), (1, 1)}
-    assert [r.doc_id for r in docs.where(~decontamination.is_contaminated(spark.createDataFrame([(1, item)], "item_id long, text string"))).collect()] == [2]
-
-
-def test_contamination_finds_consistent_stretches(spark):
-    item = "the old mill by the quiet river ground 40 sacks of corn in one long day and the miller kept 40 coins in a green box under the wide stone stair"
+    texts = [same, mixed, item.upper(), "a train leaves the station and nobody cares at all about it", None, "", LONG, item, item]
+    got = found_in(spark, texts, ["", item, None, "too short"])
+    assert {(0, 1), (2, 1), (7, 1), (8, 1)} <= got.keys() and not {d for d, _ in got} & {3, 4, 5, 6}
+    assert not found_in(spark, [*texts[:3]], []) and not found_in(spark, [], [item])
+    twice = spark.createDataFrame([(1, item), (1, item), (1, "x"), (None, same), (None, same), (2, None)], "doc_id long, text string").withColumn("text_md5", F.lit("mine"))
+    benchmark = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    assert Counter((r.doc_id, r.item_id) for r in decontamination.contaminated(twice, benchmark).collect()) == {(1, 1): 1, (None, 1): 1}
+    kept = decontamination.decontaminate(twice, benchmark)
+    assert kept.columns == twice.columns and Counter((r.doc_id, r.text_md5) for r in kept.collect()) == {(1, "mine"): 1, (2, "mine"): 1}
+
+
+def test_contamination_finds_new_parameters(spark):
+    made = random.Random(6)
+    words_ = [f"{a}{b}{c}" for a in "bcdfglmnprst" for b in ("a", "en", "ight", "o", "ul") for c in ("", "er", "ing", "le")]
+    names, other_names = ["Mary", "Tom Baker", "Ann"], ["Mary Ann", "Bo", "J. R. Smith", "Li Wei"]
+    number = lambda k: [str(made.randint(2, 900)), f"{made.randint(1, 99)}.{made.randint(1, 9)}", f"{made.randint(1, 9)},{made.randint(100, 999)}", "twenty five"][k % 4]
+    items, texts = [], []
+    for i in range(40):
+        plan = [made.choice(words_) for _ in range(30)]
+        for k, at in enumerate(range(4, 30, 6)):
+            plan[at] = "{%s%d}" % ("nm"[k % 2], k % 3)
+        fill = lambda ns, off: " ".join(plan).format(**{f"n{k}": number(off + k) for k in range(3)}, **{f"m{k}": ns[k] for k in range(3)})
+        items.append(fill(names, 0))
+        prose = " ".join(made.choice(words_) for _ in range(40))
+        texts.append(f"{prose} {fill(made.sample(other_names, 3), 1 + i % 3)} {prose}")
+    texts += [" ".join(made.choice(words_) for _ in range(120)) for _ in range(40)]
+    got = set(found_in(spark, texts, items))
+    assert len(got & {(i, i) for i in range(40)}) >= 36 and not {d for d, _ in got} - set(range(40))
+    probes = [("Buy 3 pens for 12 boys and 2 hats for 8 girls at the big shop near the old bridge", "Buy 3.5 pens for 1,200 boys and 2.5 hats for 8.25 girls at the big shop near the old bridge"), ("a slow cart takes the long dusty road to the next small town in 3 hours and then turns back home", "a slow cart takes the long dusty road to the next small town in 4.5 hours and then turns back home")]
+    assert set(found_in(spark, [b for _, b in probes], [a for a, _ in probes])) == {(0, 0), (1, 1)}
+
+
+def test_contamination_finds_dense_short_and_changed_items(spark):
+    dense = "When did Anna Maria Keller of Old Vienna and Paul Otto Braun of New Salzburg first meet Clara Wieck near Lake Garda"
+    prose = "it rained all day and nobody went out to see the fields by the river " * 20
+    mill = "the old mill by the quiet river ground 40 sacks of corn in one long day and the miller kept 40 coins in a green box under the wide stone stair"
     rate = "a slow cart went along the dusty road for 60 miles in only 3 hours and then it stopped beside a tall red barn"
-    texts = [item.replace("40 coins", "55 coins"), item.replace("40", "55"), rate.replace("60", "4").replace("3 hours", "4 hours"), "the old mill by the sea"]
-    benchmark = spark.createDataFrame([(1, item), (2, rate)], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.n_windows for r in decontamination.contaminated(spark.createDataFrame(rows_of(texts), DOCS), benchmark).collect()}
-    assert set(got) == {(0, 1), (1, 1), (2, 2)} and got[(0, 1)] < got[(1, 1)]
-
-
-def test_contamination_finds_short_and_number_dense_items(spark):
-    items = ["What is 17 times 23?", "Add 3 km 5 km 7 km 9 km 11 km 13 km 15 km", "Who painted the old ceiling of Rome?", ""]
-    texts = ["so: what is 17 times 23? ok", "what is 18 times 23", "x " + items[1].lower() + " y", "add 3 km 5 km 7 km 9 km 11 km 13 km 16 km", "say, who painted the old ceiling of Paris now", items[0]]
-    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    got = decontamination.contaminated(spark.createDataFrame(rows_of(texts), DOCS), benchmark).collect()
-    assert {(r.doc_id, r.item_id) for r in got} == {(0, 0), (2, 1), (4, 2), (5, 0)} and len(got) == 4
+    short = ["What is 17 times 23?", "Add 3 km 5 km 7 km 9 km 11 km 13 km 15 km", "Who painted the old ceiling of Rome?", ""]
+    texts = [prose + dense + " and " + prose, (prose + dense).upper(), prose, mill.replace("40 coins", "55 coins"), mill.replace("40", "55"), rate.replace("60", "4").replace("3 hours", "4 hours"), "the old mill by the sea"]
+    texts += ["so: what is 17 times 23? ok", "what is 18 times 23", "x " + short[1].lower() + " y", "add 3 km 5 km 7 km 9 km 11 km 13 km 16 km", "say, Who painted the old ceiling of Paris now", short[0]]
+    got = found_in(spark, texts, [dense, mill, rate, *short])
+    assert set(got) == {(0, 0), (1, 0), (3, 1), (4, 1), (5, 2), (7, 3), (9, 4), (11, 5), (12, 3)} and got[(3, 1)] < got[(4, 1)]
 
 
 def test_contamination_finds_given_passages(spark, data):
