@@ -20,6 +20,13 @@ HDR10_APPROXIMATED = (
 HDR10_DROPPED_V2 = ("open_dynamic_v2.local_tone_map_grid", "open_dynamic_v2.object_constraints", "open_dynamic_v2.temporal", "open_dynamic_v2.ambient_policy")
 SIDECAR_NOTES = ("Open DV-compatible sidecar only; proprietary RPU bitstream generation unavailable", "Use this payload as an intermediate for downstream proprietary packaging")
 
+SIDECAR_DROPPED = ("proprietary_dolby_rpu_extension_blocks", "vendor-specific profile negotiation")
+SIDECAR_APPROXIMATED = ("tone_map_curve anchors mapped into open sidecar schema", "scene luminance mapped to target_max_linear_fraction")
+SIDECAR_UNSUPPORTED = ("generation of certified Dolby Vision bitstream", "private metadata carriage and vendor keys")
+PACKER_CAPABILITIES = ("certified Dolby Vision bitstream packer", "vendor signing keys and profile certificates", "licensed proprietary RPU block serializer")
+#: The schema's name is our own; other families of tools have theirs.
+SIDECAR_SCHEMA = "lumenforge.dv-compatible.sidecar.v1"
+
 
 def scale_bits(nits: Column, bits: int) -> Column:
     """A luminance as a fraction of 10,000 nits in ``bits`` bits, saturating."""
@@ -123,10 +130,70 @@ def hdr10_loss(v2: Column) -> Column:
 def open_sidecar(m: Column) -> Column:
     return F.struct(
         m["frame_index"].alias("frame_index"), clamp(m["scene_peak_luminance_nits"] / CEILING_NITS).alias("target_max_linear_fraction"),
-        m["tone_map_curve"]["anchors"].alias("curve_anchors"), F.lit(False).alias("proprietary_bitstream_generated"), F.array(*map(F.lit, SIDECAR_NOTES)).alias("notes"),
+        m["tone_map_curve"]["anchors"].alias("curve_anchors"), F.lit(False).alias("proprietary_bitstream_generated"), F.array(*map(F.lit, SIDECAR_NOTES)).alias("notes"), packaging().alias("compatibility"),
+    )
+
+
+def packaging(packaged: Column | bool = False) -> Column:
+    """Compatibility metadata of a sidecar: an open one alone, or one that a vendor's packer has made into a bitstream."""
+    done = packaged if isinstance(packaged, Column) else F.lit(packaged)
+    missing = F.when(done, F.array().cast("array<string>")).otherwise(F.array(*map(F.lit, PACKER_CAPABILITIES)))
+    return F.struct(
+        F.when(done, "proprietary_adapter_packaged").otherwise("open_sidecar_only").alias("mode"), F.lit(SIDECAR_SCHEMA).alias("sidecar_schema"), F.lit(True).alias("requires_proprietary_packer"),
+        done.alias("proprietary_packer_available"), done.alias("certified_output_generated"), missing.alias("missing_capabilities"),
     )
 
 
+def sidecar_loss() -> Column:
+    """What an open sidecar drops, approximates and cannot carry, whatever the frame."""
+    texts = lambda items: F.array(*map(F.lit, items)).cast("array<string>")
+    return F.struct(F.lit("dolby_vision_compatible").alias("target"), texts(SIDECAR_DROPPED).alias("dropped_fields"), texts(SIDECAR_APPROXIMATED).alias("approximated_fields"), texts(SIDECAR_UNSUPPORTED).alias("unsupported_features"))
+
+
+def adapter_command(template: str, sidecar: str, rpu: str, report: str) -> list[str]:
+    """A packer's command with the paths in its placeholders, as a list of arguments; no shell ever sees it."""
+    import shlex
+
+    for label, path in (("sidecar", sidecar), ("rpu", rpu), ("report", report)):
+        if "\0" in path:
+            raise ValueError(f"{label} path contains a NUL byte")
+    try:
+        parts = shlex.split(template)
+    except ValueError as e:
+        raise ValueError(f"malformed adapter command: {e}") from e
+    for name, path in (("{sidecar}", sidecar), ("{rpu}", rpu), ("{report}", report)):
+        parts = [p.replace(name, path) for p in parts]
+    return parts
+
+
+def run_adapter(template: str | None, sidecar: str, rpu: str, report: str, timeout: float = 600.0) -> dict:
+    """Best effort: whether a packer was configured, found, run and made its output, and the first error."""
+    import os
+    import shutil
+    import subprocess
+
+    status = {"configured_command": None, "command_detected": False, "invocation_attempted": False, "invocation_succeeded": False, "rpu_output_path": None, "missing_capabilities": list(PACKER_CAPABILITIES), "error": None}
+    if not template or not template.strip():
+        return status | {"error": "no adapter command configured; only the open sidecar was made"}
+    status["configured_command"] = template.strip()
+    try:
+        parts = adapter_command(template.strip(), sidecar, rpu, report)
+    except ValueError as e:
+        return status | {"error": str(e)}
+    if not parts or not shutil.which(parts[0]):
+        return status | {"error": "adapter command not found"}
+    status |= {"command_detected": True, "invocation_attempted": True}
+    try:
+        done = subprocess.run(parts, capture_output=True, timeout=timeout, check=False)
+    except (OSError, subprocess.TimeoutExpired) as e:
+        return status | {"error": str(e)}
+    if done.returncode:
+        return status | {"error": f"adapter command failed with {done.returncode}: {done.stderr.decode(errors='replace')[:500]}"}
+    if not os.path.exists(rpu) or not os.path.getsize(rpu):
+        return status | {"error": "adapter command made no output"}
+    return status | {"invocation_succeeded": True, "rpu_output_path": rpu, "missing_capabilities": []}
+
+
 def merge_reports(reports: DataFrame, by: list[str], column: str = "report") -> DataFrame:
     """Sorted unions of each list over all frames. Texts are distinct before they meet: a handful a group."""
     out = None

@@ -44,12 +44,14 @@ def frame_metrics(pairs: DataFrame, by: str = "frame_index") -> DataFrame:
 
 def vmaf_surrogate(psnr: Column | str = "psnr_db", ssim: Column | str = "ssim", delta_e: Column | str = "delta_e") -> Column:
     """A deterministic stand-in for a perceptual score, 0 to 100."""
+    # The weights, ranges and slopes.
     p, s, d = (F.col(x) if isinstance(x, str) else x for x in (psnr, ssim, delta_e))
     return 0.45 * clamp((p - 20) / 30 * 100, 0.0, 100.0) + 0.40 * clamp(s * 100, 0.0, 100.0) + 0.15 * clamp(100 - d * 6, 0.0, 100.0)
 
 
 def contract_failures(limits: dict[str, float | None] = CONTRACT) -> Column:
     """All failures of the metrics psnr_db, ssim, delta_e and vmaf_hdr, in that order; a missing metric fails."""
+    # The texts.
     text = {
         "psnr_db": ("PSNR regression: measured %.4f dB below required %.4f dB", "PSNR threshold configured but metric unavailable"),
         "ssim": ("SSIM regression: measured %.6f below required %.6f", "SSIM threshold configured but metric unavailable"),

@@ -12,7 +12,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SIGNER_BYTES = 1024
+#: The domain of our own manifests. To verify those of another family of tools, pass its domain.
 DOMAIN = b"lumenforge-manifest-v1\0"
+# Labels of a manifest's algorithms.
+HASH_LABEL, SIGNATURE_LABEL, LEGACY_LABEL = "sha256", "hmac-sha256", "sha256-keyed"
+
+
+def signing_key(key: str | None = None, key_file: str | None = None, default: bytes | None = None) -> bytes:
+    """The key from one of a text and a file (without the line's end); ``default`` where neither is given."""
+    if key is not None and key_file is not None:
+        raise ValueError("specify only one of a key and a key file")
+    if key is not None:
+        if not key:
+            raise ValueError("the signing key is empty")
+        return key.encode()
+    if key_file is not None:
+        with open(key_file, "rb") as f:
+            data = f.read().removesuffix(b"\n").removesuffix(b"\r")
+        if not data:
+            raise ValueError("the key file is empty")
+        return data
+    if default is None:
+        raise ValueError("missing signing key")
+    return default
 
 
 def payload_sha256(payload: Column) -> Column:
@@ -24,38 +46,50 @@ def hmac_hex(digest: bytes, signer: bytes, key: bytes, domain: bytes = DOMAIN) -
     return hmac.new(key, domain + struct.pack(">I", len(signer)) + signer + digest, hashlib.sha256).hexdigest()
 
 
+def _keyed(df: DataFrame, key: bytes) -> DataFrame:
+    """Adds the key's pads (``_inner``, ``_outer``) from a broadcast relation of one row, so that plans and logs of them, which
+    print literals, never hold the key."""
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    pads = tuple(bytearray(x ^ pad for x in block) for pad in (0x36, 0x5C))
+    return df.crossJoin(F.broadcast(df.sparkSession.createDataFrame([pads], "_inner binary, _outer binary")))  # one row
+
+
+def hmac_column(digest: Column, signer: Column, domain: bytes = DOMAIN) -> Column:
+    """`hmac_hex` of columns (digest as hex) beside the pads of `_keyed`: SHA-256 over the outer pad and the SHA-256 over
+    the inner pad and the message."""
+    size = F.unhex(F.lpad(F.hex(F.octet_length(signer)), 8, "0"))
+    message = F.concat("_inner", F.lit(bytearray(domain)), size, signer.cast("binary"), F.unhex(digest))
+    return F.sha2(F.concat("_outer", F.unhex(F.sha2(message, 256))), 256)
+
+
 def sign(payloads: DataFrame, signer: str, key: bytes, payload: str = "payload", domain: bytes = DOMAIN) -> DataFrame:
-    """Adds ``payload_sha256`` and ``signature_hex``. The key travels in the function's closure only, never in the plan."""
-    name = signer.encode()
-    if not name or len(name) > SIGNER_BYTES:
+    """Adds the hash, the signature and their labels, all in generated code."""
+    if not 1 <= len(signer.encode()) <= SIGNER_BYTES:
         raise ValueError("signer must have 1 to 1024 bytes")
     if not key:
         raise ValueError("a signing key is needed")
-
-    @F.pandas_udf("string")
-    def signed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in parts:
-            yield part.map(lambda h: hmac_hex(bytes.fromhex(h), name, key, domain))
-
-    hashed = payloads.withColumn("payload_sha256", payload_sha256(F.coalesce(F.col(payload).cast("binary"), F.lit(b""))))
-    return hashed.withColumn("signer", F.lit(signer)).withColumn("signature_hex", signed("payload_sha256"))
+    hashed = payloads.withColumn("payload_sha256", payload_sha256(F.coalesce(F.col(payload).cast("binary"), F.lit(bytearray()))))
+    labels = {"payload_hash_algorithm": F.lit(HASH_LABEL), "signature_algorithm": F.lit(SIGNATURE_LABEL), "signer": F.lit(signer)}
+    return _keyed(hashed.withColumns(labels), key).withColumn("signature_hex", hmac_column(F.col("payload_sha256"), F.col("signer"), domain)).drop("_inner", "_outer")
 
 
 def verify(manifests: DataFrame, key: bytes, payload: str = "payload", domain: bytes = DOMAIN) -> DataFrame:
-    """Adds ``failure``: the first of shape, hash and signature that does not hold, else null."""
-
-    @F.pandas_udf("boolean")
-    def genuine(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hashes, signers, signatures in parts:
-            yield pd.Series([bool(h and s is not None and g and hmac.compare_digest(hmac_hex(bytes.fromhex(h), s.encode(), key, domain), g)) for h, s, g in zip(hashes, signers, signatures, strict=True)], dtype=bool)
-
-    now = payload_sha256(F.coalesce(F.col(payload).cast("binary"), F.lit(b"")))
+    """Adds ``failure``: the first of shape, labels, hash and signature that does not hold, else null. Manifests without
+    columns for the labels count as labelled."""
+    now = payload_sha256(F.coalesce(F.col(payload).cast("binary"), F.lit(bytearray())))
     shape = F.col("signature_hex").rlike("^[0-9a-f]{64}$") & F.col("payload_sha256").rlike("^[0-9a-f]{64}$") & (F.octet_length("signer") <= SIGNER_BYTES)
-    return (
-        manifests.withColumn("_now", now).withColumn("_ok", genuine("_now", "signer", "signature_hex"))
-        .withColumn("failure", F.when(~F.coalesce(shape, F.lit(False)), "manifest is malformed").when(F.col("_now") != F.col("payload_sha256"), "payload hash mismatch").when(~F.col("_ok"), "signature mismatch"))
-        .drop("_now", "_ok")
+    label = lambda c, d: F.col(c) if c in manifests.columns else F.lit(d)
+    hashed, signed = label("payload_hash_algorithm", HASH_LABEL), label("signature_algorithm", SIGNATURE_LABEL)
+    known = lambda c, d: F.coalesce(c == d, F.lit(False))
+    failure = (
+        F.when(~F.coalesce(shape, F.lit(False)), "manifest is malformed")
+        .when(~known(hashed, HASH_LABEL), "unsupported payload_hash_algorithm")
+        .when(known(signed, LEGACY_LABEL), "legacy sha256-keyed signature is not accepted; re-sign with hmac-sha256")
+        .when(~known(signed, SIGNATURE_LABEL), "unsupported signature_algorithm")
+        .when(F.col("_now") != F.col("payload_sha256"), "payload hash mismatch")
+        .when(~F.coalesce(hmac_column(F.col("_now"), F.col("signer"), domain) == F.col("signature_hex"), F.lit(False)), "signature mismatch")
     )
+    return _keyed(manifests.withColumn("_now", now), key).withColumn("failure", failure).drop("_now", "_inner", "_outer")
 
 
 def stream_sha256(frames: DataFrame, by: str = "stream_id") -> DataFrame:

@@ -97,6 +97,24 @@ def keyframe_segments(packets: DataFrame, by: str = "stream_id") -> DataFrame:
     return packets.withColumn("_starts", starts).withColumn("segment", F.sum("_starts").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_starts")
 
 
+def encode_order(packets: DataFrame, by: str = "stream_id") -> DataFrame:
+    """Packets in the order that an encoder with state needs, with their ``position`` and ``failure``: the first of a frame
+    index that is null or negative, one that comes twice, and a gap before it; null where it may be coded.
+
+    ``arrival`` (any order) tells which of two packets came first; one that comes after a later frame is late.
+    """
+    order = Window.partitionBy(by).orderBy("frame_index", "arrival")
+    came = Window.partitionBy(by).orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
+    df = packets.withColumn("_before", F.lag("frame_index").over(order)).withColumn("_most", F.max("frame_index").over(came))
+    failure = (
+        F.when(F.col("frame_index").isNull() | (F.col("frame_index") < 0), "frame index is missing")
+        .when(F.col("frame_index") == F.col("_before"), "frame index comes twice")
+        .when(F.col("_most") > F.col("frame_index"), "frame comes after a later one")
+        .when(F.col("frame_index") != F.coalesce(F.col("_before") + 1, F.lit(0)), "frames are missing before this one")
+    )
+    return df.withColumn("position", (F.row_number().over(order) - 1).cast("long")).withColumn("failure", failure).drop("_before", "_most")
+
+
 def frame_duration(fps: float) -> int:
     """Ticks of a 90 kHz clock, at least one."""
     if not math.isfinite(fps) or fps <= 0:

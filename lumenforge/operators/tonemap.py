@@ -79,6 +79,33 @@ def tone_map(signal: DataFrame, curve: Curve, reference_nits: float = 1000.0, ta
     return _displayed(df, target)
 
 
+def apply_gain(mapped: DataFrame, gains: DataFrame, by: tuple[str, ...] = ("frame_index",), deterministic: bool = True) -> DataFrame:
+    """Tone-mapped pixels times their frame's gain; frames without one stay as they are.
+
+    ``gains`` has one row a frame. Pixels stay where they are as long as the frames fit a broadcast, which Spark decides
+    by size; they are never multiplied.
+    """
+    df = mapped.join(gains.select(*by, F.col("gain").alias("_gain")), list(by), "left")
+    scaled = {c: clamp(F.col(c) * F.col("_gain")) for c in "rgb"}
+    return df.withColumns({c: F.when(F.col("_gain").isNull(), F.col(c)).otherwise(snap(x) if deterministic else x) for c, x in scaled.items()}).drop("_gain")
+
+
+def tone_map_stateful(signal: DataFrame, times: DataFrame, curve: Curve, controller, by: str = "stream_id", reference_nits: float = 1000.0, target: Target = Target(), policy: Policy = Policy()) -> DataFrame:  # noqa: B008
+    """`tone_map`, then the gain controller over each stream's frames in order, and its gains on the pixels.
+
+    ``times`` (by, frame_index, frame_time_ms, locked) has one row a frame; frames that are locked or untimed pass the
+    controller unseen. The luma that it sees is that of the tone-mapped pixels.
+    """
+    from lumenforge.operators.temporal import stabilise
+
+    mapped = tone_map(signal, curve, reference_nits, target, policy)
+    luma = mapped.groupBy(by, "frame_index").agg(F.avg(color.luma(rgb())).alias("luma"))
+    frames = luma.join(times, [by, "frame_index"]).withColumn("locked", F.coalesce("locked", F.lit(False)) | F.lit(policy.locked))
+    gains = stabilise(frames.withColumnRenamed(by, "stream_id"), controller).withColumnRenamed("stream_id", by)
+    passing = gains.join(frames.where("not locked and frame_time_ms is not null").select(by, "frame_index"), [by, "frame_index"], "left_semi")
+    return apply_gain(mapped, passing, (by, "frame_index"), policy.deterministic)
+
+
 def tone_map_regions(signal: DataFrame, curves: dict[int, Curve], default: Curve, reference_nits: float = 1000.0, target: Target = Target()) -> DataFrame:  # noqa: B008
     """Pixels with a ``region_id`` use that region's curve, all others the frame's; no policy applies on this path."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lumenforge.functions.num import finite
 
+# The messages of all rules below are what callers match on.
 Rules = list[tuple[Column, str]]
 DYNAMIC = """struct<metadata_schema_version:int,frame_index:bigint,scene_peak_luminance_nits:double,scene_average_luminance_nits:double,
 tone_map_curve:struct<type:string,anchors:array<struct<input:double,output:double>>>,

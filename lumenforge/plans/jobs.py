@@ -89,6 +89,30 @@ def interop_bundle(frames: DataFrame, signal: DataFrame) -> dict[str, DataFrame]
     }
 
 
+def write_bundle(bundle: dict[str, DataFrame], folder: str) -> dict[str, str]:
+    """Writes each artefact of `interop_bundle` as JSON lines (pixels as Parquet) in a folder of its own; gives the folders."""
+    out = {}
+    for name, df in bundle.items():
+        out[name] = f"{folder}/{name}"
+        (df.write.mode("overwrite").parquet if name == "hdr10" else df.write.mode("overwrite").json)(out[name])
+    return out
+
+
+def packed_sidecars(spark: SparkSession, sidecars: DataFrame, folder: str, command: str | None) -> DataFrame:
+    """The sidecars of a stream as one file for a vendor's packer, its run and what it made: one row of the adapter's status.
+
+    The packer is an outside program that takes one file of a stream, a line a frame; the driver runs it. Without a
+    command, or where it fails, the open sidecar stands alone."""
+    path = f"{folder}/sidecar.jsonl"
+    with open(path, "w", encoding="utf-8") as f:
+        for r in sidecars.select(F.to_json("sidecar").alias("j"), F.col("sidecar.frame_index").alias("i")).orderBy("i").toLocalIterator():
+            f.write(r.j + "\n")
+    status = export.run_adapter(command, path, f"{folder}/rpu.bin", f"{folder}/report.json")
+    schema = "configured_command string, command_detected boolean, invocation_attempted boolean, invocation_succeeded boolean, rpu_output_path string, missing_capabilities array<string>, error string"
+    row = spark.createDataFrame([tuple(status.values())], schema)
+    return row.withColumn("compatibility", export.packaging(F.col("invocation_succeeded")))
+
+
 def aces_export(nits: DataFrame, target: str = "ap0", reference_white: float = 203.0) -> DataFrame:
     return aces.render(nits, target, reference_white)
 

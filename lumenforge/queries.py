@@ -177,7 +177,7 @@ def gamut_map_709(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(pixels.gamut_map_709(nits(spark, sf_dir).withColumns({c: F.col(c) / 4000 for c in "rgb"})), "r", "g", "b")
 
 
-@query()
+@query(o.sdr(DEFAULT_ANCHORS, Curve().tangents()))
 def sdr_dithered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tonemap.to_sdr(signal(spark, sf_dir), Curve()).select(*KEY, "r", "g", "b")
 
@@ -378,9 +378,36 @@ def gain_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return luma.select(F.concat(F.lit("s"), (F.col("frame_index") % 4).cast("string")).alias("stream_id"), "frame_index", (4.0 + F.col("frame_index") % 13).alias("frame_time_ms"), "luma", (F.col("frame_index") % 11 == 10).alias("locked"))
 
 
-@query()
+@query(o.gains(temporal.Controller(), f"{o.WITHS}, m AS (SELECT * FROM s)", "SELECT stream_id, frame_index, ROUND(gain, 9) AS gain FROM g WHERE k > 0"))
 def gain_stabilised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.stabilise(gain_frames(spark, sf_dir))
+    return rounded(temporal.stabilise(gain_frames(spark, sf_dir)), "gain", keys=["stream_id", "frame_index"])
+
+
+_MAPPED = f"{_CURVED}, m AS (SELECT {o.KEY}, {', '.join(f'{o.pq(f'{o.clamp(f"{c} * 1000", 0.0005, 1000.0)} / 10000')} AS {c}' for c in 'rgb')} FROM u)"
+_SNAPPED = lambda c: f"CASE WHEN g.locked THEN m.{c} ELSE FLOOR({o.clamp(f'm.{c} * g.gain')} * 65535 + 0.5) / 65535 END"
+
+
+@query(o.gains(temporal.Controller(), _MAPPED, f"SELECT m.frame_index, m.pixel_idx, {o.each(_SNAPPED, 6)} FROM m JOIN g ON m.frame_index = g.frame_index"))
+def tone_map_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tone mapping and the gain controller over four streams, its gains on the pixels."""
+    streams = signal(spark, sf_dir).withColumn("stream_id", F.concat(F.lit("s"), (F.col("frame_index") % 4).cast("string")))
+    times = gain_frames(spark, sf_dir).select("stream_id", "frame_index", "frame_time_ms", "locked")
+    mapped = tonemap.tone_map(streams, Curve(), policy=tonemap.Policy(deterministic=False))
+    gains = temporal.stabilise(mapped.groupBy("stream_id", "frame_index").agg(F.avg(color.luma(rgb())).alias("luma")).join(times, ["stream_id", "frame_index"]))
+    passing = gains.join(times.where("not locked"), ["stream_id", "frame_index"], "left_semi")
+    return rounded(tonemap.apply_gain(mapped, passing, ("stream_id", "frame_index")), "r", "g", "b", places=6)
+
+
+@query("""SELECT frame_index, position, CASE WHEN frame_index = before THEN 'frame index comes twice' WHEN most > frame_index THEN 'frame comes after a later one' WHEN frame_index <> COALESCE(before + 1, 0) THEN 'frames are missing before this one' END AS failure
+  FROM (SELECT *, LAG(frame_index) OVER w AS before, ROW_NUMBER() OVER w - 1 AS position, MAX(frame_index) OVER (PARTITION BY s ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most
+    FROM (SELECT i % 4 AS s, i // 4 - CASE WHEN i % 23 = 5 THEN 1 ELSE 0 END AS frame_index, CASE WHEN i % 17 = 3 THEN i + 9 ELSE i END AS arrival FROM (SELECT DISTINCT event_id // 20 AS i FROM events) e WHERE i % 31 <> 7) p
+    WINDOW w AS (PARTITION BY s ORDER BY frame_index, arrival)) q""")
+def encode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of four streams, of which some are late, lost or come twice."""
+    i = F.col("i")
+    packets = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.expr("event_id div 20").alias("i")).distinct().where("i % 31 != 7")
+    packets = packets.select((i % 4).alias("stream_id"), (F.floor(i / 4) - F.when(i % 23 == 5, 1).otherwise(0)).alias("frame_index"), F.when(i % 17 == 3, i + 9).otherwise(i).alias("arrival"))
+    return temporal.encode_order(packets).select("frame_index", "position", "failure")
 
 
 @query("WITH f AS (SELECT DISTINCT event_id // 200 AS frame_index FROM events) SELECT frame_index, SUM(CASE WHEN frame_index % 12 = 0 AND frame_index > 0 THEN 1 ELSE 0 END) OVER (ORDER BY frame_index)::BIGINT AS segment FROM f")
@@ -512,27 +539,29 @@ def manifest_sign_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.verify(forged, b"test key").select("event_id", "failure")
 
 
-@query()
+@query(o.stream_hashes(5))
 def stream_canonical_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each of five streams' frames, hashed in order."""
+
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("pixel_idx")
         return pd.DataFrame({"frame_index": [part.frame_index.iloc[0]], "pixels": [part[["r", "g", "b"]].to_numpy("<f4").tobytes()]})
 
-    frames = signal(spark, sf_dir).select(*KEY, "r", "g", "b").groupBy("frame_index").applyInPandas(pack, "frame_index long, pixels binary")
-    return integrity.stream_sha256(frames.select(F.lit("a").alias("stream_id"), "frame_index", F.lit("{}").alias("meta_json"), "pixels"))
+    frames = nits(spark, sf_dir).select(*KEY, "r", "g", "b").groupBy("frame_index").applyInPandas(pack, "frame_index long, pixels binary")
+    return integrity.stream_sha256(frames.select((F.col("frame_index") % 5).cast("string").alias("stream_id"), "frame_index", F.lit("{}").alias("meta_json"), "pixels"))
 
 
-@query()
+@query(o.aces_rec709(aces))
 def aces_rec709(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aces.render(nits(spark, sf_dir), "rec709_100nit"), "r", "g", "b")
 
 
-@query()
+@query(o.aces_rec2020(aces, 1000.0))
 def aces_rec2020_1000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aces.render(nits(spark, sf_dir), "rec2020_1000nit"), "r", "g", "b")
 
 
-@query()
+@query(o.aces_rec2020(aces, 4000.0))
 def aces_rec2020_4000(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aces.render(nits(spark, sf_dir), "rec2020_4000nit"), "r", "g", "b")
 
@@ -557,6 +586,64 @@ def container_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nits(spark, sf_dir).select(*KEY, "r", "g", "b").groupBy("frame_index").applyInPandas(one, "stream long, version int, tier string, width int, height int, frames int, payload_bytes int")
 
 
+def _shared(spark: SparkSession, name: str) -> str:
+    """A new folder where the session keeps shared files; a local one only where it names none."""
+    import tempfile
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""{o.WITH}, v AS ({" UNION ALL ".join(o.float_bits(c, "p", f"{o.KEY}, {i} AS channel") for i, c in enumerate("rgb"))}),
+  b AS (SELECT frame_index, UNHEX(STRING_AGG({o.hex_le('CAST(bits AS BIGINT)', 4)}, '' ORDER BY pixel_idx, channel)) AS b FROM v GROUP BY frame_index)
+  SELECT CONCAT('stream-', frame_index % 3, '.bin') AS name, frame_index // 3 AS frame_index, CAST(OCTET_LENGTH(b) AS BIGINT) AS n_bytes, SHA256(b) AS sha256 FROM b""")
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes three streams of frames as files and reads them back, by ranges of four frames each."""
+
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("pixel_idx")
+        return pd.DataFrame({"i": [part.frame_index.iloc[0]], "payload": [part[["r", "g", "b"]].to_numpy("<f4").tobytes()]})
+
+    frames = nits(spark, sf_dir).select(*KEY, "r", "g", "b").groupBy("frame_index").applyInPandas(pack, "i long, payload binary")
+    counts = nits(spark, sf_dir).select("frame_index").distinct().groupBy((F.col("frame_index") % 3).alias("s")).agg(F.count(F.lit(1)).cast("int").alias("frame_count"))
+    rows = frames.withColumn("s", F.col("i") % 3).join(counts, "s").select(
+        F.concat(F.lit("stream-"), F.col("s"), F.lit(".bin")).alias("name"), F.lit(2).alias("version"), F.lit("delivery").alias("tier"), F.lit(0).alias("codec"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"),
+        "frame_count", F.lit('{"metadata_schema_version":2}').alias("static_meta"), F.expr("i div 3").alias("frame_index"), F.concat(F.lit('{"frame_index":'), F.expr("i div 3"), F.lit("}")).alias("dynamic_meta"), "payload",
+    )
+    folder = _shared(spark, "containers")
+    container.write_containers(rows, folder)
+    back = spark.read.format("frames").options(path=folder, payload="true", range_frames="4", long_file="1000").load()
+    return back.select(F.substring_index("path", "/", -1).alias("name"), "frame_index", F.col("payload_length").alias("n_bytes"), F.sha2("payload", 256).alias("sha256"))
+
+
+@query("SELECT event_id, SHA256(props) AS item, SHA256(CONCAT('{\"event\":', event_id, '}')) AS metadata FROM events WHERE props <> ''")
+def still_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event's properties as the coded item of a still picture with metadata, and both read back."""
+
+    def files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            read = [bitstream.read_avif(bitstream.write_avif(p.encode(), 16, 16, f'{{"event":{i}}}'.encode())) for i, p in zip(b.event_id, b.props, strict=True)]
+            yield pd.DataFrame({"event_id": b.event_id, "item": [r[1] for r in read], "metadata": [r[2] for r in read]})
+
+    back = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "props").where("props != ''").mapInPandas(files, "event_id long, item binary, metadata binary")
+    return back.select("event_id", F.sha2("item", 256).alias("item"), F.sha2("metadata", 256).alias("metadata"))
+
+
+@query("SELECT frame_index, CAST(t AS INTEGER) AS sample, t * (1000 + frame_index) AS decode_time FROM (SELECT DISTINCT event_id // 200 AS frame_index FROM events) f, LATERAL (SELECT UNNEST(RANGE(3 + frame_index % 9)) AS t) s")
+def fragment_decode_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decode times of files of some samples in fragments of two, read back from their boxes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for f in b.frame_index:
+                samples = [(bytes([i]), i % 2 == 0) for i in range(3 + f % 9)]
+                data = b"".join(bitstream.write_fragments([samples[i : i + 2] for i in range(0, len(samples), 2)], 16, 16, 1000 + f))
+                times = [t for t, _ in bitstream.fragment_times(data)]
+                yield pd.DataFrame({"frame_index": f, "sample": range(len(times)), "decode_time": times})
+
+    return nits(spark, sf_dir).select("frame_index").distinct().mapInPandas(run, "frame_index long, sample int, decode_time long")
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS path, 'ivf' AS kind, CAST(0 AS BIGINT) AS unit, props AS payload FROM events")
 def bitstream_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeds each event's properties into a temporal unit in an IVF file and finds them again."""
@@ -570,7 +657,7 @@ def bitstream_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitstream.probe(made).select("path", "kind", "unit", F.decode("payload", "UTF-8").alias("payload"))
 
 
-@query()
+@query(o.frame_images())
 def frame_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = images.frames_as_bytes(pixels.hdr10_codes(signal(spark, sf_dir)), WIDTH)
     return made.select("frame_index", F.octet_length("content").alias("n_bytes"), F.sha2("content", 256).alias("sha256"))

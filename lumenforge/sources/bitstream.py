@@ -298,3 +298,88 @@ def write_fragments(segments: list[list[tuple[bytes, bool]]], width: int, height
 def write_units(frames: list[bytes]) -> bytes:
     """An elementary stream: the temporal units one after another."""
     return b"".join(frames)
+
+
+def fragment_times(data: bytes) -> list[tuple[int, int]]:
+    """(decode time in ticks, duration) of every sample of a fragmented file: from each fragment's base time and runs."""
+    out: list[tuple[int, int]] = []
+    for kind, body in _boxes(data):
+        if kind != b"moof":
+            continue
+        for traf in (b for k, b in _boxes(body) if k == b"traf"):
+            parts = dict(_boxes(traf))
+            if b"tfdt" not in parts:
+                raise BitstreamError("a fragment without a decode time")
+            time = struct.unpack_from(">Q" if parts[b"tfdt"][0] else ">I", parts[b"tfdt"], 4)[0]
+            default = 0
+            flags, at = struct.unpack_from(">I", parts[b"tfhd"])[0], 8
+            for bit, size in ((1, 8), (2, 4), (8, 4)):
+                if flags & bit:
+                    default = struct.unpack_from(">I", parts[b"tfhd"], at)[0] if bit == 8 else default
+                    at += size
+            for run in (b for k, b in _boxes(traf) if k == b"trun"):
+                flags, n = struct.unpack_from(">II", run)
+                at = 8 + 4 * bool(flags & 1) + 4 * bool(flags & 4)
+                step = 4 * sum(bool(flags & b) for b in (0x100, 0x200, 0x400, 0x800))
+                for i in range(n):
+                    ticks = struct.unpack_from(">I", run, at + i * step)[0] if flags & 0x100 else default
+                    out.append((time, ticks))
+                    time += ticks
+    return out
+
+
+def _boxes(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """(kind, body) of the boxes of some bytes, one after another."""
+    return ((kind, data[a:b]) for kind, a, b in boxes(data))
+
+
+METADATA_TYPE = "application/json"
+
+
+def write_avif(item: bytes, width: int, height: int, metadata: bytes | None = None, content_type: str = METADATA_TYPE, name: bytes = b"lumenforge") -> bytes:
+    """A still picture of one coded AV1 item, with metadata as a second item that describes the first."""
+    if not width or not height:
+        raise BitstreamError("dimensions must not be zero")
+    if not item or metadata == b"":
+        raise BitstreamError("items must not be empty")
+    parts = [item] + ([metadata] if metadata else [])
+    full = lambda kind, *body, flags=0, version=0: box(kind, _words(version << 24 | flags), *body)
+    start = box(b"ftyp", b"avif", _words(0), b"avif", b"mif1", b"miaf", b"avis")
+    entries = [full(b"infe", struct.pack(">HH", 1, 0), b"av01", b"\0", version=2)]
+    if metadata:
+        entries.append(full(b"infe", struct.pack(">HH", 2, 0), b"mime", b"\0", content_type.encode() + b"\0", version=2, flags=1))
+    handler = full(b"hdlr", _words(0), b"pict", b"\0" * 12, name + b"\0")
+    infos = full(b"iinf", struct.pack(">H", len(entries)), *entries)
+    refs = [full(b"iref", box(b"cdsc", struct.pack(">HHH", 2, 1, 1)))] if metadata else []
+    colour = box(b"colr", b"nclx", struct.pack(">HHHB", 9, 16, 9, 0x80))
+    props = box(b"ipco", full(b"ispe", _words(width, height)), full(b"pixi", bytes([3, 12, 12, 12])), colour, box(b"av1C", bytes([0x81, 0x40, 0x6C, 0])))
+    props = box(b"iprp", props, full(b"ipma", _words(1), struct.pack(">HB", 1, 4), bytes([1, 2, 3, 0x84])))
+
+    def meta(base: int) -> bytes:
+        places, at = [], base
+        for i, p in enumerate(parts, 1):
+            places.append(struct.pack(">HHHQQ", i, 0, 1, at, len(p)))
+            at += len(p)
+        iloc = full(b"iloc", bytes([0x88, 0]), struct.pack(">H", len(parts)), *places)
+        return full(b"meta", handler, full(b"pitm", struct.pack(">H", 1)), iloc, infos, *refs, props)
+
+    data = box(b"mdat", *parts)
+    return start + meta(len(start) + len(meta(0)) + len(data) - sum(map(len, parts))) + data
+
+
+def read_avif(data: bytes) -> dict[int, bytes]:
+    """The items of a file by number, by their places."""
+    kinds = dict(_boxes(data))
+    if b"meta" not in kinds or not kinds.get(b"ftyp", b"").startswith(b"avif"):
+        raise BitstreamError("not a still picture")
+    iloc = dict(_boxes(kinds[b"meta"][4:]))[b"iloc"]
+    if iloc[4:6] != bytes([0x88, 0]):
+        raise BitstreamError("unsupported item places")
+    (n,) = struct.unpack_from(">H", iloc, 6)
+    out = {}
+    for i in range(n):
+        item, _, _, at, size = struct.unpack_from(">HHHQQ", iloc, 8 + i * 22)
+        if at + size > len(data):
+            raise BitstreamError("an item beyond the end")
+        out[item] = data[at : at + size]
+    return out

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import json
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 MAGIC = b"LFHD"
 HEADER = struct.Struct("<4sHBBIIIII")
@@ -127,50 +129,219 @@ def raw_pixels(payload: bytes, tier: str) -> np.ndarray:
     return out
 
 
+#: Frames of a long file that one partition reads, and bytes from which a file is long.
+RANGE_FRAMES, LONG_FILE = 256, 64 << 20
+
+
+def _open(uri: str):
+    """(pyarrow filesystem, path) of a path or URI, in any store that pyarrow knows."""
+    from pyarrow import fs
+
+    if uri.startswith("file:/") and not uri.startswith("file:///"):
+        uri = uri.replace("file:", "file://", 1)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 class ContainerSource(DataSource):
-    """``spark.read.format("frames")``: one row a frame, with its payload's byte range. Options: path (a file, or a folder
-    whose files each make a partition), magic, strict_end. Files are opened where tasks run, through pyarrow's
-    filesystems, so any store that those know will do."""
+    """``spark.read.format("frames")``: one row a frame, with its payload's byte range.
+
+    Options: path (a file or a folder of files), magic, strict_end, payload (``true`` adds the payload's bytes as a column),
+    range_frames and long_file (how long files are split). Files are opened where tasks run, through pyarrow's filesystems.
+    A long file is read by ranges of frames, one partition each: a task skips ahead by lengths alone and holds one frame.
+
+    ``df.write.format("frames")`` writes rows (name, version, tier, codec, width, height, frame_count, static_meta,
+    frame_index, dynamic_meta, payload): a file for each name, moved into place when the whole job has succeeded. A
+    stream's rows must come together and in order (`write_containers`).
+    """
 
     @classmethod
     def name(cls) -> str:
         return "frames"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + (", payload binary" if self.options.get("payload", "false").lower() == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return ContainerReader(self.options)
 
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return ContainerWriter(self.options, overwrite)
+
 
 @dataclass
-class FilePartition(InputPartition):
+class FramePartition(InputPartition):
+    """Frames ``first`` to ``last`` (not included; None: to the end) of a file."""
+
     path: str
+    first: int
+    last: int | None
 
 
 class ContainerReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.magic = options["path"], options.get("magic", MAGIC.decode()).encode()
-        self.strict = options.get("strict_end", "true").lower() == "true"
+        self.strict, self.payload = (options.get(k, d).lower() == "true" for k, d in (("strict_end", "true"), ("payload", "false")))
+        self.frames, self.long = int(options.get("range_frames", RANGE_FRAMES)), int(options.get("long_file", LONG_FILE))
 
-    def partitions(self) -> list[FilePartition]:
+    def partitions(self) -> list[FramePartition]:
         from pyarrow import fs
 
-        files, path = fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
+        files, path = _open(self.path)
         info = files.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(self.path)
-        if info.type == fs.FileType.File:
-            return [FilePartition(self.path)]
+        found = [info] if info.type == fs.FileType.File else [f for f in files.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and not f.base_name.startswith((".", "_"))]
         prefix = self.path[: self.path.index("://") + 3] if "://" in self.path else ""
-        return [FilePartition(prefix + f.path) for f in files.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File]
+        out = []
+        for f in found:
+            n = 0
+            if f.size > self.long:  # only then is its header read here
+                with files.open_input_file(f.path) as data:
+                    n = Header.from_bytes(data.read(HEADER.size), self.magic).frames
+            firsts = range(0, n, self.frames) if n else (0,)
+            out += [FramePartition(prefix + f.path, a, None if a + self.frames >= n else a + self.frames) for a in firsts]
+        return out
+
+    def read(self, partition: FramePartition) -> Iterator[tuple]:
+        files, path = _open(partition.path)
+        with files.open_input_file(path) as f:
+            end = f.size()
+            for row in frames_of(f, end, partition.first, partition.last, self.magic, self.strict, self.payload):
+                yield partition.path, *row
+
+
+def frames_of(f, end: int, first: int, last: int | None, magic: bytes, strict: bool, payload: bool) -> Iterator[tuple]:
+    """The rows of some frames of an open file; frames before them are skipped by their lengths."""
+
+    def length(at: int, limit: int) -> int:
+        if at + 4 > end:
+            raise ContainerError("truncated length")
+        f.seek(at)
+        (n,) = struct.unpack("<I", f.read(4))
+        if n > limit:
+            raise ContainerError("block is longer than its limit")
+        if at + 4 + n > end:
+            raise ContainerError("truncated block")
+        return n
+
+    f.seek(0)
+    head = Header.from_bytes(f.read(HEADER.size), magic)
+    static = f.read(head.meta_length)
+    if len(static) < head.meta_length:
+        raise ContainerError("truncated metadata")
+    schema = json.loads(static or b"{}").get("metadata_schema_version", 1)
+    if (head.version == 1 and schema != 1) or schema not in (1, 2):
+        raise ContainerError("metadata schema does not fit the container version")
+    at, last = HEADER.size + head.meta_length, head.frames if last is None else min(last, head.frames)
+    for i in range(last):
+        n = length(at, MAX_JSON)
+        meta = f.read(n) if i >= first else b""
+        at += 4 + n
+        size = head.raw_bytes if head.codec == 0 else length(at, compressed_budget(head.raw_bytes))
+        at += 0 if head.codec == 0 else 4
+        if at + size > end:
+            raise ContainerError("truncated pixels")
+        if i >= first:
+            if json.loads(meta).get("frame_index", i) != i:
+                raise ContainerError("frame index does not match its position")
+            body: tuple = ()
+            if payload:
+                f.seek(at)
+                body = (f.read(size),)
+            yield head.version, head.tier, head.codec, head.width, head.height, head.frames, static.decode(), i, meta.decode(), at, size, *body
+        at += size
+    if strict and last == head.frames and at != end:
+        raise ContainerError("bytes after the last frame")
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        from pyarrow import fs
 
-        files, path = fs.FileSystem.from_uri(partition.path) if "://" in partition.path else (fs.LocalFileSystem(), partition.path)
-        with files.open_input_file(path) as f:
-            data = f.read()
-        head, static, frames = parse(data, self.magic, self.strict)
-        for index, meta, start, n in frames:
-            yield partition.path, head.version, head.tier, head.codec, head.width, head.height, head.frames, static, index, meta, start, n
+@dataclass
+class Written(WriterCommitMessage):
+    """Files of a task: (where they are, where they belong)."""
+
+    files: list[tuple[str, str]]
+
+
+class ContainerWriter(DataSourceWriter):
+    """Each task writes whole files under hidden names; the driver moves them into place, or removes them."""
+
+    def __init__(self, options: dict, overwrite: bool):
+        self.path, self.magic, self.overwrite = options["path"], options.get("magic", MAGIC.decode()).encode(), overwrite
+
+    def write(self, iterator: Iterator) -> Written:
+        files, folder = _open(self.path)
+        files.create_dir(folder, recursive=True)
+        done: list[tuple[str, str]] = []
+        name, out, head, index = None, None, None, 0
+
+        def close() -> None:
+            if out:
+                out.close()
+                if index != head.frames:
+                    raise ContainerError(f"{name}: {index} frames instead of {head.frames}")
+
+        try:
+            for r in iterator:
+                if r["name"] != name:
+                    close()
+                    name, index, meta = r["name"], 0, (r["static_meta"] or "{}").encode()
+                    if not name or "/" in name or name.startswith((".", "_")):
+                        raise ContainerError("a name must be that of a file")
+                    head = Header(r["version"], r["tier"], r["codec"], r["width"], r["height"], r["frame_count"], len(meta))
+                    start = head.to_bytes(self.magic)
+                    Header.from_bytes(start, self.magic)
+                    done.append((f"{folder}/.{name}.{uuid.uuid4().hex}", f"{folder}/{name}"))
+                    out = files.open_output_stream(done[-1][0])
+                    out.write(start + meta)
+                if r["frame_index"] != index:
+                    raise ContainerError(f"{name}: frame {r['frame_index']} where {index} belongs")
+                block, payload = (r["dynamic_meta"] or "{}").encode(), bytes(r["payload"])
+                if json.loads(block).get("frame_index", index) != index:
+                    raise ContainerError("frame index does not match its position")
+                if head.codec == 0 and len(payload) != head.raw_bytes:
+                    raise ContainerError("payload does not match the dimensions")
+                if head.codec == 1 and len(payload) > compressed_budget(head.raw_bytes):
+                    raise ContainerError("block is longer than its limit")
+                if head.codec == 0:
+                    raw_pixels(payload, head.tier)
+                out.write(struct.pack("<I", len(block)) + block + (struct.pack("<I", len(payload)) if head.codec else b""))
+                out.write(payload)
+                index += 1
+            close()
+        except BaseException:
+            for part, _ in done:
+                if files.get_file_info(part).is_file:
+                    files.delete_file(part)
+            raise
+        return Written(done)
+
+    def commit(self, messages: list[Written | None]) -> None:
+        files, folder = _open(self.path)
+        moves = [m for w in messages if w for m in w.files]
+        if len({final for _, final in moves}) < len(moves):
+            self.abort(messages)
+            raise ContainerError("a stream's frames came to several tasks")
+        if self.overwrite:
+            from pyarrow import fs
+
+            for f in files.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+                if f.is_file and not f.base_name.startswith((".", "_")):
+                    files.delete_file(f.path)
+        for part, final in moves:
+            files.move(part, final)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        files, _ = _open(self.path)
+        for w in messages:
+            for part, _ in w.files if w else ():
+                if files.get_file_info(part).is_file:
+                    files.delete_file(part)
+
+
+COLUMNS = ("name", "version", "tier", "codec", "width", "height", "frame_count", "static_meta", "frame_index", "dynamic_meta", "payload")
+
+
+def write_containers(frames: DataFrame, folder: str, mode: str = "append", **options: str) -> None:
+    """A file for each ``name``; its frames meet in one task, in order, and are written one after another."""
+    frames.sparkSession.dataSource.register(ContainerSource)
+    dealt = frames.select(*COLUMNS).repartition("name").sortWithinPartitions("name", "frame_index")
+    dealt.write.format("frames").mode(mode).options(path=folder, **options).save()

@@ -1,5 +1,6 @@
 """The engine's operators: reference values of the formats, edge rows, and DuckDB on every query that has SQL."""
 
+import hashlib
 import json
 import math
 import struct
@@ -11,9 +12,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenforge.functions import aces, color, curve, transfer
+from lumenforge.functions.curve import Curve
 from lumenforge.functions.num import clamp, quantize
 from lumenforge.operators import export, fidelity, integrity, pixels, regions, temporal, tonemap, validation
-from lumenforge.queries import REGISTRY, dynamic_frames, gain_frames
+from lumenforge.plans import jobs
+from lumenforge.queries import REGISTRY, dynamic_frames, gain_frames, signal
 from lumenforge.sources import bitstream, container, images, metadata
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
@@ -143,6 +146,38 @@ def test_stream_folds_like_batch(spark, data, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
 
 
+def test_late_frames_are_given_out_as_late(spark, tmp_path):
+    from lumenforge.streaming.gain import stabilise_stream
+
+    rows = [("a", i, 20.0, 0.5, False) for i in (0, 1, 4, 2, 5)] + [("b", 0, 20.0, 0.4, False), ("b", 0, 9.0, 0.4, False)]
+    schema = "stream_id string, frame_index long, frame_time_ms double, luma double, locked boolean"
+    for part in (rows[:3], rows[3:6], rows[6:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "f"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "f"))
+    stabilise_stream(stream).writeStream.format("memory").queryName("late").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = [(r.stream_id, r.frame_index, r.late, r.gain is None) for r in spark.table("late").collect()]
+    assert sorted(got) == [("a", 0, False, False), ("a", 1, False, False), ("a", 2, True, True), ("a", 4, False, False), ("a", 5, False, False), ("b", 0, False, False), ("b", 0, True, True)]
+    want = {r.frame_index: r.gain for r in temporal.stabilise(spark.createDataFrame([r for r in rows[:5] if r[1] != 2], schema)).collect()}
+    assert {r.frame_index: r.gain for r in spark.table("late").where("stream_id = 'a' and not late").collect()} == pytest.approx(want)
+
+
+def test_gain_reaches_the_pixels(spark):
+    pixels_ = spark.createDataFrame([("a", f, p, 0.4 + 0.1 * p, 0.5, 0.6, 0.0, 0.0) for f in range(6) for p in range(4)], "stream_id string, frame_index long, pixel_idx long, r double, g double, b double, nx double, ny double")
+    times = spark.createDataFrame([("a", f, None if f == 2 else 25.0, f == 4) for f in range(6)], "stream_id string, frame_index long, frame_time_ms double, locked boolean")
+    policy = tonemap.Policy(deterministic=False)
+    plain = {(r.frame_index, r.pixel_idx): r.g for r in tonemap.tone_map(pixels_, Curve(), policy=policy).collect()}
+    got = {(r.frame_index, r.pixel_idx): r.g for r in tonemap.tone_map_stateful(pixels_, times, Curve(), temporal.Controller(), policy=policy).collect()}
+    assert got.keys() == plain.keys() and all((got[k] == plain[k]) == (k[0] in (2, 4)) for k in got)
+    assert got[(5, 0)] < got[(0, 0)] < plain[(0, 0)]
+
+
+def test_encoders_get_frames_in_order(spark):
+    packets = spark.createDataFrame([("a", i, k) for k, i in enumerate((0, 1, 3, 2, 4, 4, None, 7))], "stream_id string, frame_index long, arrival long")
+    got = {r.arrival: (r.position, r.failure) for r in temporal.encode_order(packets).collect()}
+    assert [got[k][1] for k in (0, 1, 2, 4)] == [None] * 4 and got[3][1] == "frame comes after a later one" and got[5][1] == "frame index comes twice" and got[6][1] == "frame index is missing" and got[7][1] == "frames are missing before this one"
+    assert [got[k][0] for k in (6, 0, 1, 3, 2)] == [0, 1, 2, 3, 4]
+
+
 def test_validators(spark):
     d = F.from_json(F.lit(json.dumps({"metadata_schema_version": 2, "frame_index": 0, "scene_peak_luminance_nits": 100, "scene_average_luminance_nits": 10, "tone_map_curve": {"type": "linear", "anchors": [{"input": 0, "output": 0}, {"input": 1, "output": 1}]}, "target_display_hint": {"min_luminance_nits": 0, "max_luminance_nits": 1000}, "open_dynamic_v2": {"temporal": {"max_global_gain_delta_per_frame": 0.1, "anti_pumping_strength": 0.5}, "scene_constraints": [{"scene_id": "a", "start_frame": 0, "end_frame": 1, "max_highlight_compression_gain": 1}, {"scene_id": "a", "start_frame": 0, "end_frame": 1, "max_highlight_compression_gain": 1}]}})), validation.DYNAMIC)
     assert value(spark, validation.first_failure(validation.dynamic_meta(d))) == "scene constraint scene_id must be unique"
@@ -169,6 +204,81 @@ def test_manifests(spark):
         integrity.sign(df, "x" * 2000, b"key")
 
 
+def test_signing_keys(tmp_path):
+    f = tmp_path / "key"
+    f.write_bytes(b"secret\r\n")
+    assert integrity.signing_key("k") == b"k" and integrity.signing_key(key_file=str(f)) == b"secret" and integrity.signing_key(default=b"d") == b"d"
+    f.write_bytes(b"\n")
+    for bad in ({"key": "a", "key_file": "b"}, {"key": ""}, {}, {"key_file": str(f)}):
+        with pytest.raises(ValueError):
+            integrity.signing_key(**bad)
+
+
+def test_signatures_are_those_of_the_standard_library(spark):
+    rows = spark.createDataFrame([("a",), ("é" * 50,), (None,)], "payload string")
+    for key in (b"a test key", b"long" * 40):
+        m = integrity.sign(rows, "stúdio", key, domain=b"other\0")
+        for r in m.collect():
+            digest = hashlib.sha256((r.payload or "").encode()).digest()
+            assert r.signature_hex == integrity.hmac_hex(digest, "stúdio".encode(), key, b"other\0")
+        plan = m._jdf.queryExecution().toString()
+        assert key.decode() not in plan and bytes(x ^ 0x36 for x in key[:8]).hex() not in plan.lower()
+        failures = [r.failure for r in integrity.verify(m.withColumn("signature_algorithm", F.when(F.col("payload") == "a", "sha256-keyed").otherwise(F.col("signature_algorithm"))), key, domain=b"other\0").collect()]
+        assert failures == ["legacy sha256-keyed signature is not accepted; re-sign with hmac-sha256", None, None]
+
+
+def test_container_files(spark, tmp_path):
+    rows = [(n, 2, "delivery", codec, 2, 1, frames, '{"metadata_schema_version":2}', i, None if i % 2 else f'{{"frame_index":{i}}}', bytearray(struct.pack("<6f", *[i] * 6) if codec == 0 else b"xy" * i)) for n, codec, frames in (("a.bin", 0, 7), ("b.bin", 1, 5)) for i in range(frames)]
+    schema = "name string, version int, tier string, codec int, width int, height int, frame_count int, static_meta string, frame_index long, dynamic_meta string, payload binary"
+    df, folder = spark.createDataFrame(rows, schema).repartition(3), str(tmp_path / "out")
+    container.write_containers(df, folder)
+    for options in ({}, {"range_frames": "2", "long_file": "1"}):
+        back = spark.read.format("frames").options(path=folder, payload="true", **options).load()
+        assert sorted((r.path.split("/")[-1], r.frame_index, bytes(r.payload)) for r in back.collect()) == sorted((r[0], r[8], bytes(r[10])) for r in rows)
+    assert back.rdd.getNumPartitions() == 4 + 3
+    data = (tmp_path / "out" / "a.bin").read_bytes()
+    assert len(container.parse(data)[2]) == 7
+    for bad, why in (((0, "x"), None), (None, "frame")):
+        broken = df.where("name = 'a.bin' and frame_index != 3") if why else df.withColumn("name", F.concat(F.lit("../"), "name"))
+        with pytest.raises(Exception, match="belongs|name must"):
+            container.write_containers(broken, folder)
+        assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.bin", "b.bin"]
+    container.write_containers(df.where("name = 'b.bin'"), folder, mode="overwrite")
+    assert [p.name for p in (tmp_path / "out").iterdir()] == ["b.bin"]
+    (tmp_path / "cut.bin").write_bytes(data[:-3])
+    with pytest.raises(Exception, match="truncated"):
+        spark.read.format("frames").options(path=str(tmp_path / "cut.bin"), range_frames="2", long_file="1").load().count()
+    (tmp_path / "cut.bin").write_bytes(data + b"x")
+    with pytest.raises(Exception, match="after the last frame"):
+        spark.read.format("frames").options(path=str(tmp_path / "cut.bin")).load().count()
+
+
+def test_still_pictures():
+    data = bitstream.write_avif(b"item" * 9, 64, 32, b"{}")
+    assert bitstream.read_avif(data) == {1: b"item" * 9, 2: b"{}"} and bitstream.read_avif(bitstream.write_avif(b"i", 1, 1)) == {1: b"i"}
+    assert data[4:12] == b"ftypavif" and bitstream.find(data, "mdat") and struct.unpack(">II", data[data.index(b"ispe") + 8 :][:8]) == (64, 32)
+    for bad in ((b"", 1, 1, None), (b"x", 0, 1, None), (b"x", 1, 1, b"")):
+        with pytest.raises(bitstream.BitstreamError):
+            bitstream.write_avif(*bad)
+    with pytest.raises(bitstream.BitstreamError):
+        bitstream.read_avif(b"\0\0\0\x08free")
+
+
+def test_packers_are_run_without_a_shell(spark, data, tmp_path):
+    assert export.adapter_command("pack -i {sidecar} -o '{rpu} x' {report}", "a b", "c;d", "e") == ["pack", "-i", "a b", "-o", "c;d x", "e"]
+    for bad in ("pack 'open", "pack {sidecar}"):
+        with pytest.raises(ValueError):
+            export.adapter_command(bad, "a\0", "b", "c")
+    assert export.run_adapter(None, "a", "b", "c")["error"] and not export.run_adapter("no-such-program-here {rpu}", "a", "b", "c")["command_detected"]
+    sidecars = dynamic_frames(spark, data).select(export.open_sidecar(F.col("dynamic_meta")).alias("sidecar"))
+    row = jobs.packed_sidecars(spark, sidecars, str(tmp_path), "cp {sidecar} {rpu}").first()
+    assert row.invocation_succeeded and row.compatibility.mode == "proprietary_adapter_packaged" and not row.compatibility.missing_capabilities
+    assert len((tmp_path / "rpu.bin").read_text().splitlines()) == sidecars.count()
+    row = jobs.packed_sidecars(spark, sidecars, str(tmp_path), "false").first()
+    assert not row.invocation_succeeded and "failed" in row.error and row.compatibility.mode == "open_sidecar_only" and len(row.compatibility.missing_capabilities) == 3
+    assert set(jobs.write_bundle(jobs.interop_bundle(dynamic_frames(spark, data), signal(spark, data)), str(tmp_path / "bundle"))) == {"hdr10", "hdr10plus", "sidecar", "loss", "frame_loss"}
+
+
 def test_container(spark, tmp_path):
     body = np.arange(24, dtype="<f4").tobytes()
     head = container.Header(1, "delivery", 0, 4, 2, 2, 0)
