@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenforge.functions.color import Rgb, matrix
-from lumenforge.functions.transfer import C1, C2, C3, M1, M2
+from lumenforge.functions.transfer import C1, C2, C3, M1, M2, PEAK_NITS, pq_decode
 
 # ACES matrices, spline coefficients and constants.
 AP0_TO_REC2020 = ((1.4904095, -0.2661709, -0.2242386), (-0.0801675, 1.1821671, -0.1019996), (0.0032276, -0.0347765, 1.0315488))
@@ -174,6 +174,11 @@ def output_rec2020_pq(ap0: np.ndarray, peak: float) -> np.ndarray:
     return ((C1 + C2 * y) / (1 + C3 * y)) ** M2
 
 
+def delivery_nits(signal: DataFrame) -> DataFrame:
+    """A PQ signal (r, g, b) as nits, which is what `render` takes."""
+    return signal.withColumns({c: pq_decode(c) * PEAK_NITS for c in "rgb"})
+
+
 TARGETS = {
     "ap0": lambda v: v,
     "rec709_100nit": lambda v: odt_rec709(rrt(v)),

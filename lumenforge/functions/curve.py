@@ -60,6 +60,26 @@ class Curve:
             return clamp(x)
         return let(clamp(x), self._at)
 
+    def value(self, x: float) -> float:
+        """The curve at a number, on the driver."""
+        points, x = self.anchors[:MAX_ANCHORS], min(max(x, 0.0), 1.0)
+        if len(points) < 2:
+            return x
+        i = next((k for k in range(len(points) - 2) if x <= points[k + 1][0]), len(points) - 2)
+        (x0, y0), (x1, y1) = points[i], points[i + 1]
+        h, m = max(x1 - x0, 1e-12), self.tangents()
+        t = (x - x0) / h
+        if self.kind == "linear" or len(points) == 2:
+            return min(max(y0 + t * (y1 - y0), 0.0), 1.0)
+        y = y0 * (1 - t) ** 2 * (1 + 2 * t) + y1 * t * t * (3 - 2 * t) + h * (m[i] * t * (1 - t) ** 2 - m[i + 1] * t * t * (1 - t))
+        return min(max(y, 0.0), 1.0)
+
+    def table(self, size: int) -> list[float]:
+        """Its values at i / (size - 1), for `table_lookup`."""
+        if size < 2:
+            raise ValueError("a table needs two entries")
+        return [self.value(i / (size - 1)) for i in range(size)]
+
     def _at(self, x: Column) -> Column:
         points = self.anchors[:MAX_ANCHORS]
         if self.kind == "linear" or len(points) == 2:
@@ -159,3 +179,14 @@ def curve_table(spark, curve: Curve, size: int):
         raise ValueError("a table needs two entries")
     x = F.col("id") / float(size - 1)
     return spark.range(size).select(F.col("id").alias("i"), x.alias("input"), curve.evaluate(x).alias("output"))
+
+
+def table_lookup(x: Num | str, table: list[float]) -> Column:
+    """A table of values at equal distances over 0 to 1, linear between them."""
+    values, last = F.array(*map(F.lit, table)), len(table) - 1
+
+    def between(v: Column) -> Column:
+        k = F.least(F.floor(v).cast("int"), F.lit(last - 1))
+        return F.get(values, k) + (v - k) * (F.get(values, k + 1) - F.get(values, k))
+
+    return let(clamp(x) * float(last), between)

@@ -25,6 +25,15 @@ def pq_decode(signal: Num | str) -> Column:
     return F.pow(F.greatest(e - C1, F.lit(0.0)) / (C2 - C3 * e), F.lit(1 / M1))
 
 
+def pq_encode_single(linear: Num | str) -> Column:
+    """The same of a single-precision value, as one; the work between is in double precision."""
+    return pq_encode(col(linear).cast("float").cast("double")).cast("float")
+
+
+def pq_decode_single(signal: Num | str) -> Column:
+    return pq_decode(col(signal).cast("float").cast("double")).cast("float")
+
+
 def nits_to_pq(nits: Num | str) -> Column:
     """PQ of absolute luminance; null outside 0 to 10,000 nits."""
     n = col(nits)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenforge.functions import aces, color, transfer
-from lumenforge.functions.curve import DEFAULT_ANCHORS, Curve, DisplayLayer, Grid, ambient_boost, curve_table, evaluate_anchors
+from lumenforge.functions.curve import DEFAULT_ANCHORS, Curve, DisplayLayer, Grid, ambient_boost, curve_table, evaluate_anchors, table_lookup
 from lumenforge.functions.num import clamp
 from lumenforge.operators import export, fidelity, integrity, pixels, regions, temporal, tonemap, validation
 from lumenforge.operators.pixels import rgb
@@ -707,31 +707,103 @@ def region_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nits(spark, sf_dir).select("frame_index").distinct().withColumn("t", t).select("frame_index", F.round("t.dx_per_frame", 9).alias("dx"), F.round("t.dy_per_frame", 9).alias("dy"))
 
 
-@query("SELECT DISTINCT event_id // 200 AS frame_index, CASE event_id // 200 % 3 WHEN 0 THEN 'region motion leaves the frame' WHEN 1 THEN NULL ELSE NULL END AS failure FROM events")
-def validate_region_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.when(F.col("frame_index") % 3 == 0, "translate").when(F.col("frame_index") % 3 == 1, "static").otherwise("piecewise_linear")
-    wide = F.expr(MOVING.format(kind="kind").replace("0.01D", "0.05D"))
-    return nits(spark, sf_dir).select("frame_index").distinct().withColumn("kind", kind).select("frame_index", validation.first_failure(validation.region_motion(wide)).alias("failure"))
+_BOX_OK = lambda dx, dy: f"ISFINITE({dx}) AND ISFINITE({dy}) AND x + {dx} >= 0 AND 0.2 + {dy} >= 0 AND x + {dx} + 0.25 <= 1 AND 0.2 + {dy} + 0.25 <= 1"
 
 
-@query("SELECT DISTINCT event_id // 200 AS frame_index, CASE WHEN event_id // 200 % 4 = 3 THEN 'spherical region latitude extent must stay within [-pi/2, pi/2]' END AS failure FROM events")
+@query(f"""WITH m AS (SELECT event_id, event_id % 3 AS kind, event_id % 11 AS k, CAST(event_id % 40 - 1 AS BIGINT) AS n, value / 1000 AS x, CASE WHEN event_id % 29 = 0 THEN CAST('NaN' AS DOUBLE) ELSE (value % 7 - 3) / 200 END AS dx, (value % 5 - 2) / 400 AS dy FROM events)
+  SELECT event_id, CASE WHEN kind <> 2 AND n <= 0 THEN 'region motion frame_count must be greater than zero'
+    WHEN kind = 1 AND (ISNAN(dx) OR ISNAN(dy)) THEN 'region motion deltas must be finite'
+    WHEN kind = 1 AND NOT ({_BOX_OK("dx * (n - 1)", "dy * (n - 1)")}) THEN 'region motion leaves the frame'
+    WHEN kind <> 2 THEN NULL WHEN k = 0 THEN 'piecewise-linear region motion requires at least two keyframes'
+    WHEN k <> 1 AND ISNAN(dx) THEN 'piecewise-linear region motion offsets must be finite' WHEN k = 1 THEN 'piecewise-linear region motion must start at frame_delta 0 with zero offset'
+    WHEN k = 2 THEN 'piecewise-linear region motion keyframes must be strictly increasing' WHEN NOT ({_BOX_OK("dx * 20", "dy * 20")} AND {_BOX_OK("0.0", "0.0")}) THEN 'region motion leaves the frame' END AS failure FROM m""")
+def validate_region_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of every kind of motion, of which some break one rule or several."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "value").withColumn("k", F.col("event_id") % 11)
+    kind = F.element_at(F.array(*map(F.lit, ("static", "translate", "piecewise_linear"))), (F.col("event_id") % 3 + 1).cast("int"))
+    dx, dy = F.when(F.col("event_id") % 29 == 0, float("nan")).otherwise((F.col("value") % 7 - 3) / 200), (F.col("value") % 5 - 2) / 400
+    key = lambda at, a, b: F.struct(F.lit(at).cast("long").alias("frame_delta"), a.cast("double").alias("dx"), b.cast("double").alias("dy"))
+    start, end, zero = key(0, F.lit(0.0), F.lit(0.0)), key(10, dx * 20, dy * 20), F.lit(0.0)
+    keys = F.when(F.col("k") == 0, F.array(start)).when(F.col("k") == 1, F.array(key(0, zero + 0.1, zero), key(9, zero, zero))).when(F.col("k") == 2, F.array(start, end, end)).otherwise(F.array(start, end))
+    motion = F.struct(kind.alias("kind"), (F.col("event_id") % 40 - 1).alias("frame_count"), dx.alias("dx_per_frame"), dy.alias("dy_per_frame"), keys.alias("keyframes"))
+    region = F.struct((F.col("value") / 1000).alias("x"), F.lit(0.2).alias("y"), F.lit(0.25).alias("width"), F.lit(0.25).alias("height"), motion.alias("motion"))
+    return e.withColumn("region", region).select("event_id", validation.first_failure(validation.region_motion(F.col("region"))).alias("failure"))
+
+
+@query(f"""WITH c AS (SELECT event_id, CASE WHEN event_id % 50 = 0 THEN CAST('NaN' AS DOUBLE) ELSE value % 8 - 4 END AS a, value % 4 - 2 AS e, value % 9 - 0.5 AS w, value % 5 - 0.3 AS h FROM events)
+  SELECT event_id, CASE WHEN ISNAN(a) THEN 'spherical region angles must be finite' WHEN ABS(a) > {o.d(math.pi)} THEN 'spherical region centre_azimuth must be in [-pi, pi]'
+    WHEN ABS(e) > {o.d(math.pi / 2)} THEN 'spherical region centre_elevation must be in [-pi/2, pi/2]' WHEN w <= 0 OR w > {o.d(2 * math.pi)} THEN 'spherical region angular_width must be in (0, 2*pi]'
+    WHEN h <= 0 OR h > {o.d(math.pi)} THEN 'spherical region angular_height must be in (0, pi]' WHEN ABS(e) + h / 2 > {o.d(math.pi / 2 + 1e-4)} THEN 'spherical region latitude extent must stay within [-pi/2, pi/2]' END AS failure FROM c""")
 def validate_spherical_region(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cap = F.struct(F.lit(0.0).alias("centre_azimuth"), (F.col("frame_index") % 4 * 0.4).alias("centre_elevation"), F.lit(1.0).alias("angular_width"), F.lit(0.8).alias("angular_height"))
-    return nits(spark, sf_dir).select("frame_index").distinct().select("frame_index", validation.first_failure(validation.spherical_region(cap)).alias("failure"))
+    """Caps whose angles come from the events' values and break every rule somewhere."""
+    v = F.col("value")
+    azimuth = F.when(F.col("event_id") % 50 == 0, float("nan")).otherwise(v % 8 - 4)
+    cap = F.struct(azimuth.alias("centre_azimuth"), (v % 4 - 2).alias("centre_elevation"), (v % 9 - 0.5).alias("angular_width"), (v % 5 - 0.3).alias("angular_height"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", cap.alias("cap"))
+    return e.select("event_id", validation.first_failure(validation.spherical_region(F.col("cap"))).alias("failure"))
+
+
+@query(f"SELECT event_id, CASE WHEN value % 13 - 1 < 0 OR value % 13 - 1 > 10 THEN 'speed must be in 0..=10' WHEN event_id % 300 > 255 THEN 'quantizer must be in 0..=255' WHEN event_id % 2 = 0 AND event_id % 300 <> 0 THEN 'lossless requires quantizer 0' END AS failure FROM events")
+def validate_encoder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("c", F.struct((F.col("value") % 13 - 1).alias("speed"), (F.col("event_id") % 300).alias("quantizer"), (F.col("event_id") % 2 == 0).alias("lossless")))
+    return e.select("event_id", validation.first_failure(validation.encoder_config(F.col("c"))).alias("failure"))
+
 
+@query("SELECT event_id, REGEXP_FULL_MATCH(id, '[A-Za-z0-9_-]{1,128}') AS id_ok, path NOT LIKE '/%' AND path <> '' AND NOT LIST_CONTAINS(STRING_SPLIT_REGEX(path, '[/\\\\]'), '..') AS path_ok FROM (SELECT event_id, CONCAT('v-', event_id, CASE WHEN event_id % 7 = 0 THEN ' x' ELSE '' END, CASE WHEN event_id % 11 = 0 THEN REPEAT('a', 128) ELSE '_ok' END) AS id, CASE event_id % 5 WHEN 0 THEN '/abs' WHEN 1 THEN 'a/../b' WHEN 2 THEN '' WHEN 3 THEN 'a\\..\\b' ELSE CONCAT('a/', event_id) END AS path FROM events) t")
+def vector_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and relative paths of conformance vectors, of which some are not allowed."""
+    i = F.col("event_id")
+    name = F.concat(F.lit("v-"), i.cast("string"), F.when(i % 7 == 0, " x").otherwise(""), F.when(i % 11 == 0, "a" * 128).otherwise("_ok"))
+    path = F.when(i % 5 == 0, "/abs").when(i % 5 == 1, "a/../b").when(i % 5 == 2, "").when(i % 5 == 3, "a\\..\\b").otherwise(F.concat(F.lit("a/"), i.cast("string")))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(i, validation.vector_id(name).alias("id_ok"), validation.relative_path(path).alias("path_ok"))
 
-@query("SELECT DISTINCT event_id // 200 AS frame_index, 12 AS samples, 36 AS n_bytes, 2 AS segments FROM events")
+
+@query("SELECT DISTINCT event_id // 200 AS frame_index, CAST(n AS INTEGER) AS samples, CAST(n * (n + 1) // 2 AS INTEGER) AS n_bytes, CAST((n + 5) // 6 AS INTEGER) AS segments FROM (SELECT event_id, 2 + event_id // 200 % 17 AS n FROM events) e")
 def fragment_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve samples as a progressive file and as two fragments, and their sample tables read back."""
+    """Samples of growing sizes as a progressive file and as fragments of six, and their sample tables read back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        frames = [(bytes([i, i, i]), i % 6 == 0) for i in range(12)]
         for b in batches:
-            whole = bitstream.write_mp4(frames, 16, 16, 3750)
-            parts = bitstream.write_fragments([frames[:6], frames[6:]], 16, 16, 3750)
-            data = b"".join(parts)
-            assert [whole[a : a + n] for a, n in bitstream.mp4_samples(whole)] == [data[a : a + n] for a, n in bitstream.mp4_samples(data)] == [f for f, _ in frames]
-            n = bitstream.mp4_samples(data)
-            yield pd.DataFrame({"frame_index": b.frame_index, "samples": len(n), "n_bytes": sum(x for _, x in n), "segments": len(parts) - 1})
+            for f in b.frame_index:
+                frames = [(bytes([i]) * (i + 1), i % 6 == 0) for i in range(2 + f % 17)]
+                whole = bitstream.write_mp4(frames, 16, 16, 3750)
+                parts = bitstream.write_fragments([frames[i : i + 6] for i in range(0, len(frames), 6)], 16, 16, 3750)
+                data = b"".join(parts)
+                if not [whole[a : a + n] for a, n in bitstream.mp4_samples(whole)] == [data[a : a + n] for a, n in bitstream.mp4_samples(data)] == [f for f, _ in frames]:
+                    raise bitstream.BitstreamError("samples differ")
+                n = bitstream.mp4_samples(data)
+                yield pd.DataFrame({"frame_index": [f], "samples": len(n), "n_bytes": sum(x for _, x in n), "segments": len(parts) - 1})
 
     return nits(spark, sf_dir).select("frame_index").distinct().mapInPandas(run, "frame_index long, samples int, n_bytes int, segments int")
+
+
+# ---- single precision, ACES matrices, table lookup -----------------------------------------------------------
+
+
+@query(f"SELECT event_id, ROUND(CAST(CAST({o.pq('CAST(CAST(value / 500 AS FLOAT) AS DOUBLE)')} AS FLOAT) AS DOUBLE), 6) AS signal, ROUND(CAST(CAST({o.light('CAST(CAST(value / 500 AS FLOAT) AS DOUBLE)')} AS FLOAT) AS DOUBLE), 6) AS linear FROM events")
+def pq_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("value") / 500
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(transfer.pq_encode_single(v).cast("double"), 6).alias("signal"), F.round(transfer.pq_decode_single(v).cast("double"), 6).alias("linear"))
+
+
+_ACES = ((("to_ap1", aces.REC2020_TO_AP1), ("from_ap0", aces.AP0_TO_REC2020), ("from_ap1", aces.AP1_TO_REC2020)))
+
+
+@query(f"{o.WITH} SELECT {o.KEY}, " + ", ".join(o.r9(o.row(m, i), f"{name}_{c}") for name, m in _ACES for i, c in enumerate("rgb")) + " FROM p")
+def aces_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = {}
+    for name, of in (("to_ap1", aces.rec2020_to_ap1), ("from_ap0", aces.ap0_to_rec2020), ("from_ap1", aces.ap1_to_rec2020)):
+        out |= {f"{name}_{c}": x for c, x in zip("rgb", of(rgb()), strict=True)}
+    return rounded(nits(spark, sf_dir).withColumns(out), *out)
+
+
+@query(f"{o.WITHS}, l AS (SELECT {o.KEY}, {', '.join(f'{o.light(c)} * 10000 AS {c}' for c in 'rgb')} FROM s) SELECT {o.KEY}, " + ", ".join(o.r9(f"{o.row(aces.REC2020_TO_AP0, i)} / 203", c, 6) for i, c in enumerate("rgb")) + " FROM l")
+def aces_from_delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delivery signal in AP0: PQ to nits, then as for a master."""
+    return rounded(aces.render(aces.delivery_nits(signal(spark, sf_dir)), "ap0"), "r", "g", "b", places=6)
+
+
+@query(f"WITH t AS (SELECT LIST({o.hermite_curve('CAST(i AS DOUBLE) / 63', DEFAULT_ANCHORS, Curve().tangents())} ORDER BY i) AS t FROM RANGE(64) t(i)), x AS (SELECT event_id, {o.clamp('value / 400')} * 63 AS x FROM events), k AS (SELECT event_id, x, LEAST(CAST(FLOOR(x) AS BIGINT), 62) AS k FROM x) SELECT event_id, ROUND(t[k + 1] + (x - k) * (t[k + 2] - t[k + 1]), 9) AS mapped FROM k, t")
+def curve_table_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A curve by linear interpolation in its table of 64 entries."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(table_lookup(F.col("value") / 400, Curve().table(64)), 9).alias("mapped"))
