@@ -1,7 +1,9 @@
 """Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped by workers.
 
 1. Workers count the pairs (previous word, word) of their training texts and deal the distinct ones of each chunk by the
-   previous word's hash bucket (`_pack`).
+   previous word's hash bucket (`_pack`). The pairs of words that are frequent in a sample (`frequent_words`) are dealt by
+   the pair instead, so that no bucket holds all that follows a frequent word; what the sample says changes where counts
+   are made, never the counts.
 2. A bucket merges them, chunk by chunk, into its contexts (count, pairs seen once, twice, more often) and its pairs, and
    writes both as sorted arrays to the shared folder; the number of distinct predecessors of each word goes on to that
    word's bucket, which writes it likewise (`_contexts_and_pairs`, `_continuations`).
@@ -27,6 +29,8 @@ from lumenforge.llm.common import bucket_plan, chunks, delete_folder, joined, ma
 
 #: Pairs that a worker counts at once, and pairs that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 700_000
+#: Of a sample's tokens, the share from which a word's pairs are dealt one by one; bytes of the sample.
+FREQUENT, SAMPLE_BYTES = 1e-3, 64 << 20
 START, END = (np.uint64(x) for x in (0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995))
 
 
@@ -70,14 +74,51 @@ def _bucket(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
 
 
-def _pack(docs: DataFrame, bits: int, pack: int) -> DataFrame:
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
+
+
+def pair_bucket(v: np.ndarray, w: np.ndarray, bits: int, frequent: np.ndarray) -> np.ndarray:
+    b = _bucket(v, bits)
+    many = _among(v, frequent)
+    b[many] = _bucket(pair_key(v[many], w[many]), bits)
+    return b
+
+
+def frequent_words(docs: DataFrame) -> np.ndarray:
+    """Hashes, in order, of START and of words with a share of FREQUENT of the tokens of some documents; 2 / FREQUENT at most."""
+    part = max(1, plan_bytes(docs) // SAMPLE_BYTES)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, seen = [], 0
+        for _, texts in chunks(batches):
+            token = token_pairs(texts)[2]
+            seen += len(token)
+            held.append(np.unique(token, return_counts=True))
+            if len(held) > 32:
+                w, _, n = _summed(np.concatenate([h[0] for h in held]), np.zeros(sum(len(h[0]) for h in held), np.uint8), np.concatenate([h[1] for h in held]))
+                held = [(w, n)]
+        w, _, n = _summed(np.concatenate([np.zeros(0, np.uint64), *(h[0] for h in held)]), np.zeros(sum(len(h[0]) for h in held), np.uint8), np.concatenate([np.zeros(0, np.int64), *(h[1] for h in held)]))
+        often = (n >= seen * FREQUENT / 2) & (w != END)
+        yield pa.RecordBatch.from_arrays([pa.array([None, *w[often].view(np.int64).tolist()], pa.int64()), pa.array([seen, *n[often].tolist()], pa.int64())], names=["w", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(part)) == 0) if part > 1 else docs
+    counts = some.select("doc_id", "text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    total = counts.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    rows = counts.where("w is not null").crossJoin(F.broadcast(total.withColumnRenamed("n", "of"))).where(F.col("n") >= F.col("of") * FREQUENT).select("w").collect()  # one row
+    return np.unique(np.array([r.w for r in rows] + [np.int64(START.view(np.int64))], np.int64).view(np.uint64))
+
+
+def _pack(docs: DataFrame, bits: int, pack: int, frequent: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             v, w = (np.concatenate([x[i] for x in held]) for i in (0, 1))
             v, w, n = _summed(v, w, np.ones(len(v), np.int64))
-            b = _bucket(v, bits)
+            b = pair_bucket(v, w, bits, frequent)
+            order = np.argsort(b, kind="stable")
+            v, w, n, b = v[order], w[order], n[order], b[order]
             at = _cuts(b)
             out = []
             for i, j in zip(at, [*at[1:], len(b)], strict=True):
@@ -121,47 +162,51 @@ def _least(n: np.ndarray) -> np.ndarray:
 
 
 SUMS = [f"{x}{i}" for x in ("pairs", "words") for i in range(1, 5)]
-COUNTED = f"bucket int, w binary, n binary, tokens long, types long, distinct long, {', '.join(f'{s} long' for s in SUMS)}"
+STATS = ("total", "once", "twice", "more")
+COUNTED = f"bucket int, w binary, n binary, tokens long, types long, distinct long, {', '.join(f'{s} long' for s in SUMS)}, frequent long, {', '.join(f'{s} long' for s in STATS)}"
 
 
 def _of_counts(n: np.ndarray) -> list[int]:
     return [int((n == i).sum()) for i in range(1, 5)]
 
 
-def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str) -> DataFrame:
-    """Writes each bucket's contexts and pairs; gives its sums and, by bucket of the second word, predecessor counts."""
+def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str, frequent: np.ndarray) -> DataFrame:
+    """Writes each bucket's contexts and pairs; gives its sums, by bucket of the second word predecessor counts, and of each
+    task the statistics of the frequent words' pairs that it has met."""
 
-    def finish(bucket: int, v: np.ndarray, w: np.ndarray, n: np.ndarray) -> list[tuple]:
+    def finish(bucket: int, v: np.ndarray, w: np.ndarray, n: np.ndarray, common: np.ndarray) -> list[tuple]:
         at = _cuts(v)
         stats = np.stack([np.add.reduceat(x.astype(np.int64), at) for x in (n, n == 1, n == 2, n > 2)], axis=1)
-        _save(folder, f"word-{bucket}-hash", v[at])
-        _save(folder, f"word-{bucket}-stats", _least(stats))
+        many = _among(v[at], frequent)
+        common[np.searchsorted(frequent, v[at][many])] += stats[many]
+        _save(folder, f"word-{bucket}-hash", v[at][~many])
+        _save(folder, f"word-{bucket}-stats", _least(stats[~many]))
         key = pair_key(v, w)
         order = np.argsort(key, kind="stable")
         _save(folder, f"pair-{bucket}-key", key[order])
         _save(folder, f"pair-{bucket}-n", _least(n[order]))
-        types = int((v[at] != START).sum())
-        out: list[tuple] = [(None, None, None, int(n.sum()), types, len(v), *_of_counts(n), *[0] * 4)]
+        out: list[tuple] = [(None, None, None, int(n.sum()), int((~many).sum()), len(v), *_of_counts(n), *[0] * 4, None, *[0] * 4)]
         seen, times = np.unique(w, return_counts=True)
         b = _bucket(seen, bits)
         cut = _cuts(b)
-        out += [(int(b[i]), seen[i:j].tobytes(), times[i:j].astype("<u4").tobytes(), *[0] * 11) for i, j in zip(cut, [*cut[1:], len(b)], strict=True)]
+        out += [(int(b[i]), seen[i:j].tobytes(), times[i:j].astype("<u4").tobytes(), *[0] * 11, None, *[0] * 4) for i, j in zip(cut, [*cut[1:], len(b)], strict=True)]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held, size = None, [], 0
+        common = np.zeros((len(frequent), 4), np.int64)
 
         def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             return _summed(*(np.concatenate([h[i] for h in held]) for i in range(3)))
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 11), strict=True)], names=["bucket", "w", "n", "tokens", "types", "distinct", *SUMS])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 16), strict=True)], names=["bucket", "w", "n", "tokens", "types", "distinct", *SUMS, "frequent", *STATS])
 
         for batch in slices(batches, 16):
             for r in batch.to_pylist():
                 if r["bucket"] != at:
                     if held:
-                        yield batch_of(finish(at, *merged()))
+                        yield batch_of(finish(at, *merged(), common))
                     at, held, size = r["bucket"], [], 0
                 v = np.repeat(np.frombuffer(r["v"], "<u8"), np.frombuffer(r["lens"], "<u4").astype(np.int64))
                 held.append((v, np.frombuffer(r["w"], "<u8"), np.frombuffer(r["n"], f"<u{len(r['n']) // len(v)}").astype(np.int64)))
@@ -170,7 +215,10 @@ def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str) -
                     held = [merged()]
                     size = len(held[0][0]) // 2  # what is distinct counts half: merge again when as much has come on top
         if held:
-            yield batch_of(finish(at, *merged()))
+            yield batch_of(finish(at, *merged(), common))
+        met = np.flatnonzero(common[:, 0])
+        if len(met):
+            yield batch_of([(None, None, None, *[0] * 11, h, *c) for h, c in zip(frequent[met].view(np.int64).tolist(), common[met].tolist(), strict=True)])
 
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED)
 
@@ -226,6 +274,8 @@ class Model:
     pair: tuple[float, float, float]
     word: tuple[float, float, float]
     left: float  # what discounting leaves for words as yet unseen
+    frequent: np.ndarray  # hashes of the words whose pairs are dealt one by one, and the statistics of their pairs
+    common: np.ndarray
 
     def arrays(self) -> Arrays:
         return Arrays(self)
@@ -270,6 +320,8 @@ class Arrays:
         m = self.m
         bucket = _bucket(words, m.bits)
         stats = self.look("word", "hash", "stats", bucket, words, 4)
+        many = _among(words, m.frequent)
+        stats[many] = m.common[np.searchsorted(m.frequent, words[many])]
         count = np.where(words == START, 0, np.where(words == END, m.texts, stats[:, 0]))
         after = self.look("after", "key", "n", bucket, words)[:, 0]
         d, e = np.array((0.0, *m.pair)), np.array((0.0, *m.word))
@@ -279,9 +331,10 @@ class Arrays:
         pairs, which = np.unique(prior.astype(np.int64) * len(words) + own, return_inverse=True)
         v, w = pairs // len(words), pairs % len(words)
         key = pair_key(words[v], words[w])
-        order = np.lexsort((key, bucket[v]))
+        held = pair_bucket(words[v], words[w], m.bits, m.frequent)
+        order = np.lexsort((key, held))
         n = np.zeros(len(pairs), np.int64)
-        n[order] = self.look("pair", "key", "n", bucket[v][order], key[order])[:, 0]
+        n[order] = self.look("pair", "key", "n", held[order], key[order])[:, 0]
         return count, (np.maximum(n - d[np.minimum(n, 3)], 0) / total[v] + weight[v] * lower[w])[which]
 
     def scores(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -303,15 +356,19 @@ def train(docs: DataFrame) -> Model:
     folder = f"{shared_folder(spark)}/kneser-ney-{uuid.uuid4().hex}"
     pack, bits = bucket_plan(plan_bytes(docs) / 4, PACK, BUCKET)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    counted = materialise(_contexts_and_pairs(_pack(docs, bits, pack), parts, bits, folder))
+    frequent = frequent_words(docs)
+    counted = materialise(_contexts_and_pairs(_pack(docs, bits, pack, frequent), parts, bits, folder, frequent))
     a = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "types", "distinct", *SUMS[:4]))).first()
+    common = np.zeros((len(frequent), 4), np.int64)
+    for r in counted.where("frequent is not null").groupBy("frequent").agg(*(F.sum(c).alias(c) for c in STATS)).collect():  # 2 / FREQUENT rows at most
+        common[np.searchsorted(frequent, np.array([r.frequent]).view(np.uint64))] = [[r[c] for c in STATS]]
     b = _continuations(counted, parts, folder).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMS[4:]), F.lit(0)).first()
     texts = docs.count()
     words = discounts(*(b[s] for s in SUMS[4:]))
-    types = a["types"] + (texts > 0)
+    types = a["types"] + int(((common[:, 0] > 0) & (frequent != START)).sum()) + (texts > 0)
     once, twice = b["words1"], b["words2"]
     left = (words[0] * once + words[1] * twice + words[2] * max(0, types - once - twice)) / max(1, a["distinct"]) if a["distinct"] else 1.0
-    return Model(folder, bits, a["tokens"], types, texts, a["distinct"], discounts(*(a[s] for s in SUMS[:4])), words, left)
+    return Model(folder, bits, a["tokens"], types, texts, a["distinct"], discounts(*(a[s] for s in SUMS[:4])), words, left, frequent, common)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:

@@ -31,6 +31,8 @@ from lumenforge.llm.common import BROADCAST_ROWS, bucket_plan, by_id, chunks, do
 PACK, BUCKET = 400_000, 500_000
 #: Documents of a chunk at most: they are numbered in 16 bits. Those of one read come on top.
 MOST_ROWS = 40_000
+#: Documents of a posting list that meet others in one task.
+LIST = 512
 LOW = np.uint64(0xFFFFFFFF)
 PACKED = "bucket int, kind int, chunk long, docs binary, lens binary, toks binary, counts binary"
 REPLY = "chunk long, bucket int, docs binary, lens binary, toks binary, classes binary"
@@ -277,11 +279,12 @@ def _linked(docs: DataFrame, k: int, threshold: tuple[int, int], orders: int) ->
     labels = components(post.select("doc_id").distinct(), links, files)
     tagged = materialise(post.drop("head", "central").join(labels, "doc_id"), files)
     sizes = tagged.groupBy("s", "tok", "component").agg(F.count(F.lit(1)).alias("m"))
-    most = sizes.groupBy("s", "tok").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c")).where("c > 1").select("s", "tok", F.col("main.component").alias("main"))
-    mixed = tagged.join(most, ["s", "tok"])
-    y = mixed.drop("main").select("s", "tok", *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
-    x = mixed.where("component != main").select("s", "tok", "main", *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
-    rest = x.join(y, (x.s == y.s) & (x.tok == y.tok) & (x.x_component != y.y_component) & ((y.y_component == x.main) | (x.x_doc_id < y.y_doc_id)) & F.expr(may("x_", "y_")))
+    most = sizes.groupBy("s", "tok").agg(F.max(F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("c"), F.sum("m").alias("of")).where("c > 1")
+    most = most.select("s", "tok", F.col("main.component").alias("main"), F.ceil(F.col("of") / LIST).cast("int").alias("blocks"))
+    mixed = tagged.join(most, ["s", "tok"])  # a long list is dealt in blocks; what is not in its main component meets each of them
+    y = mixed.select("s", "tok", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"), *(F.col(c).alias(f"y_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
+    x = mixed.where("component != main").select("s", "tok", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *(F.col(c).alias(f"x_{c}") for c in ("doc_id", "n", "shared", "place", "component")))
+    rest = x.join(y, (x.s == y.s) & (x.tok == y.tok) & (x.block == y.block) & (x.x_component != y.y_component) & ((y.y_component == x.main) | (x.x_doc_id < y.y_doc_id)) & F.expr(may("x_", "y_")))
     rest = rest.select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b"), x.s)
     more = _verified(docs, materialise(intersected(rest, orders), files), k, (p, q))
     labels = components(reps, links.union(more), files)

@@ -30,7 +30,7 @@ H, LEAST, STEPS = 0.75, 60, 12
 #: Of normal rows, the share that the limit rejects.
 TAIL = 1e-6
 #: Least standard deviations, in thousandths of the transformed units: length, word length, symbols, lines, repeats.
-FLOORS = (450, 350, 250, 300, 400)
+FLOORS = (450, 350, 250, 700, 620)
 
 
 def chi_squared(x: float, df: int) -> float:

@@ -147,7 +147,8 @@ def op3_sql() -> str:
       n0 AS (SELECT side, file, a // {BLOCK} AS place, SHA256(STRING_AGG(CONCAT(a, ':', b, ':', h), ';' ORDER BY a, b, h)) AS h FROM sides GROUP BY ALL)"""
     node = "CASE WHEN COUNT(*) = 1 THEN MAX(h) ELSE SHA256(STRING_AGG(CONCAT({0}, ':', h), ';' ORDER BY {0})) END AS h"
     for k in range(1, 9):
-        up = f"file, place // {FANOUT} AS place" if k < 5 else f"CAST(FLOOR(file / {FANOUT}) AS BIGINT) AS file, 0 AS place"
-        with_ += f", n{k} AS (SELECT side, {up}, {node.format(f'n{k - 1}.place' if k < 5 else f'n{k - 1}.file')} FROM n{k - 1} GROUP BY side, {', '.join(x.split(' AS ')[0] for x in up.split(', '))})"
-    root = f"(SELECT {node.format('file')} FROM n8 WHERE side = {{}})"
+        file, place = ("file", f"place // {FANOUT}") if k < 5 else (f"CAST(FLOOR(file / {FANOUT}) AS BIGINT)", "0")
+        with_ += f", n{k} AS (SELECT side, {file} AS up_file, {place} AS up_place, {node.format('place' if k < 5 else 'file')} FROM {f"m{k - 1}" if k > 1 else "n0"} GROUP BY 1, 2, 3)"
+        with_ += f", m{k} AS (SELECT side, up_file AS file, up_place AS place, h FROM n{k})"
+    root = f"(SELECT {node.format('file')} FROM m8 WHERE side = {{}})"
     return f"""WITH {with_} SELECT page_id, file, a AS start, b AS "end", sha256, found, found IS DISTINCT FROM sha256 AS corrupt, {root.format(0)} AS root, {root.format(1)} AS replica_root FROM idx"""

