@@ -21,6 +21,13 @@ def paired(reference: DataFrame, candidate: DataFrame, by: str = "frame_index")
     return side(reference, "a_").join(side(candidate, "b_"), [by, "pixel_idx"])
 
 
+def derived(reference: DataFrame, step, by: str = "frame_index") -> DataFrame:
+    """The same for a candidate that ``step`` makes of the reference's own rows (a function from a frame to one with r, g, b in
+    place): both stay side by side from the start, and nothing is shuffled or joined."""
+    kept = step(reference.withColumns({f"a_{c}": F.col(c) for c in "rgb"}))
+    return kept.select(by, "pixel_idx", *(f"a_{c}" for c in "rgb"), *(F.col(c).alias(f"b_{c}") for c in "rgb"))
+
+
 def frame_metrics(pairs: DataFrame, by: str = "frame_index") -> DataFrame:
     """PSNR and global SSIM of clamped PQ luma, and mean CIE 1976 difference of linear light, in one pass.
 

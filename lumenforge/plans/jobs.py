@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lumenforge.functions import aces, transfer
 from lumenforge.functions.curve import DEFAULT_ANCHORS, Curve
 from lumenforge.operators import export, fidelity, integrity, pixels, tonemap
-from lumenforge.operators.pixels import rgb
 from lumenforge.plans.frames import conformance_pattern, grey_ramp
 from lumenforge.sources import bitstream, container
 
@@ -142,8 +141,7 @@ def conformance_generate(spark: SparkSession, vectors: int = 3, width: int = 64,
 def conformance_run(nits: DataFrame, limits: dict[str, float | None] = fidelity.CONTRACT) -> DataFrame:
     """Each vector through the 12-bit codec step, its metrics and its failures against a contract."""
     signal = convert(nits)
-    coded = pixels.ycbcr12_round_trip(signal).select("frame_index", "pixel_idx", *rgb())
-    m = fidelity.frame_metrics(fidelity.paired(signal, coded)).withColumn("vmaf_hdr", fidelity.vmaf_surrogate())
+    m = fidelity.frame_metrics(fidelity.derived(signal, pixels.ycbcr12_round_trip)).withColumn("vmaf_hdr", fidelity.vmaf_surrogate())
     failures = fidelity.contract_failures(limits)
     return m.withColumn("failures", failures).withColumn("passed", F.size("failures") == 0)
 

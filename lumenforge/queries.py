@@ -259,8 +259,7 @@ def tone_map_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = signal(spark, sf_dir)
-    return fidelity.frame_metrics(fidelity.paired(s, coarse(s)))
+    return fidelity.frame_metrics(fidelity.derived(signal(spark, sf_dir), coarse))
 
 
 @query(f"{o.fidelity()} SELECT frame_index, n_pixels, {', '.join(o.r9(c, c, 6) for c in ('psnr_db', 'ssim', 'delta_e'))} FROM f")
@@ -273,7 +272,9 @@ _VMAF = f"0.45 * {o.clamp('(psnr_db - 20) / 30 * 100', 0.0, 100.0)} + 0.40 * {o.
 
 @query(f"{o.fidelity()}, v AS (SELECT *, {_VMAF} AS vmaf_hdr FROM f) SELECT frame_index, {o.r9('vmaf_hdr', 'vmaf_hdr', 6)}, CAST(psnr_db < 35 AS INTEGER) + CAST(ssim < 0.9 AS INTEGER) + CAST(delta_e > 4.5 AS INTEGER) + CAST(vmaf_hdr < 85 AS INTEGER) AS n_failures FROM v")
 def fidelity_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _metrics(spark, sf_dir).withColumn("vmaf_hdr", fidelity.vmaf_surrogate())
+    """Of two signals that come apart: their pixels are joined."""
+    s = signal(spark, sf_dir)
+    m = fidelity.frame_metrics(fidelity.paired(s, coarse(s))).withColumn("vmaf_hdr", fidelity.vmaf_surrogate())
     return m.select("frame_index", F.round("vmaf_hdr", 6).alias("vmaf_hdr"), F.size(fidelity.contract_failures()).alias("n_failures"))
 
 
@@ -410,17 +411,17 @@ def encode_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.encode_order(packets).select("frame_index", "position", "failure")
 
 
-@query("WITH f AS (SELECT DISTINCT event_id // 200 AS frame_index FROM events) SELECT frame_index, SUM(CASE WHEN frame_index % 12 = 0 AND frame_index > 0 THEN 1 ELSE 0 END) OVER (ORDER BY frame_index)::BIGINT AS segment FROM f")
+@query("WITH f AS (SELECT DISTINCT event_id // 200 AS i FROM events) SELECT i % 4 AS stream_id, i // 4 AS frame_index, SUM(CASE WHEN i // 4 % 3 = 0 AND i >= 4 THEN 1 ELSE 0 END) OVER (PARTITION BY i % 4 ORDER BY i)::BIGINT AS segment FROM f")
 def keyframe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = nits(spark, sf_dir).select("frame_index").distinct().withColumns({"stream_id": F.lit("a"), "is_keyframe": F.col("frame_index") % 12 == 0})
-    return temporal.keyframe_segments(frames).select("frame_index", "segment")
+    frames = nits(spark, sf_dir).select("frame_index").distinct().select((F.col("frame_index") % 4).alias("stream_id"), F.expr("frame_index div 4").alias("frame_index"))
+    return temporal.keyframe_segments(frames.withColumn("is_keyframe", F.col("frame_index") % 3 == 0)).select("stream_id", "frame_index", "segment")
 
 
-@query("SELECT DISTINCT event_id // 200 AS chunk, CAST(CASE WHEN event_id // 200 >= 20 THEN 3 WHEN event_id // 200 >= 5 THEN 7 ELSE 4 END AS INTEGER) AS samples FROM events")
+@query("SELECT DISTINCT CONCAT('t', event_id // 200 % 5) AS track, event_id // 1000 AS chunk, CAST(CASE WHEN event_id // 1000 >= 3 + event_id // 200 % 5 THEN 3 WHEN event_id // 1000 >= 1 THEN 7 ELSE 4 END AS INTEGER) AS samples FROM events")
 def samples_per_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = nits(spark, sf_dir).select(F.lit("a").alias("track"), F.col("frame_index").alias("chunk")).distinct()
-    entries = spark.createDataFrame([("a", 0, 4), ("a", 5, 7), ("a", 20, 3)], "track string, first_chunk long, samples int")
-    return temporal.samples_per_chunk(chunks, entries).select("chunk", "samples")
+    chunks = nits(spark, sf_dir).select(F.concat(F.lit("t"), F.col("frame_index") % 5).alias("track"), F.expr("frame_index div 5").alias("chunk")).distinct()
+    entries = spark.createDataFrame([(f"t{k}", at, n) for k in range(5) for at, n in ((0, 4), (1, 7), (3 + k, 3))], "track string, first_chunk long, samples int")
+    return temporal.samples_per_chunk(chunks, entries)
 
 
 # ---- metadata ------------------------------------------------------------------------------------------------
