@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from dataclasses import dataclass
 
 import numpy as np
@@ -236,6 +237,23 @@ def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK_BYTES) -> Iterat
         yield _ids(ids), texts
 
 
+def release() -> None:
+    """Give a worker's free memory back to the system: workers stay for other tasks, and an executor's memory is theirs too."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # where the C library can't
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(run):
+    """A function on batches that gives free memory back at the end of a task."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return whole
+
+
 def _ids(ids: list[int | None]) -> np.ndarray:
     return np.array(ids, object if None in ids else np.int64)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import CHUNK_BYTES, LOWER, by_id, chunks, few_files, free_name, joined, materialise, mix, slices, small, table, word_hashes
+from lumenforge.llm.common import CHUNK_BYTES, LOWER, by_id, chunks, few_files, free_name, joined, materialise, mix, slices, small, small_batches, table, trimmed, word_hashes
 
 # Units of measure, and number words.
 UNITS = """mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ton tons pound pounds ounce
@@ -178,7 +178,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW, literals: int = LIT
                 out += [(i, need, *r) for need, rows in found for r in rows]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, (pa.int64(), pa.int32(), *_TYPES), strict=True)], names=["item_id", "need", "hash", "form", "size", "place", "slots"])
 
-    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").mapInArrow(of, f"item_id long, need int, {WINDOWS}")
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").mapInArrow(trimmed(of), f"item_id long, need int, {WINDOWS}")
 
 
 def window_filter(items: DataFrame) -> np.ndarray:
@@ -243,7 +243,7 @@ def _candidates(docs: DataFrame, window: int, literals: int, kinds: set[tuple[in
             yield found(ids, keys, texts)
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_md5().alias("text_md5"), "text")
-    return rows.mapInArrow(of, f"doc_id long, text_md5 string, {WINDOWS}")
+    return rows.mapInArrow(trimmed(of), f"doc_id long, text_md5 string, {WINDOWS}")
 
 
 def text_md5(text: str = "text") -> Column:
@@ -316,7 +316,7 @@ def _stretches(joined_windows: DataFrame, window: int, parts: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "text_md5", "item_id", "n_windows"])
 
     dealt = joined_windows.repartition(parts, "doc_id", "text_md5", "item_id").sortWithinPartitions("doc_id", "text_md5", "item_id", "form", "size", "diagonal", "place")
-    return dealt.select(*names).mapInArrow(run, "doc_id long, text_md5 string, item_id long, n_windows long")
+    return dealt.select(*names).mapInArrow(trimmed(run), "doc_id long, text_md5 string, item_id long, n_windows long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, literals: int = LITERALS, run: int = RUN) -> DataFrame:
@@ -329,7 +329,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     spark = docs.sparkSession
     items = materialise(item_windows(benchmark, window, literals, run), few_files(benchmark))
     kinds = {(r.form, r.size) for r in items.select("form", "size").distinct().collect()}  # two, or at most 3 x window
-    found = materialise(_candidates(docs, window, literals, kinds, window_filter(items)), few_files(docs)).distinct()
+    bits = window_filter(items)
+    with small_batches(spark):
+        found = materialise(_candidates(docs, window, literals, kinds, bits), few_files(docs)).distinct()
     # A hash that many documents hold is a hot key: the items' windows are broadcast while few, and AQE splits it otherwise.
     theirs = items.select("item_id", "need", "hash", "form", "size", F.col("place").alias("there"), F.col("slots").alias("theirs"))
     met = found.join(F.broadcast(theirs) if small(theirs, BROADCAST_WINDOWS) else theirs, ["hash", "form", "size"]).withColumn("diagonal", F.col("place") - F.col("there"))

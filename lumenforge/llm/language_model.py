@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import bucket_plan, chunks, delete_folder, joined, materialise, mix, plan_bytes, shared_folder, slices, small_batches, table, word_hashes
+from lumenforge.llm.common import bucket_plan, chunks, delete_folder, joined, materialise, mix, plan_bytes, shared_folder, slices, small_batches, table, trimmed, word_hashes
 
 #: Pairs that a worker counts at once, and pairs that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 700_000
@@ -103,7 +103,7 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([None, *w[often].view(np.int64).tolist()], pa.int64()), pa.array([seen, *n[often].tolist()], pa.int64())], names=["w", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(part)) == 0) if part > 1 else docs
-    counts = some.select("doc_id", "text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = some.select("doc_id", "text").mapInArrow(trimmed(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
     total = counts.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     rows = counts.where("w is not null").crossJoin(F.broadcast(total.withColumnRenamed("n", "of"))).where(F.col("n") >= F.col("of") * FREQUENT).select("w").collect()  # one row
     return np.unique(np.array([r.w for r in rows] + [np.int64(START.view(np.int64))], np.int64).view(np.uint64))
@@ -137,7 +137,7 @@ def _pack(docs: DataFrame, bits: int, pack: int, frequent: np.ndarray) -> DataFr
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, v binary, lens binary, w binary, n binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "bucket int, v binary, lens binary, w binary, n binary")
 
 
 def _filesystem(folder: str):
@@ -220,7 +220,7 @@ def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str, f
         if len(met):
             yield batch_of([(None, None, None, *[0] * 11, h, *c) for h, c in zip(frequent[met].view(np.int64).tolist(), common[met].tolist(), strict=True)])
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, COUNTED)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), COUNTED)
 
 
 def _continuations(counted: DataFrame, parts: int, folder: str) -> DataFrame:
@@ -250,7 +250,7 @@ def _continuations(counted: DataFrame, parts: int, folder: str) -> DataFrame:
             yield finish()
 
     rows = counted.where("bucket is not null").select("bucket", "w", "n")
-    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, ", ".join(f"{s} long" for s in SUMS[4:]))
+    return rows.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(trimmed(run), ", ".join(f"{s} long" for s in SUMS[4:]))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -380,7 +380,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
             n, known, base, score = arrays.scores(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n.astype(np.int64)), pa.array(known), pa.array(np.full(len(ids), model.tokens, np.int64)), pa.array(base), pa.array(score)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def remainder(column: str, by: int) -> Column:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import BROADCAST_ROWS, bucket_plan, by_id, chunks, documents, few_files, materialise, mix, plan_bytes, shingles, slices, small, small_batches, table
+from lumenforge.llm.common import BROADCAST_ROWS, bucket_plan, by_id, chunks, documents, few_files, materialise, mix, plan_bytes, shingles, slices, small, small_batches, table, trimmed
 
 #: Shingles that a worker packs at once, and shingles that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 500_000
@@ -94,7 +94,7 @@ def _pack(docs: DataFrame, k: int, bits: int, pack: int) -> DataFrame:
                 out.append((int(bucket[a]), 1, chunk, row[a:b][s].astype("<u2").tobytes(), (e - s).astype("<u2" if e[-1] < 65_536 else "<u4").tobytes(), short[a:b].tobytes(), None))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4), strict=True)], names=["bucket", "kind", "chunk", "docs", "lens", "toks", "counts"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), PACKED)
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def _reply(packed: DataFrame, parts: int) -> DataFrame:
                 out.append((r["chunk"], at, docs[some].tobytes(), each[some].astype("<u4").tobytes(), mine[common].tobytes(), c[common].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], names=["chunk", "bucket", "docs", "lens", "toks", "classes"])
 
-    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, REPLY)
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(trimmed(run), REPLY)
 
 
 def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders: int) -> DataFrame:
@@ -190,7 +190,7 @@ def _prefixes(replies: DataFrame, parts: int, threshold: tuple[int, int], orders
         if held:
             yield batch_of(of(held))
 
-    return replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(run, "doc_id long, n long, sig binary, shared long, central double, prefixes array<array<long>>")
+    return replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(trimmed(run), "doc_id long, n long, sig binary, shared long, central double, prefixes array<array<long>>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, int]) -> DataFrame:
@@ -220,9 +220,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, threshold: tuple[int, i
                         b_out.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
 
-    found = sets_of.mapInArrow(sets, "doc_id long, toks binary")
+    found = sets_of.mapInArrow(trimmed(sets), "doc_id long, toks binary")
     met = found.join(F.broadcast(roles) if small(roles, BROADCAST_ROWS) else roles, "doc_id")
-    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "role", "doc_id", "toks").mapInArrow(compare, "a long, b long")
+    return met.repartition("a", "salt").sortWithinPartitions("a", "salt", "role").select("a", "salt", "role", "doc_id", "toks").mapInArrow(trimmed(compare), "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame, files: int | None = None) -> DataFrame:

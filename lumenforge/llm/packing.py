@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import materialise, ranked, table
+from lumenforge.llm.common import materialise, ranked, small_batches, table, trimmed
 
 #: ASCII punctuation after a letter or digit is a token of its own (but for apostrophes): such words have their parts' ids.
 ENDED = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
@@ -81,7 +81,7 @@ def piece_lengths(docs: DataFrame, tokenizer: str, size: int) -> DataFrame:
                     out.append((doc.as_py(), piece, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_fill(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -160,7 +160,8 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFram
     A null or empty text is one piece of the end id; a null doc_id stays null; repeated rows are packed each;
     an empty table gives no rows; other columns are not read.
     """
-    pieces = materialise(piece_lengths(docs, tokenizer, size))
+    with small_batches(docs.sparkSession):
+        pieces = materialise(piece_lengths(docs, tokenizer, size))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     lengths, firsts, bases, offsets = [], [], [], []  # one row for each place of a pattern
     used: dict[int, int] = defaultdict(int)
@@ -186,7 +187,7 @@ def pack_best_fit(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFram
 
     buckets = max(256, sum(counts.values()) // 50_000)  # of a length; they follow the number of pieces
     rows = ranked(pieces, ["length"], F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)), ["doc_id", "piece", "ids_crc32"], "_rank")
-    return rows.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return rows.mapInArrow(trimmed(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def default_tokenizer() -> str:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import CHUNK_BYTES, bucket_plan, by_id, chunks, documents, few_files, materialise, mix, plan_bytes, powers, slices, small_batches, table
+from lumenforge.llm.common import CHUNK_BYTES, bucket_plan, by_id, chunks, documents, few_files, materialise, mix, plan_bytes, powers, slices, small_batches, table, trimmed
 
 LENGTH, GRAM = 100, 32
 #: Anchors that a worker packs at once, anchors that a bucket should hold (see `bucket_plan`), contexts that are sorted together.
@@ -126,7 +126,7 @@ def _pack(docs: DataFrame, length: int, gram: int, bits: int, pack: int) -> Data
         if held:
             yield flush(held)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, kind int, chunk long, docs binary, lens binary, places binary, hashes binary, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "bucket int, kind int, chunk long, docs binary, lens binary, places binary, hashes binary, counts binary")
 
 
 def _repeated(packed: DataFrame, parts: int) -> DataFrame:
@@ -187,8 +187,8 @@ def _repeated(packed: DataFrame, parts: int) -> DataFrame:
         if held:
             yield by_doc()
 
-    replies = packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(run, "chunk long, docs binary, places binary, hashes binary")
-    return replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(meet, "doc_id long, places binary, hashes binary")
+    replies = packed.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(trimmed(run), "chunk long, docs binary, places binary, hashes binary")
+    return replies.repartition(parts, "chunk").sortWithinPartitions("chunk").mapInArrow(trimmed(meet), "doc_id long, places binary, hashes binary")
 
 
 CONTEXT = "hash long, doc_id long, place long, left binary, right binary, copies long"
@@ -241,7 +241,7 @@ def _contexts(docs: DataFrame, found: DataFrame, length: int, gram: int) -> Data
                 yield from sent()
         yield from sent()
 
-    return _around(docs, found).mapInArrow(run, CONTEXT)
+    return _around(docs, found).mapInArrow(trimmed(run), CONTEXT)
 
 
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
@@ -370,7 +370,7 @@ def _covered(contexts: DataFrame, parts: int, length: int, gram: int) -> DataFra
                 yield batch_of(out)
         yield batch_of(finish())
 
-    return contexts.repartition(parts, "hash").sortWithinPartitions("hash", "doc_id", "place").mapInArrow(run, "doc_id long, start long, end long")
+    return contexts.repartition(parts, "hash").sortWithinPartitions("hash", "doc_id", "place").mapInArrow(trimmed(run), "doc_id long, start long, end long")
 
 
 def _occurrences(docs: DataFrame, found: DataFrame, left: int, right: int) -> DataFrame:
@@ -387,7 +387,7 @@ def _occurrences(docs: DataFrame, found: DataFrame, left: int, right: int) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_NAMES[:5])
 
     like = F.md5(F.concat(F.col("hash").cast("string").cast("binary"), F.lit(b":"), F.octet_length("left").cast("string").cast("binary"), F.lit(b":"), "left", "right"))
-    return _around(docs, found).mapInArrow(run, "hash long, doc_id long, place long, left binary, right binary").withColumn("like", like)
+    return _around(docs, found).mapInArrow(trimmed(run), "hash long, doc_id long, place long, left binary, right binary").withColumn("like", like)
 
 
 def _sets(contexts: DataFrame, parts: int, length: int, left: int, right: int) -> DataFrame:
@@ -421,7 +421,7 @@ def _sets(contexts: DataFrame, parts: int, length: int, left: int, right: int) -
                 size += len(before) + len(after)
         yield finish()
 
-    return contexts.repartition(parts, "hash").sortWithinPartitions("hash", "like").mapInArrow(run, "repeat string, length long, before long, like string")
+    return contexts.repartition(parts, "hash").sortWithinPartitions("hash", "like").mapInArrow(trimmed(run), "repeat string, length long, before long, like string")
 
 
 def _distinct(docs: DataFrame) -> DataFrame:
@@ -513,7 +513,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (*[pa.int64()] * 4, pa.string()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
         # a task for each 64 MB of input, as `few_files` has it: the number of tasks follows the input
-        changed = by_id(single, touched, "doc_id", "left_semi").join(spans, "doc_id").coalesce(few_files(docs)).mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        changed = by_id(single, touched, "doc_id", "left_semi").join(spans, "doc_id").coalesce(few_files(docs)).mapInArrow(trimmed(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
         zero = F.lit(0).cast("long")
         whole = by_id(single, touched, "doc_id", "left_anti").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
         gone = copies.select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import materialise, table
+from lumenforge.llm.common import materialise, release, small_batches, table, trimmed
 
 # Letters of other scripts that look like Latin ones, digits and signs that stand for letters.
 HOMOGLYPHS = {
@@ -141,7 +141,7 @@ def _counts(rows: DataFrame, keys) -> DataFrame:
                     yield flush()
         yield flush()
 
-    return rows.mapInArrow(count, "key string, clean long, toxic long, clean_docs long, toxic_docs long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "clean_docs", "toxic_docs")))
+    return rows.mapInArrow(trimmed(count), "key string, clean long, toxic long, clean_docs long, toxic_docs long").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("clean", "toxic", "clean_docs", "toxic_docs")))
 
 
 def _terms():
@@ -190,8 +190,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     texts, which bound all that the driver gets: the terms with enough evidence, the phrases around them that clean texts
     alone hold, and two features of each text. No labels: the seed terms with their first weights.
     """
-    rows = materialise(sample_labelled(docs, labels, sample_rows).repartition(32))  # a bounded number of rows
-    counts = materialise(_counts(rows, _terms))
+    with small_batches(docs.sparkSession):
+        rows = materialise(sample_labelled(docs, labels, sample_rows).repartition(32))  # a bounded number of rows
+        counts = materialise(_counts(rows, _terms))
     all_ = counts.where("key = ''").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("clean", "toxic"))).first()
     share = (all_.toxic + 1) / (all_.toxic + all_.clean + 2)
     n, a = F.col("toxic") + F.col("clean"), F.col("toxic")
@@ -221,7 +222,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             got = [lexicon.features(a, t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)] + [batch["toxic"]], names=["rate", "total", "toxic"])
 
-    x = rows.mapInArrow(features, "rate double, total double, toxic boolean").orderBy("rate", "total", "toxic").toPandas()
+    x = rows.mapInArrow(trimmed(features), "rate double, total double, toxic boolean").orderBy("rate", "total", "toxic").toPandas()
     if x.toxic.nunique() > 1:
         lexicon.fit = fit_logistic(np.log1p(x[["rate", "total"]].to_numpy()), x.toxic.to_numpy(float))
     return lexicon
@@ -236,6 +237,7 @@ def toxicity_score(lexicon: Lexicon, text: str | Column = "text") -> Column:
         for part in parts:
             got = np.array([lexicon.features(a, t or "") for t in part], float).reshape(-1, 2)
             yield pd.Series(lexicon.probability(got[:, 0], got[:, 1]))
+        release()
 
     return score(text)
 
