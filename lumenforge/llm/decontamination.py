@@ -331,7 +331,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
     kinds = {(r.form, r.size) for r in items.select("form", "size").distinct().collect()}  # two, or at most 3 x window
     bits = window_filter(items)
     with small_batches(spark):
-        found = materialise(_candidates(docs, window, literals, kinds, bits), few_files(docs)).distinct()
+        found = materialise(_candidates(docs, window, literals, kinds, bits).distinct(), few_files(docs))
     # A hash that many documents hold is a hot key: the items' windows are broadcast while few, and AQE splits it otherwise.
     theirs = items.select("item_id", "need", "hash", "form", "size", F.col("place").alias("there"), F.col("slots").alias("theirs"))
     met = found.join(F.broadcast(theirs) if small(theirs, BROADCAST_WINDOWS) else theirs, ["hash", "form", "size"]).withColumn("diagonal", F.col("place") - F.col("there"))
