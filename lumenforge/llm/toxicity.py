@@ -222,7 +222,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
             got = [lexicon.features(a, t) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.float64()) for i in (0, 1)] + [batch["toxic"]], names=["rate", "total", "toxic"])
 
-    x = rows.mapInArrow(trimmed(features), "rate double, total double, toxic boolean").orderBy("rate", "total", "toxic").toPandas()
+    x = rows.mapInArrow(trimmed(features), "rate double, total double, toxic boolean").toPandas().sort_values(["rate", "total", "toxic"])
     if x.toxic.nunique() > 1:
         lexicon.fit = fit_logistic(np.log1p(x[["rate", "total"]].to_numpy()), x.toxic.to_numpy(float))
     return lexicon
