@@ -103,7 +103,7 @@ def frequent_words(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([None, *w[often].view(np.int64).tolist()], pa.int64()), pa.array([seen, *n[often].tolist()], pa.int64())], names=["w", "n"])
 
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(part)) == 0) if part > 1 else docs
-    counts = some.select("doc_id", "text").mapInArrow(trimmed(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = materialise(some.select("doc_id", "text").mapInArrow(trimmed(count), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")))  # used twice
     total = counts.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     rows = counts.where("w is not null").crossJoin(F.broadcast(total.withColumnRenamed("n", "of"))).where(F.col("n") >= F.col("of") * FREQUENT).select("w").collect()  # one row
     return np.unique(np.array([r.w for r in rows] + [np.int64(START.view(np.int64))], np.int64).view(np.uint64))
