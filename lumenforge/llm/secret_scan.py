@@ -3,14 +3,16 @@
 Everything is DataFrame functions; nothing runs in Python. A candidate is a long run of token characters. Its encoding
 is inferred, and three tests ask whether its characters look drawn at random: a chi-squared test of the alphabet's
 uniformity, a runs test about the alphabet's middle and the lag-1 serial correlation; Fisher's method combines them.
-Decoys, which are natural for sure, go through the same battery: plain words of one case, and for each row the words
-around its candidates, run together in each encoding. For each encoding and class of lengths the share of decoys that
+Decoys, which are natural for sure, go through the same battery: plain words of one case, and for each row all words
+around its candidates, run together in each encoding and cut into pieces. For each encoding and class of lengths the share of decoys that
 reach a p-value tells how many of the candidates that reach it would be false; each class has the least cut at which
 that share of its finds is at most ``fdr``. Short tokens, on which the tests have no power, drop out by that.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +28,10 @@ ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234
 #: What the combined p-value must reach, and the rate of false discoveries in a class.
 ALPHA, FDR = 0.01, 0.05
 #: The cuts that a class may have, and the lengths of decoys made from a row's words: the least of the first classes.
-CUTS, MADE, WORDS_FROM = (ALPHA, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9), (20, 29, 40, 57, 80), 600
+#: How many of a text's characters give them: all.
+CUTS, MADE, WORDS_FROM = (ALPHA, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9), (20, 29, 40, 57, 80), None
+#: Frequent characters of words in each encoding: those that are looked at first. They change the time, never a level.
+COMMON = {"hex": "eadcbf", "base32": "EAINORSTLDCUMP", "alnum": "eainorstldcump", "base64": "-eainorstldcum"}
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
@@ -115,25 +120,59 @@ def _size(length: Column) -> Column:
     return F.least(F.floor(F.log2(length / F.lit(20.0)) * 2), F.lit(12)).cast("int")
 
 
-def _made(t: Column) -> Column:
-    """Decoys (encoding, size, level) from the words around the candidates of a text: one of each encoding, all of one length."""
-    start = F.regexp_replace(F.substring(t, 1, WORDS_FROM), CANDIDATE, " ")
+def _natural_from(kind: str, n: int) -> float:
+    """The sum of squared counts from which a token of n characters reaches no cut, whatever the other two tests say."""
+    k = len(ALPHABETS[kind])
+    half, step = 0.0, 8.0  # the largest at which Fisher's method reaches the first cut, and a little more
+    while step > 1e-3:
+        half, step = (half + step, step) if math.exp(-half - step) * (1 + half + step + (half + step) ** 2 / 2) >= CUTS[0] else (half, step / 2)
+    spread = 2 / (9 * (k - 1))
+    for squares in range(n, n * n + 1):
+        z = min(((max(k / n * squares - n, 0.0) / (k - 1)) ** (1 / 3) - (1 - spread)) / math.sqrt(spread), 8.0)
+        if math.log1p(math.exp(1.5976 * z + 0.070566 * z**3)) > half + 0.01:
+            return float(squares)
+    return math.inf
+
+
+def _piece_level(token: Column, kind: str) -> Column:
+    """How many of CUTS a decoy reaches. The squared counts of some characters and the count of all others are at most the sum
+    of all squared counts: most words reach no cut by that alone."""
+    n = F.octet_length(token)  # of ASCII
+    least = F.element_at(F.array(*(F.lit(_natural_from(kind, m)) for m in range(MADE[0], MADE[-1] + 1))), n - (MADE[0] - 1))
+    # c + c (c - 1) is c squared
+    some = sum((F.pow(n - 0.5 - F.octet_length(F.replace(token, F.lit(c), F.lit(""))), F.lit(2.0)) for c in COMMON[kind]), n - len(COMMON[kind]) / 4)
+    return F.when(some >= least, F.lit(0)).otherwise(_let(battery(token, F.lit(kind)), _level))
+
+
+def _made(t: Column, found: Column) -> Column:
+    """Decoys (encoding, size, how many, levels of those that reach a cut) from all words around the candidates of a text.
+
+    They are run together in each encoding and cut into pieces of one length; what is left makes a shorter one, if it has the
+    20 characters that a candidate must have.
+    """
+    around = F.when(F.size(found) > 0, F.regexp_replace(t, CANDIDATE, " ")).otherwise(t)
     length = F.element_at(F.array(*map(F.lit, MADE)), (F.pmod(F.xxhash64(t), F.lit(len(MADE))) + 1).cast("int"))
-    slug = F.regexp_replace(start, "[^A-Za-z0-9]+", "-")
+
+    def pieces(kind: str, value: Column, length: Column) -> Column:
+        def of(each: Column) -> Column:
+            group = lambda some, n: F.struct(F.lit(kind).alias("encoding"), _size(n).alias("size"), F.size(some).alias("n"), F.filter(F.transform(some, lambda p: p["level"]), lambda v: v > 0).alias("levels"))
+            whole, rest = F.filter(each, lambda p: p["length"] == length), F.filter(each, lambda p: p["length"] < length)
+            return F.concat(F.when(F.size(whole) > 0, F.array(group(whole, length))).otherwise(F.array()), F.transform(rest, lambda p: group(F.array(p), p["length"])))
+
+        tokens = F.regexp_extract_all(value, F.concat(F.lit(f".{{{MADE[0]},"), length.cast("string"), F.lit("}")), F.lit(0))
+        return _let(F.transform(tokens, lambda k: F.struct(F.octet_length(k).alias("length"), _piece_level(k, kind).alias("level"))), of)
 
     def of(x: Column) -> Column:
-        plain = F.replace(x["slug"], F.lit("-"), F.lit(""))
-        forms = {"hex": F.regexp_replace(F.lower(plain), "[^0-9a-f]", ""), "base32": F.regexp_replace(F.upper(plain), "[^A-Z2-7]", ""), "alnum": plain, "base64": x["slug"]}
-        tokens = F.array(*(F.struct(F.lit(k).alias("encoding"), F.substring(v, F.lit(1), x["length"]).alias("token")) for k, v in forms.items()))
-        enough = F.filter(tokens, lambda k: F.length(k["token"]) == x["length"])
-        return F.transform(enough, lambda k: F.struct(k["encoding"].alias("encoding"), _size(x["length"]).alias("size"), _let(battery(k["token"], k["encoding"]), _level).alias("level")))
+        forms = {"hex": F.regexp_replace(F.lower(x["plain"]), "[^0-9a-f]+", ""), "base32": F.regexp_replace(F.upper(x["plain"]), "[^A-Z2-7]+", ""), "alnum": x["plain"], "base64": x["slug"]}
+        return F.concat(*(pieces(k, v, x["length"]) for k, v in forms.items()))
 
-    return _let(F.struct(slug.alias("slug"), length.alias("length")), of)
+    slug = F.struct(F.regexp_replace(around, "[^A-Za-z0-9]+", "-").alias("slug"), length.alias("length"))
+    return _let(slug, lambda x: _let(F.struct(x["slug"].alias("slug"), F.replace(x["slug"], F.lit("-"), F.lit("")).alias("plain"), x["length"].alias("length")), of))
 
 
 def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``_base`` (spans of the base patterns), ``_tried`` (candidates with class, decoy and the cuts they reach) and
-    ``_made`` (decoys of the row's words)."""
+    ``_made`` (decoys of the row's words, counted)."""
     t = F.coalesce(F.col(text), F.lit(""))
     none = F.array().cast(SPAN)
     low = docs.withColumn("_low", F.lower(t))
@@ -154,7 +193,7 @@ def with_spans(docs: DataFrame, text: str = "text") -> DataFrame:
         token = F.substring(t, s["start"] + 1, s["end"] - s["start"])
         return _let(token, lambda k: _let(F.struct(s["start"].alias("start"), s["ord"].alias("ord"), s["end"].alias("end"), k.alias("token"), encoding(k).alias("encoding")), of))
 
-    return low.withColumn("_base", F.array_sort(F.concat(assign, access, hexes))).withColumn("_found", found).withColumn("_tried", F.transform("_found", tried)).withColumn("_made", _made(t)).drop("_low", "_found")
+    return low.withColumn("_base", F.array_sort(F.concat(assign, access, hexes))).withColumn("_found", found).withColumn("_tried", F.transform("_found", tried)).withColumn("_made", _made(t, F.col("_found"))).drop("_low", "_found")
 
 
 def classes(spans: DataFrame, fdr: float = FDR) -> DataFrame:
@@ -166,11 +205,13 @@ def classes(spans: DataFrame, fdr: float = FDR) -> DataFrame:
     are estimated from the candidates that don't reach the cut, and one more.
     """
     kinds = F.array(*map(F.lit, ALPHABETS))
-    one = lambda decoy, encoding, c: F.struct(F.lit(decoy).alias("decoy"), encoding.alias("encoding"), c["size"].alias("size"), c["level"].alias("level"))
+    row = lambda decoy, encoding, c, n, levels: F.struct(F.lit(decoy).alias("decoy"), encoding.alias("encoding"), c["size"].alias("size"), n.alias("n"), levels.alias("levels"))
+    one = lambda decoy, encoding, c: row(decoy, encoding, c, F.lit(1), F.array(c["level"]))
     words = F.flatten(F.transform(F.filter("_tried", lambda c: c["decoy"]), lambda c: F.transform(kinds, lambda k: one(True, k, c))))
     targets = F.transform(F.filter("_tried", lambda c: ~c["decoy"]), lambda c: one(False, c["encoding"], c))
-    each = spans.select(F.explode(F.concat(words, targets, F.transform("_made", lambda c: one(True, c["encoding"], c)))).alias("c")).select("c.*")
-    counts = each.groupBy("decoy", "encoding", "size").agg(F.count(F.lit(1)).alias("n"), F.array(*(F.count_if(F.col("level") >= k + 1) for k in range(len(CUTS)))).alias("reach"))
+    each = spans.select(F.explode(F.concat(words, targets, F.transform("_made", lambda c: row(True, c["encoding"], c, c["n"], c["levels"])))).alias("c")).select("c.*")
+    reach = lambda k: F.sum(F.size(F.filter("levels", lambda v: v >= k + 1)))
+    counts = each.groupBy("decoy", "encoding", "size").agg(F.sum("n").alias("n"), F.array(*map(reach, range(len(CUTS)))).alias("reach"))
     counts = materialise(counts)  # some hundred rows, which are used twice
     counts = counts.select("decoy", "encoding", "size", "n", F.posexplode("reach").alias("cut", "np"))
     held = counts.where("decoy").select(F.col("encoding").alias("_e"), F.col("size").alias("_s"), F.col("cut").alias("_c"), ((F.col("np") + 0.5) / (F.col("n") + 20.0)).alias("rate"))

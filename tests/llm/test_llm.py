@@ -477,6 +477,32 @@ def naive_scan(texts, fdr=0.05):
     return [[(a, b) for a, b, (e, z, x) in mine if (e, z) in cuts and x >= cuts[(e, z)]] for mine in found]
 
 
+def test_decoys_are_made_of_whole_texts(spark, odd):
+    import xxhash
+
+    made = random.Random(8)
+    word = lambda: "".join(made.choice("eainorstlducmpbgfhvz") for _ in range(made.randint(2, 9)))
+    prose = lambda n: " ".join(made.choice((word(), word().upper(), word().title(), str(made.randint(0, 9999)))) for _ in range(n))
+    late = ["\u0436 " * 400 + prose(90), "+" * 700 + " " + prose(300), prose(2000), "deadbeef" * 90 + prose(60), prose(12)]
+    texts = [r.text or "" for r in odd.select("text").collect()] + late + [prose(made.randint(1, 200)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r["_made"] for r in secret_scan.with_spans(docs).collect()}
+    for i, t in enumerate(texts):
+        n = secret_scan.MADE[(lambda h: h - (1 << 64) if h >> 63 else h)(xxhash.xxh64(t.encode(), seed=42).intdigest()) % len(secret_scan.MADE)]
+        slug = re.sub("[^A-Za-z0-9]+", "-", re.sub(secret_scan.CANDIDATE, " ", t))
+        plain, want = slug.replace("-", ""), []
+        for e, x in (("hex", re.sub("[^0-9a-f]", "", plain.lower())), ("base32", re.sub("[^A-Z2-7]", "", plain.upper())), ("alnum", plain), ("base64", slug)):
+            pieces = [p for p in (x[at : at + n] for at in range(0, len(x), n)) if len(p) >= 20]
+            for some in ([p for p in pieces if len(p) == n], [p for p in pieces if len(p) < n]):
+                if some:
+                    levels = [sum(naive_p(p, e) >= c for c in secret_scan.CUTS) for p in some]
+                    want.append((e, min(int(math.floor(math.log2(len(some[0]) / 20) * 2)), 12), len(some), [v for v in levels if v]))
+        assert [(c["encoding"], c["size"], c["n"], c["levels"]) for c in got[i]] == want, t[:80]
+    first = len(texts) - 60 - len(late)
+    assert all(got[first + k] for k in range(4)) and sum(c["n"] for c in got[first + 2]) > 500
+    assert any(c["levels"] for r in got.values() for c in r)
+
+
 def test_random_tokens_are_those_of_a_naive_scan(spark, odd):
     made = random.Random(12)
     data = table(spark, "/root/testdata/sf0.01", "documents").select("text")
