@@ -32,13 +32,16 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.older = Tokenizer.from_file(path), {}
+        self.direct = all(self.letters(w) == self.whole(w) for w in (b"a", b"the", b"internationalisation", b"qzxjkvwq", bytes(range(97, 123)) * 4))
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) > REMEMBERED:
             self.older = dict(self)
             self.clear()
         found = self.older.get(word)
-        if found is None and (parts := ENDED.fullmatch(word)):
+        if found is None and self.direct and word.isalpha():
+            found = self.letters(word)
+        elif found is None and (parts := ENDED.fullmatch(word)):
             found = self[parts[1]] + self[parts[2]]
         elif found is None:
             found = self.whole(word)
@@ -48,6 +51,10 @@ class WordIds(dict):
     def whole(self, text: bytes) -> bytes:
         return array("I", self.tokenizer.encode(text.decode(), add_special_tokens=False).ids).tobytes()
 
+    def letters(self, word: bytes) -> bytes:
+        """The ids of a word of a-z alone, which is one piece as it stands: the model takes it without the steps before."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode())]).tobytes()
+
     def of(self, text: bytes) -> bytes:
         if b"<|" in text:  # it may hold the name of a special token
             return self.whole(text)

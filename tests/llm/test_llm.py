@@ -672,6 +672,17 @@ def test_intervals():
     assert sorted(suffix_dedup.intervals([0, 2, 3, 1, 0, 4])) == [(1, 0, 3), (2, 0, 2), (3, 1, 2), (4, 4, 5)]
 
 
+def test_plain_words_go_to_the_model_at_once():
+    made = random.Random(4)
+    text = " ".join("".join(made.choice("etaoinshrdlucmfwypvbgkqjxz") for _ in range(made.randint(1, 14))) for _ in range(3000))
+    words, sent = packing.WordIds(packing.default_tokenizer()), []
+    encode = words.whole
+    words.whole = lambda word: sent.append(word) or encode(word)
+    assert words.of(text.title().encode()) == encode(text.encode()) and not sent
+    mixed = "It's \u00c9t\u00e9 stra\u00dfe (one), x2y --- don't. \u0130stanbul nai\u0308ve"
+    assert words.of(mixed.encode()) == encode(mixed.encode()) and sent
+
+
 def test_packing_round_trip(spark, odd, data):
     from tokenizers import Tokenizer
 
