@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenforge.llm.common import bucket_plan, chunks, delete_folder, joined, materialise, mix, plan_bytes, shared_folder, slices, small_batches, table, trimmed, word_hashes
+from lumenforge.llm.common import bucket_plan, chunks, delete_folder, joined, materialise, mix, plan_bytes, release, shared_folder, slices, small_batches, table, trimmed, word_hashes
 
 #: Pairs that a worker counts at once, and pairs that a bucket should hold (see `bucket_plan`).
 PACK, BUCKET = 400_000, 700_000
+#: Rows that go to a Python worker at a time: a packed row can hold some 100,000 pairs.
+BATCH = 64
 #: Of a sample's tokens, the share from which a word's pairs are dealt one by one; bytes of the sample.
 FREQUENT, SAMPLE_BYTES = 1e-3, 64 << 20
 START, END = (np.uint64(x) for x in (0x5BD1E9955BD1E995, 0xC6A4A7935BD1E995))
@@ -65,6 +67,13 @@ def _summed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np
     return v[first], w[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sums of some (v, w, n), which are let go: the list is empty afterwards."""
+    parts = [np.concatenate([h[i] for h in held]) for i in range(3)]
+    held.clear()
+    return _summed(*parts)
+
+
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """A pair's hash."""
     return mix(mix(v * np.uint64(0x9FB21C651E98DF25)) + w)
@@ -134,6 +143,7 @@ def _pack(docs: DataFrame, bits: int, pack: int, frequent: np.ndarray) -> DataFr
             if size >= pack:
                 yield flush()
                 held, size = [], 0
+                release()
         if held:
             yield flush()
 
@@ -196,8 +206,10 @@ def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str, f
         at, held, size = None, [], 0
         common = np.zeros((len(frequent), 4), np.int64)
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            return _summed(*(np.concatenate([h[i] for h in held]) for i in range(3)))
+        def finished() -> pa.RecordBatch:
+            done = batch_of(finish(at, *_merged(held), common))
+            release()
+            return done
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 16), strict=True)], names=["bucket", "w", "n", "tokens", "types", "distinct", *SUMS, "frequent", *STATS])
@@ -206,16 +218,16 @@ def _contexts_and_pairs(packed: DataFrame, parts: int, bits: int, folder: str, f
             for r in batch.to_pylist():
                 if r["bucket"] != at:
                     if held:
-                        yield batch_of(finish(at, *merged(), common))
+                        yield finished()
                     at, held, size = r["bucket"], [], 0
                 v = np.repeat(np.frombuffer(r["v"], "<u8"), np.frombuffer(r["lens"], "<u4").astype(np.int64))
                 held.append((v, np.frombuffer(r["w"], "<u8"), np.frombuffer(r["n"], f"<u{len(r['n']) // len(v)}").astype(np.int64)))
                 size += len(v)
                 if size > 2 * BUCKET and len(held) > 1:
-                    held = [merged()]
+                    held.append(_merged(held))
                     size = len(held[0][0]) // 2  # what is distinct counts half: merge again when as much has come on top
         if held:
-            yield batch_of(finish(at, *merged(), common))
+            yield finished()
         met = np.flatnonzero(common[:, 0])
         if len(met):
             yield batch_of([(None, None, None, *[0] * 11, h, *c) for h, c in zip(frequent[met].view(np.int64).tolist(), common[met].tolist(), strict=True)])
@@ -397,7 +409,7 @@ def kneser_ney_scores(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    with small_batches(spark):
+    with small_batches(spark, BATCH):
         model = train(docs.where(remainder("doc_id", 5) != 1))
         scores = materialise(score_texts(docs, model))
         delete_folder(spark, model.folder)

@@ -531,6 +531,15 @@ def test_secrets_are_found_beside_many_natural_tokens(spark):
     assert sum(k not in masked[i] for i, k in enumerate(keys)) >= 85
 
 
+def test_language_model_holds_few_rows_and_lets_merged_pairs_go(spark, monkeypatch):
+    held = [tuple(np.array(x, t) for x, t in zip(part, (np.uint64, np.uint64, np.int64), strict=True)) for part in (([1, 1, 2], [5, 6, 5], [1, 2, 3]), ([1, 2], [6, 7], [4, 1]))]
+    assert [x.tolist() for x in language_model._merged(held)] == [[1, 1, 2, 2], [5, 6, 5, 7], [1, 6, 3, 1]] and held == []
+    rows, small = [], language_model.small_batches
+    monkeypatch.setattr(language_model, "small_batches", lambda s, n=250: rows.append(n) or small(s, n))
+    docs = spark.createDataFrame(rows_of(["one two one two", "two one", None]), DOCS)
+    assert [r.n_tokens for r in language_model.kneser_ney_scores(docs).orderBy("doc_id").collect()] == [5, 3, 1] and max(rows) <= 64
+
+
 def test_language_model(spark, odd, data):
     loose = spark.createDataFrame([(None, "one two"), (None, None), (6, "the quick brown two one three")], "doc_id long, text string")
     for docs in (odd.union(odd).select("doc_id", "text").union(loose), table(spark, "/root/testdata/sf0.01", "documents")):
