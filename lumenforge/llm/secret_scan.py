@@ -76,22 +76,24 @@ def _uniformity(plain: Column, chars: Column, n: Column, k: Column) -> Column:
     return _normal_tail((F.pow(chi / free, F.lit(1.0 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
 
 
-def _runs(values: Column, n: Column) -> Column:
-    signs = F.transform(values, lambda v: (v > 0).cast("int"))
-    turns = F.aggregate(F.zip_with(F.slice(values, 1, F.size(values) - 1), F.slice(values, 2, F.size(values) - 1), lambda a, b: ((a > 0) != (b > 0)).cast("int")), F.lit(0), lambda a, x: a + x)
+def _runs(high: Column, n: Column) -> Column:
+    """high: 1 for each character above the alphabet's middle, 0 for others."""
 
     def of(s: Column) -> Column:
         expected = 2 * s["high"] * (n - s["high"]) / n + 1
         spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
         return 2 * _normal_tail(F.abs((s["runs"] - expected) / spread))
 
-    return _let(F.struct(F.aggregate(signs, F.lit(0), lambda a, x: a + x).cast("double").alias("high"), (turns + 1).alias("runs")), of)
+    without = lambda part: F.octet_length(F.replace(high, F.lit(part), F.lit("")))
+    turns = (2 * F.octet_length(high) - without("01") - without("10")) / 2  # neither overlaps itself
+    return _let(F.struct((n - without("1")).alias("high"), (turns + 1).alias("runs")), of)
 
 
 def _serial(values: Column, n: Column) -> Column:
     def of(d: Column) -> Column:
         lagged = _sum(F.zip_with(F.slice(d, 1, F.size(d) - 1), F.slice(d, 2, F.size(d) - 1), lambda a, b: a * b))
-        return 2 * _normal_tail(F.abs(lagged / F.greatest(_sum(F.transform(d, lambda v: v * v)), F.lit(1e-9))) * F.sqrt(n))
+        squares = F.aggregate(d, F.lit(0.0), lambda a, v: a + v * v)
+        return 2 * _normal_tail(F.abs(lagged / F.greatest(squares, F.lit(1e-9))) * F.sqrt(n))
 
     return _let(_sum(values) / n, lambda mean: _let(F.transform(values, lambda v: v - mean), of))
 
@@ -102,13 +104,19 @@ def battery(token: Column, kind: Column) -> Column:
     setting = F.struct(F.when(kind == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/")).alias("plain"), F.element_at(alphabets, kind).alias("alphabet"))
 
     def tests(s: Column) -> Column:
-        n, k = F.length(s["plain"]).cast("double"), F.length(s["alphabet"]).cast("double")
-        chars = F.split(s["plain"], "")
-        values = F.transform(chars, lambda c: F.call_function("locate", c, s["alphabet"]).cast("double") - 1 - (k - 1) / 2)
-        logs = lambda v: F.array(*(F.log(F.greatest(p, F.lit(1e-15))) for p in (_uniformity(s["plain"], chars, n, k), _runs(v, n), _serial(v, n))))
-        return _let(values, lambda v: _let(-_sum(logs(v)), lambda half: F.exp(-half) * (1 + half + half * half / 2)))
-
-    return _let(setting, tests)
+        n, k = s["n"], s["k"]
+        places = F.transform(s["chars"], lambda c: F.call_function("locate", c, s["alphabet"]).cast("double"))
+        high = F.call_function("translate", s["plain"], s["alphabet"], s["halves"])
+        logs = lambda v: F.array(*(F.log(F.greatest(p, F.lit(1e-15))) for p in (_uniformity(s["plain"], s["chars"], n, k), _runs(high, n), _serial(v, n))))
+        return _let(places, lambda v: _let(-_sum(logs(v)), lambda half: F.exp(-half) * (1 + half + half * half / 2)))
+
+    def ready(s: Column) -> Column:
+        k = F.length(s["alphabet"])
+        halves = F.concat(F.repeat(F.lit("0"), F.ceil(k / 2).cast("int")), F.repeat(F.lit("1"), F.floor(k / 2).cast("int")))
+        more = F.struct(s["plain"].alias("plain"), s["alphabet"].alias("alphabet"), F.split(s["plain"], "").alias("chars"), F.length(s["plain"]).cast("double").alias("n"), k.cast("double").alias("k"), halves.alias("halves"))
+        return _let(more, tests)
+
+    return _let(setting, ready)
 
 
 def _level(p: Column) -> Column:
