@@ -836,6 +836,18 @@ def test_pipeline(spark, data, tmp_path):
     assert corpus_pipeline.run(spark, data).count() == before
 
 
+def test_pipeline_masks_by_words_of_whole_texts(spark, data):
+    import corpus_pipeline
+
+    made = random.Random(6)
+    pick = lambda n: "".join(made.choice(secret_scan.ALPHABETS["alnum"]) for _ in range(n))
+    token = pick(40)
+    late = ["\u0436 " * 400 + " ".join(pick(made.randint(3, 12)) for _ in range(300)) for _ in range(6)]  # words that look random, behind others
+    masked = lambda texts: [r.text for r in corpus_pipeline.mask_secrets(spark, spark.createDataFrame(rows_of(texts), DOCS), data).orderBy("doc_id").collect()]
+    assert masked([f"x {token} y"]) == ["x [SECRET] y"]
+    assert masked([f"x {token} y", *late])[0] == f"x {token} y"
+
+
 def test_pipeline_stages_take_odd_rows(spark, odd, data):
     import corpus_pipeline
 
