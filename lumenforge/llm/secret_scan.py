@@ -30,8 +30,8 @@ ALPHA, FDR = 0.01, 0.05
 #: The cuts that a class may have, and the lengths of decoys made from a row's words: the least of the first classes.
 #: How many of a text's characters give them: all.
 CUTS, MADE, WORDS_FROM = (ALPHA, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9), (20, 29, 40, 57, 80), None
-#: Characters of words in each encoding: those that are looked at first (FIRST of them), and then. They change the time, never a level.
-COMMON, FIRST = {"hex": "eadcbf", "base32": "EAINORSTLDCUMPGHBFVYKWQXZJ", "alnum": "eainorstldcumpghbfvykwqxzj", "base64": "-eainorstldcumpghbfvykwqxzj"}, 14
+#: Characters of words in each encoding, and how many of them are looked at first, then, and last. They change the time, never a level.
+COMMON, STEPS = {"hex": "eadcbf", "base32": "EAINORSTLDCUMPGHBFVYKWQXZJ", "alnum": "eainorstldcumpghbfvykwqxzj", "base64": "-eainorstldcumpghbfvykwqxzj"}, (6, 14, 27)
 SPAN = "array<struct<start:int,ord:int,end:int>>"
 
 
@@ -50,27 +50,26 @@ def _spans(text: Column, pattern: str, kind: int, keep=None, group: int = 0) ->
     return F.aggregate(parts, state, step, lambda acc: acc["out"])
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _normal_tail(z: Column) -> Column:
     """The upper tail of the normal distribution by its logistic approximation."""
-    z = F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0))
-    return 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z))
+    return _let(F.least(F.greatest(z, F.lit(-8.0)), F.lit(8.0)), lambda z: 1 / (1 + F.exp(1.5976 * z + 0.070566 * z * z * z)))
 
 
 def encoding(token: Column) -> Column:
     return F.when(token.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(token.rlike("^[A-Z2-7]+$"), "base32").when(token.rlike("^[A-Za-z0-9]+$"), "alnum").otherwise("base64")
 
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, however often it is used."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
 
 
 def _uniformity(plain: Column, chars: Column, n: Column, k: Column) -> Column:
-    squares = _sum(F.transform(F.array_distinct(chars), lambda c: F.pow(F.length(plain) - F.length(F.replace(plain, c, F.lit(""))), F.lit(2.0))))
+    squares = _sum(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(plain, c, F.lit(""))), F.lit(2.0))))
     free = k - 1
     chi = F.greatest(k / n * squares - n, F.lit(0.0))
     return _normal_tail((F.pow(chi / free, F.lit(1.0 / 3)) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free)))
@@ -80,9 +79,8 @@ def _runs(high: Column, n: Column) -> Column:
     """high: 1 for each character above the alphabet's middle, 0 for others."""
 
     def of(s: Column) -> Column:
-        expected = 2 * s["high"] * (n - s["high"]) / n + 1
-        spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
-        return 2 * _normal_tail(F.abs((s["runs"] - expected) / spread))
+        spread = lambda expected: F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-9)))
+        return _let(2 * s["high"] * (n - s["high"]) / n + 1, lambda expected: 2 * _normal_tail(F.abs((s["runs"] - expected) / spread(expected))))
 
     without = lambda part: F.octet_length(F.replace(high, F.lit(part), F.lit("")))
     turns = (2 * F.octet_length(high) - without("01") - without("10")) / 2  # neither overlaps itself
@@ -107,7 +105,7 @@ def battery(token: Column, kind: Column) -> Column:
         n, k = s["n"], s["k"]
         places = F.transform(s["chars"], lambda c: F.call_function("locate", c, s["alphabet"]).cast("double"))
         high = F.call_function("translate", s["plain"], s["alphabet"], s["halves"])
-        logs = lambda v: F.array(*(F.log(F.greatest(p, F.lit(1e-15))) for p in (_uniformity(s["plain"], s["chars"], n, k), _runs(high, n), _serial(v, n))))
+        logs = lambda v: F.array(*(F.log(F.greatest(p, F.lit(1e-15))) for p in (_uniformity(s["plain"], s["chars"], n, k), _let(high, lambda h: _runs(h, n)), _serial(v, n))))
         return _let(places, lambda v: _let(-_sum(logs(v)), lambda half: F.exp(-half) * (1 + half + half * half / 2)))
 
     def ready(s: Column) -> Column:
@@ -147,11 +145,15 @@ def _piece_level(token: Column, kind: str) -> Column:
     of all squared counts: most words reach no cut by that alone."""
     n = F.octet_length(token)  # of ASCII
     least = F.element_at(F.array(*(F.lit(_natural_from(kind, m)) for m in range(MADE[0], MADE[-1] + 1))), n - (MADE[0] - 1))
+    steps = [x for x in (COMMON[kind][a:b] for a, b in zip((0, *STEPS), STEPS, strict=False)) if x]
 
-    def some(chars: str) -> Column:  # c + c (c - 1) is c squared
-        return sum((F.pow(n - 0.5 - F.octet_length(F.replace(token, F.lit(c), F.lit(""))), F.lit(2.0)) for c in chars), n - len(chars) / 4)
+    def tried(before: Column, half: Column, at: int) -> Column:
+        if at == len(steps):
+            return _let(battery(token, F.lit(kind)), _level)
+        more = sum((F.pow(half - F.octet_length(F.replace(token, F.lit(c), F.lit(""))), F.lit(2.0)) for c in steps[at]), before - len(steps[at]) / 4)
+        return _let(more, lambda now: F.when(now >= least, F.lit(0)).otherwise(tried(now, half, at + 1)))
 
-    return F.when(some(COMMON[kind][:FIRST]) >= least, F.lit(0)).when(some(COMMON[kind]) >= least, F.lit(0)).otherwise(_let(battery(token, F.lit(kind)), _level))
+    return _let(n - 0.5, lambda half: tried(half + 0.5, half, 0))  # c + (c - 0.5) squared - 0.25 is c squared
 
 
 def _made(t: Column, found: Column) -> Column:
@@ -173,10 +175,10 @@ def _made(t: Column, found: Column) -> Column:
         return _let(F.transform(tokens, lambda k: F.struct(F.octet_length(k).alias("length"), _piece_level(k, kind).alias("level"))), of)
 
     def of(x: Column) -> Column:
-        forms = {"hex": F.regexp_replace(F.lower(x["plain"]), "[^0-9a-f]+", ""), "base32": F.regexp_replace(F.upper(x["plain"]), "[^A-Z2-7]+", ""), "alnum": x["plain"], "base64": x["slug"]}
+        forms = {"hex": F.regexp_replace(F.lower(x["plain"]), "[ghijklmnopqrstuvwxyz]+", ""), "base32": F.regexp_replace(F.upper(x["plain"]), "[0189]+", ""), "alnum": x["plain"], "base64": x["slug"]}
         return F.concat(*(pieces(k, v, x["length"]) for k, v in forms.items()))
 
-    # \P{Alnum} is [^A-Za-z0-9], which Java tests thirty times as slowly
+    # Java looks listed characters up; it tests ranges much more slowly. \P{Alnum} is [^A-Za-z0-9]; what is left are letters and digits
     slug = F.struct(F.regexp_replace(around, r"\P{Alnum}+", "-").alias("slug"), length.alias("length"))
     return _let(slug, lambda x: _let(F.struct(x["slug"].alias("slug"), F.replace(x["slug"], F.lit("-"), F.lit("")).alias("plain"), x["length"].alias("length")), of))
 

@@ -414,6 +414,14 @@ def test_randomness_battery(spark):
     assert sum(x >= 0.01 for x in p[:60]) >= 54 and all(x < 0.01 for x in p[60:])
 
 
+def test_battery_computes_each_statistic_once(spark):
+    df = spark.createDataFrame([("0123456789abcdef" * 3,)], "t string")
+    plan = df.select(secret_scan.battery(F.col("t"), F.lit("hex")).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert [plan.count(x) for x in ("array_distinct(", "zip_with(", "translate(")] == [1, 1, 2]  # one of them for - and _
+    plan = secret_scan.with_spans(df, "t")._jdf.queryExecution().analyzed().toString()
+    assert [plan.count(x) for x in ("array_distinct(", "zip_with(")] == [5, 5]  # of candidates, and of decoys in four encodings
+
+
 def naive_p(token, kind):
     """The three tests, one character at a time."""
     plain = token.lower() if kind == "hex" else token.translate(str.maketrans("-_", "+/"))
